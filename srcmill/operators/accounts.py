@@ -145,13 +145,16 @@ def cached_imports(requests, admissions, repositories):
 
 def changed_revisions(requests, admissions):
     """Requests whose source was imported before at another revision; these need a confirmation."""
-    done = admissions.filter("status = 'COMPLETED'").select(
-        F.col("owner_id").alias("_o"), F.col("source_key").alias("_k"), F.col("revision").alias("_r")
+    # another revision exists exactly when the smallest or the greatest one differs
+    done = (
+        admissions.filter("status = 'COMPLETED'")
+        .groupBy("owner_id", "source_key")
+        .agg(F.min("revision").alias("_low"), F.max("revision").alias("_high"))
     )
-    return requests.join(
-        done,
-        (F.col("owner_id") == F.col("_o")) & (F.col("source_key") == F.col("_k")) & (F.col("revision") != F.col("_r")),
-        "left_semi",
+    return (
+        requests.join(done, ["owner_id", "source_key"])
+        .filter((F.col("_low") != F.col("revision")) | (F.col("_high") != F.col("revision")))
+        .drop("_low", "_high")
     )
 
 
@@ -194,7 +197,7 @@ def settle(admissions, repositories):
 
 def seed_ledger(repositories, admissions):
     """Add ledger rows for owned repositories that have none; running it twice changes nothing."""
-    url = F.regexp_replace(F.rtrim(F.lit("/"), F.col("source_url")), r"\.git$", "")
+    url = F.regexp_replace(F.rtrim(F.col("source_url"), F.lit("/")), r"\.git$", "")
     legacy = F.concat(F.lit("legacy:"), F.col("id"))
     seeded = (
         repositories.filter("owner_id is not null")

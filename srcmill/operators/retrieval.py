@@ -9,6 +9,9 @@ from .inventory import substring_pairs
 from .running import first_per_group, running_total
 
 
+EMPTY_CONTEXT = "## Relevant Code\n"
+
+
 def question_terms(questions, question="question"):
     """Add the ranking terms and the candidate terms of each question."""
     return questions.withColumns(
@@ -127,7 +130,7 @@ def context_text(packed, key, order):
     parts = F.sort_array(F.collect_list(F.struct("_n", block.alias("b"), source_struct().alias("s"))))
     return numbered.groupBy(key).agg(parts.alias("_p")).select(
         key,
-        F.concat(F.lit("## Relevant Code\n\n"), F.array_join(F.transform("_p", lambda p: p["b"]), "\n")).alias("context"),
+        F.concat(F.lit(EMPTY_CONTEXT + "\n"), F.array_join(F.transform("_p", lambda p: p["b"]), "\n")).alias("context"),
         F.array_distinct(F.transform("_p", lambda p: p["s"])).alias("sources"),
     )
 

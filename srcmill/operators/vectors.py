@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed_values as V
 from ..functions import text as X
@@ -77,26 +78,28 @@ def vector_search_many(vectors, queries, k, id_col="id", query_col="query_id", s
     slim = vectors.select(*([id_col, "embedding"] + ([scope] if scope else [])))
     kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
     schema = f"`{query_col}` {dict(queries.dtypes)[query_col]}, `{id_col}` {kinds[id_col]}, _cos double"
+    arrow = pa.schema(
+        [(query_col, to_arrow_type(queries.schema[query_col].dataType)),
+         (id_col, to_arrow_type(vectors.schema[id_col].dataType)), ("_cos", pa.float64())]
+    )
     parts = None
     for b in range(blocks):
         block = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)
         rows = block.collect()  # at most about block_bytes
-        found = slim.mapInArrow(_partial_winners(rows, k, id_col, query_col, scope), schema)
+        found = slim.mapInArrow(_partial_winners(rows, k, id_col, query_col, scope, arrow), schema)
         parts = found if parts is None else parts.unionByName(found)
     best = first_per_group(parts, query_col, F.desc("_cos"), F.col(id_col), n=k, rank="rank")
     return best.withColumn("score", F.round("_cos", 4)).drop("_cos")
 
 
-def _partial_winners(rows, k, id_col, query_col, scope):
+def _partial_winners(rows, k, id_col, query_col, scope, arrow):
     labels = [r[query_col] for r in rows]
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     scopes = np.array([r[scope] for r in rows]) if scope else None
 
     def winners(batches):
         best = {}
-        output = None
         for batch in batches:
-            output = output or (batch.schema.field(id_col).type)
             if not batch.num_rows or not labels:
                 continue
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -112,10 +115,11 @@ def _partial_winners(rows, k, id_col, query_col, scope):
             q = [i for i, (s, _) in best.items() for _ in s]
             yield pa.RecordBatch.from_pydict(
                 {
-                    query_col: pa.array([labels[i] for i in q]),
-                    id_col: pa.array(np.concatenate([ids for _, ids in best.values()]).tolist(), type=output),
-                    "_cos": pa.array(np.concatenate([s for s, _ in best.values()])),
-                }
+                    query_col: [labels[i] for i in q],
+                    id_col: np.concatenate([ids for _, ids in best.values()]).tolist(),
+                    "_cos": np.concatenate([s for s, _ in best.values()]),
+                },
+                schema=arrow,
             )
 
     return winners

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import catalog_chunks, catalog_tables  # noqa: F401
+from . import catalog_accounts, catalog_chunks, catalog_search, catalog_tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
