@@ -9,15 +9,18 @@ from ..sources import tree as T
 from .index import PIPELINE_VERSION, index_tree
 
 
-def refresh_index(tables, tree, version_changed=False, **index_options):
-    """New tables and the change counts.
+def refresh_index(tables, tree, version_changed=False, partial=False, **index_options):
+    """New tables and the change counts.  With `partial`, paths that `tree` lacks are kept instead of deleted.
 
     tables: the stored `files`, `symbols`, `code_chunks`, `vectors`, and optionally `analysis_issues` and
     `repository_jobs`, of the repositories that occur in `tree`.
     """
     kept_tree = T.select_files(tree)
     hashes = kept_tree.select("repository_id", "path", F.sha2("content", 256).alias("hash"))
-    diff = cut_lineage(D.snapshot_diff(tables["files"], hashes, version_changed=version_changed))
+    diff = D.snapshot_diff(tables["files"], hashes, version_changed=version_changed)
+    if partial:
+        diff = diff.filter("change <> 'deleted'")
+    diff = cut_lineage(diff)
     changed = diff.filter("change <> 'unchanged'")
     again = diff.filter("change in ('added', 'updated')").select("repository_id", "path")
     fresh = index_tree(tree.join(again, ["repository_id", "path"], "left_semi"), dependents="none", **index_options)

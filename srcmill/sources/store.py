@@ -47,6 +47,48 @@ def read_table(spark, folder, schema=None):
         return spark.createDataFrame([], schema)
 
 
+INDEX_TABLES = {
+    "files": "id string, repository_id string, path string, language string, extension string, size bigint, loc int, "
+    "hash string, num_classes bigint, num_functions bigint, imports array<struct<module:string,line:int>>, "
+    "complexity_score double, importance_score double, importance_level string, summary string",
+    "symbols": "repository_id string, file_id string, name string, type string, start_line int, end_line int, "
+    "parent_name string, signature string, docstring string, complexity double",
+    "code_chunks": "id string, file_id string, repository_id string, symbol_name string, symbol_type string, "
+    "language string, file_path string, start_line int, end_line int, content string, chunk_index int",
+    "vectors": "id string, repository_id string, file_path string, symbol_name string, symbol_type string, "
+    "language string, start_line int, end_line int, document string, embedding array<float>",
+}
+
+
+def read_folder(spark, folder, schema):
+    """A table that may not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def write_version(tables, folder, version, touched):
+    """Write the touched repositories as a new version, then announce it.
+
+    Running a version again replaces its own files; readers keep the version before until it is announced.
+    """
+    for name, df in tables.items():
+        df.hint("rebalance", "repository_id").write.mode("overwrite").partitionBy("repository_id").parquet(
+            f"{folder}/{name}/version={version}"
+        )
+    touched.write.mode("overwrite").parquet(f"{folder}/heads/version={version}")
+
+
+def read_current(spark, folder, name, schema):
+    """Every repository in its newest announced version."""
+    heads = read_folder(spark, f"{folder}/heads", "repository_id string, version long")
+    newest = heads.groupBy("repository_id").agg(F.max("version").alias("version"))
+    rows = read_folder(spark, f"{folder}/{name}", f"{schema}, version long")
+    columns = [c for c in rows.columns if c != "version"]
+    return rows.join(newest, ["repository_id", "version"]).select(*columns)
+
+
 def vector_rows(chunks, embedding="embedding"):
     """Vector table rows: missing metadata is stored as an empty text."""
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("symbol_name", "symbol_type", "language")]
