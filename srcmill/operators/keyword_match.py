@@ -1,0 +1,135 @@
+"""Ranking every chunk against the keywords of many questions in one pass over the chunks."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as V
+from .running import first_per_group
+
+try:
+    import ahocorasick
+except ImportError:  # the plain search below gives the same sets, only slower for many words
+    ahocorasick = None
+
+BLOCK_WORDS = 500_000
+PAIRS_IN_MEMORY = 500_000
+
+
+class WordFinder:
+    """Which of the words occur in a text, as indexes."""
+
+    def __init__(self, words):
+        self.words = words
+        self.automaton = None
+        if ahocorasick is not None and words:
+            self.automaton = ahocorasick.Automaton()
+            for i, word in enumerate(words):
+                self.automaton.add_word(word, i)
+            self.automaton.make_automaton()
+
+    def find(self, text):
+        if self.automaton is None:
+            return {i for i, word in enumerate(self.words) if word in text}
+        return {i for _, i in self.automaton.iter(text)}
+
+
+class QuestionIndex:
+    """Word -> questions, for ranking words and for candidate words."""
+
+    def __init__(self, rows, number):
+        self.size = len(rows)
+        self.ids = [r["question_id"] for r in rows]
+        self.ranking = self._invert([r["terms"] for r in rows], number)
+        self.candidate = self._invert([r["keywords"] for r in rows], number)
+
+    @staticmethod
+    def _invert(lists, number):
+        found = {}
+        for q, words in enumerate(lists):
+            for w in words:
+                found.setdefault(number[w], []).append(q)
+        return {w: np.array(q) for w, q in found.items()}
+
+    def count(self, index, words):
+        hits = [index[w] for w in words if w in index]
+        return np.bincount(np.concatenate(hits), minlength=self.size) if hits else np.zeros(self.size, dtype=int)
+
+    def scores(self, finder, content, symbol, path, kind):
+        """(questions that the names are a candidate for, their scores)"""
+        in_symbol, in_path = finder.find(symbol), finder.find(path)
+        asked = np.flatnonzero(self.count(self.candidate, in_symbol | in_path))
+        if not len(asked):
+            return asked, asked
+        total = (
+            V.KEYWORD_SCORE
+            + self.count(self.ranking, finder.find(content)) * V.CONTENT_BONUS
+            + self.count(self.ranking, in_symbol) * V.SYMBOL_BONUS
+            + self.count(self.ranking, in_path) * V.PATH_BONUS
+            + (V.TYPE_BONUS if kind in ("function", "method", "class") else 0.0)
+        )
+        return asked, np.round(total[asked], 9)
+
+
+def _winners(rows, k, scope):
+    rows = [r.asDict() for r in rows]
+
+    def run(batches):
+        words = sorted({w for r in rows for w in [*r["terms"], *r["keywords"]]})
+        number = {w: i for i, w in enumerate(words)}
+        finder = WordFinder(words)
+        by_scope = {}
+        for r in rows:
+            by_scope.setdefault(r[scope], []).append(r)
+        indexes = {s: QuestionIndex(r, number) for s, r in by_scope.items()}
+        parts, pairs = [], 0
+        for batch in batches:
+            for s, i, content, symbol, path, kind in batch.itertuples(index=False, name=None):
+                index = indexes.get(s)
+                if index is None:
+                    continue
+                asked, scores = index.scores(
+                    finder, (content or "").lower(), (symbol or "").lower(), (path or "").lower(), kind
+                )
+                if len(asked):
+                    parts.append(
+                        pd.DataFrame({scope: s, "question_id": [index.ids[q] for q in asked], "id": i, "final_score": scores})
+                    )
+                    pairs += len(asked)
+                if pairs > PAIRS_IN_MEMORY:
+                    parts = [_best(parts, k)]
+                    pairs = 0
+        if parts:
+            yield _best(parts, k)
+
+    return run
+
+
+def _best(parts, k):
+    every = pd.concat(parts, ignore_index=True).sort_values(["final_score", "id"], ascending=[False, True])
+    return every.groupby("question_id", sort=False).head(k)
+
+
+def rank_keyword_candidates(chunks, questions, k, scope="repository_id", block_words=BLOCK_WORDS):
+    """The best k keyword candidates per question: (scope, question_id, id, final_score, rank).
+
+    Scoring pairs one by one would read the content of a chunk once per question and word.  Here each task finds all
+    words of all questions in one pass over a text and keeps k rows per question, so neither content nor pairs are
+    shuffled.  The words of a block of questions are held below `block_words`; more questions are ranked in several
+    blocks, without dropping any.
+    """
+    asked = questions.select(scope, "question_id", "terms", "keywords")
+    total = asked.agg(F.sum(F.size("terms") + F.size("keywords"))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    slim = chunks.select(scope, "id", "content", "symbol_name", "file_path", "symbol_type")
+    kinds = dict(slim.dtypes)
+    schema = (
+        f"`{scope}` {kinds[scope]}, question_id {dict(questions.dtypes)['question_id']}, id {kinds['id']}, "
+        "final_score double"
+    )
+    found = None
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+        part = slim.mapInPandas(_winners(block.collect(), k, scope), schema)  # at most about block_words words
+        found = part if found is None else found.unionByName(part)
+    return first_per_group(found, "question_id", F.desc("final_score"), "id", n=k, rank="rank")

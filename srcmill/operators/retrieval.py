@@ -77,6 +77,11 @@ def rerank(candidates, chunks, questions, k=V.CONTEXT_HITS, scope="repository_id
             F.col("symbol_type"),
         ).alias("final_score"),
     )
+    return best_of(scored, k)
+
+
+def best_of(scored, k):
+    """Final order: score, then vector hits in their order, then id."""
     return first_per_group(
         scored, "question_id", F.desc("final_score"), F.asc_nulls_last("vector_rank"), F.col("id"), n=k, rank="rank"
     )

@@ -14,7 +14,7 @@ from .registry import SQL_LINES, query, sql_in
 
 
 def with_lines(t):
-    return t("documents").select("doc_id", "source", X.split_lines(F.col("text")).alias("lines"))
+    return t.spread("documents").select("doc_id", "source", X.split_lines(F.col("text")).alias("lines"))
 
 
 @query(
@@ -181,7 +181,7 @@ def json_sections(t):
             X.split_lines(F.col("text")).alias("lines"),
         )
     )
-    files = t("documents").select("doc_id", body.alias("text"), F.lit("json").alias("language"))
+    files = t.spread("documents").select("doc_id", body.alias("text"), F.lit("json").alias("language"))
     return D.read_documents(files, ["doc_id"]).select("doc_id", F.explode("sections").alias("s")).select(
         "doc_id", "s.name", "s.start_line", "s.end_line"
     )
@@ -206,7 +206,7 @@ def notebooks(t):
         F.struct(F.struct(F.lit("python").alias("name")).alias("language_info")).alias("metadata"),
         cells.alias("cells"),
     )
-    return t("documents").select("doc_id", F.to_json(book).alias("text"), F.lit("notebook").alias("language"))
+    return t.spread("documents").select("doc_id", F.to_json(book).alias("text"), F.lit("notebook").alias("language"))
 
 
 @query(
@@ -238,7 +238,7 @@ def python_sources(t):
         )
 
     body = F.array_join(F.transform(X.split_lines(F.col("text")), function), "")
-    return t("documents").select(
+    return t.spread("documents").select(
         "doc_id", "source", F.concat(F.lit("import os\n"), body).alias("text")
     )
 
@@ -297,7 +297,7 @@ def script_sources(t):
         )
 
     body = F.array_join(F.transform(X.split_lines(F.col("text")), piece), "")
-    return t("documents").select(
+    return t.spread("documents").select(
         "doc_id",
         F.concat(body, F.lit("export default class Box {\n  run() {\n  }\n}\nconst go = async (x) => {\n  x\n}\n")).alias("text"),
     )
@@ -343,7 +343,7 @@ def marked_scripts(t):
             .otherwise(line)
         )
 
-    return t("documents").select(
+    return t.spread("documents").select(
         "doc_id", F.array_join(F.transform(X.split_lines(F.col("text")), piece), "\n").alias("text"),
         F.lit("javascript").alias("language"),
     )
@@ -412,7 +412,7 @@ def debt_print_findings(t):
             i % 5 == 0, F.concat(F.lit("# "), F.get(tags, (i + 1) % 3), F.lit(" "), line)
         ).when(i % 5 == 1, F.concat(F.lit("  print ("), line, F.lit(")"))).otherwise(line),
     )
-    files = t("documents").select("doc_id", lines.alias("lines")).select(
+    files = t.spread("documents").select("doc_id", lines.alias("lines")).select(
         "doc_id", S.generic_smell_findings(F.col("lines"), F.lit("python")).alias("findings")
     )
     return S.explode_findings(files, ["doc_id"]).select("doc_id", "line", "issue_type", "message")

@@ -9,6 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators import vectors as VE
+from ..operators.keyword_match import rank_keyword_candidates
 from ..operators.running import first_per_group
 from ..session import cut_lineage
 from ..sources import store
@@ -102,7 +103,7 @@ def embedding_texts(t):
     FROM documents""",
 )
 def embedded_corpus(t):
-    out = VE.embed(t("documents").select("doc_id", "text"), "text", dimensions=64)
+    out = VE.embed(t.spread("documents").select("doc_id", "text"), "text", dimensions=64)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm, 4).alias("norm"))
 
@@ -111,7 +112,7 @@ TITLE = "<title>(.*?)</title>"
 
 
 def page_chunks(t):
-    return t("pages").select(
+    return t.spread("pages").select(
         F.col("page_id").alias("id"), F.lit("pages").alias("repository_id"), F.col("url").alias("file_path"),
         F.regexp_extract("html", TITLE, 1).alias("symbol_name"),
         F.when(F.col("page_id") % 3 == 0, "function").otherwise("page").alias("symbol_type"),
@@ -151,11 +152,8 @@ def keyword_candidates(t):
     FROM s QUALIFY rank <= 8""",
 )
 def rerank(t):
-    chunks, questions = page_chunks(t), page_questions(t)
-    candidates = R.keyword_candidates(chunks, questions).withColumns(
-        {"score": F.lit(V.KEYWORD_SCORE), "vector_rank": F.lit(None).cast("int")}
-    )
-    return R.rerank(candidates, chunks, questions).select("question_id", "id", "final_score", "rank")
+    ranked = rank_keyword_candidates(page_chunks(t), page_questions(t), V.CONTEXT_HITS)
+    return ranked.select("question_id", "id", "final_score", "rank")
 
 
 def retrieve(chunks, questions, n_initial=V.VECTOR_HITS, n_final=V.CONTEXT_HITS, dimensions=128, embedder=None):
@@ -168,8 +166,14 @@ def retrieve(chunks, questions, n_initial=V.VECTOR_HITS, n_final=V.CONTEXT_HITS,
     ).join(questions.select("question_id", "repository_id"), "question_id")
     # the hits are small and used twice, the search over all vectors should run once
     hits = cut_lineage(hits)
-    both = R.hybrid_candidates(hits, R.keyword_candidates(chunks, questions))
-    return R.rerank(both, chunks, questions, n_final)
+    near = R.rerank(
+        hits.withColumnRenamed("rank", "vector_rank"), chunks.join(hits.select("id").distinct(), "id", "left_semi"),
+        questions, n_final,
+    )
+    # at most n_initial of a question's keyword candidates can be vector hits as well
+    words = rank_keyword_candidates(chunks, questions, n_final + n_initial)
+    words = R.exclude_retrieved(words, hits).withColumn("vector_rank", F.lit(None).cast("int"))
+    return R.best_of(near.drop("rank").unionByName(words.drop("rank")), n_final)
 
 
 @query("retrieved_contexts")

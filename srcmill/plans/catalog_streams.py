@@ -81,8 +81,8 @@ def stream_replies(spark, sf_dir):
 @stream_query(
     "stream_stalled",
     """WITH l AS (SELECT user_id, max(ts) AS seen, arg_max(event_type, ts) AS kind FROM events GROUP BY user_id)
-    SELECT user_id AS job_id, CASE kind WHEN 'view' THEN 'RUNNING' ELSE 'PENDING' END AS status, epoch_ms(seen) AS silent_since FROM l
-    WHERE kind NOT IN ('purchase', 'error') AND epoch_ms(seen) + 900000 <= (SELECT epoch_ms(max(ts)) - 60000 FROM events)""",
+    SELECT user_id AS job_id, CASE kind WHEN 'view' THEN 'RUNNING' ELSE 'PENDING' END AS status, epoch_us(seen) // 1000 AS silent_since FROM l
+    WHERE kind NOT IN ('purchase', 'error') AND epoch_us(seen) // 1000 + 900000 <= (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM events)""",
 )
 def stream_stalled(spark, sf_dir):
     kind = F.col("event_type")

@@ -1,14 +1,29 @@
 """The registered queries and the SQL each one is checked against."""
 
+from ..session import spread
+
 QUERIES = {}
 SQL = {}
 
 
+class Tables:
+    """The given tables by name; `spread` deals a small one over all cores for heavy work per row."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name):
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def spread(self, name):
+        return spread(self(name))
+
+
 def query(name, sql=None):
     def add(function):
         def run(spark, sf_dir):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return function(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return function(Tables(spark, sf_dir))
 
         QUERIES[name] = run
         if sql is not None:

@@ -43,6 +43,16 @@ def work_path(spark, label):
     return f"{shared_dir(spark).rstrip('/')}/srcmill/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df):
+    """Deal the rows of a small scan over all cores, for work that costs far more per row than per byte.
+
+    `df` must be a plain scan.  One that already has a partition per core is returned as it is, so a large table is
+    never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df):
     """Reliable checkpoint: the rows survive the loss of the executors that computed them."""
     shared_dir(df.sparkSession)

@@ -75,7 +75,7 @@ class ReplyAssembly(StatefulProcessor):
         held = list(self.tokens.get()) if self.tokens.exists() else []
         ended, latest = False, 0
         for frame in rows:
-            latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
+            latest = max(latest, frame["ts"].max().value // 1_000_000)
             for seq, token, end in zip(frame["seq"], frame["token"], frame["is_end"]):
                 ended |= bool(end)
                 if not end:
@@ -161,7 +161,7 @@ class StalledWatch(StatefulProcessor):
         at, status = self.last.get() if self.last.exists() else (-1, None)
         for frame in rows:
             for ts, s in zip(frame["ts"], frame["status"]):
-                now = int(ts.timestamp() * 1000)
+                now = ts.value // 1_000_000
                 if now >= at:
                     at, status = now, s
         self.last.update((at, status))
