@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as X
+from ..functions.rows import each
 
 CHUNK = (
     "struct<content:string,start_line:int,end_line:int,symbol_name:string,symbol_type:string,parent_name:string,"
@@ -154,7 +155,7 @@ def file_chunks(lines, symbols, size=V.BLOCK_LINES):
 
 def explode_chunks(files, chunks, keep):
     """One row per chunk with its dense per-file index."""
-    return files.select(*keep, F.posexplode(chunks).alias("chunk_index", "_c")).select(
+    return each(files, chunks, "_c", keep, position="chunk_index").select(
         *keep, "chunk_index", "_c.content", "_c.start_line", "_c.end_line", "_c.symbol_name", "_c.symbol_type",
         "_c.parent_name", F.col("_c.language").alias("chunk_language"),
     )

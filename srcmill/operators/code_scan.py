@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as X
+from ..functions.rows import each
 from . import pyfacts
 
 FINDING = "struct<issue_type:string,severity:string,message:string,line:int,suggestion:string>"
@@ -34,15 +35,17 @@ def finding(rule, severity, message, line, advice):
 
 def credential_rule(name, value):
     """Rule name for a credential-like literal, else NULL."""
-    trimmed = X.strip(value)
-    suspicious = (
-        name.rlike(r"(?iU)\A" + V.CREDENTIAL_NAME + r"\z")
-        & (F.length(trimmed) >= 4)
-        & ~F.lower(trimmed).isin(V.PLACEHOLDER_VALUES)
-        & ~trimmed.rlike(r"\A(?:\$\{|\{\{|<)")
-    )
     password = F.lower(name).contains("password") | F.lower(name).isin("passwd", "pwd")
-    return F.when(suspicious, F.when(password, "HARDCODED_PASSWORD").otherwise("HARDCODED_SECRET"))
+
+    def judged(trimmed):
+        suspicious = (
+            (F.length(trimmed) >= 4)
+            & ~F.lower(trimmed).isin(V.PLACEHOLDER_VALUES)
+            & ~trimmed.rlike(r"\A(?:\$\{|\{\{|<)")
+        )
+        return F.when(suspicious, F.when(password, "HARDCODED_PASSWORD").otherwise("HARDCODED_SECRET"))
+
+    return F.when(name.rlike(r"(?iU)\A" + V.CREDENTIAL_NAME + r"\z"), X.bind(X.strip(value), judged))
 
 
 def _limit_findings(item, label, limits, metrics):
@@ -210,14 +213,15 @@ def comment_spans(lines):
 
     Only lines with a comment mark are folded over, and the state holds spans, not lines.
     """
-    marks = F.filter(
-        F.transform(
-            lines,
-            lambda line, i: F.struct(
-                i.alias("i"), X.strip(line).startswith("/*").alias("opens"), line.contains("*/").alias("closes")
-            ),
+    marked = F.filter(
+        F.transform(lines, lambda line, i: F.struct(line.alias("t"), i.alias("i"))),
+        lambda x: x["t"].contains("*/") | x["t"].contains("/*"),
+    )
+    marks = F.transform(
+        marked,
+        lambda x: F.struct(
+            x["i"].alias("i"), x["t"].rlike(r"(?U)^\s*/\*").alias("opens"), x["t"].contains("*/").alias("closes")
         ),
-        lambda m: m["opens"] | m["closes"],
     )
     span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     state = "struct<open:int,spans:array<struct<a:int,b:int>>>"
@@ -256,14 +260,18 @@ def _script_security_findings(lines, spans):
     worth = F.filter(
         F.transform(lines, lambda line, i: F.struct(line.alias("t"), i.alias("i"))),
         lambda x: (x["t"].contains("=") | x["t"].rlike("(?i)createHash"))
-        & ~X.strip(x["t"]).rlike(r"^(?:#|//)")
+        & ~x["t"].rlike(r"(?U)^\s*(?:#|//)")
         & ~F.exists(spans, lambda s: x["i"].between(s["a"], s["b"])),
     )
 
     def of(x):
         name, value = (F.regexp_extract(x["t"], LITERAL_ASSIGNMENT, g) for g in (1, 3))
-        rule = F.when(x["t"].rlike(LITERAL_ASSIGNMENT), credential_rule(name, value))
+        # no name, no assignment
+        rule = X.bind(name, lambda n: F.when(n != "", credential_rule(n, value)))
         algorithm = F.upper(F.regexp_extract(x["t"], WEAK_HASH_CALL, 1))
+        return X.bind(F.struct(rule.alias("rule"), algorithm.alias("hash")), lambda b: found(x, b["rule"], b["hash"]))
+
+    def found(x, rule, algorithm):
         return F.array_compact(
             F.array(
                 F.when(rule.isNotNull(),
@@ -310,7 +318,7 @@ def explode_findings(scanned, keep, offset=None, label=None):
     f = F.col("f")
     line = f["line"] if offset is None else f["line"] + F.col(offset)
     message = f["message"] if label is None else F.concat(F.col(label), f["message"])
-    return scanned.select(*keep, F.explode("findings").alias("f")).select(
+    return each(scanned, "findings", "f", keep).select(
         *[c for c in keep if c not in (offset, label)],
         f["issue_type"].alias("issue_type"), f["severity"].alias("severity"), message.alias("message"),
         line.alias("line"), f["suggestion"].alias("suggestion"),

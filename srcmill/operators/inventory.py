@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
+from ..functions import text as X
+from ..functions.rows import each
 from .running import running_total
 
 
@@ -112,7 +114,7 @@ def substring_pairs(needles, needle, texts, text, on, grams=(1, 2, 3, 4)):
     longest = max(grams)
     keyed = needles.filter(F.length(needle) >= min(grams)).withColumn("_gram", F.substring(needle, 1, longest))
     pieces = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in grams]))
-    opened = texts.withColumn("_gram", F.explode(pieces))
+    opened = each(texts, pieces, "_gram", texts.columns)
     return (
         opened.join(keyed, [*on, "_gram"])
         .filter((F.length(needle) < longest) | F.col(text).contains(F.col(needle)))
@@ -183,9 +185,9 @@ def with_importance(files):
 
 def path_tree(files):
     """Distinct folder and file nodes with their parent; show in order (parent, kind desc, name)."""
-    parts = F.split("path", "/")
-    node = F.explode(
-        F.transform(
+    nodes = X.bind(
+        F.split("path", "/"),
+        lambda parts: F.transform(
             F.sequence(F.lit(1), F.size(parts)),
             lambda n: F.struct(
                 F.array_join(F.slice(parts, 1, n), "/").alias("node_path"),
@@ -193,9 +195,9 @@ def path_tree(files):
                 F.element_at(parts, n).alias("name"),
                 F.when(n == F.size(parts), "file").otherwise("folder").alias("kind"),
             ),
-        )
+        ),
     )
-    return files.select("repository_id", node.alias("n")).select("repository_id", "n.*").distinct()
+    return each(files, nodes, "n", ["repository_id"]).select("repository_id", "n.*").distinct()
 
 
 def symbol_outline(symbols, kinds=("class", "struct", "interface", "enum", "record", "namespace", "type")):

@@ -54,14 +54,14 @@ def _starts(text, pattern):
 def block_end(net, start, last):
     """Last line of the block that starts on line `start`; `net` holds opened minus closed braces per line.
 
-    Most blocks are short, so the next 200 lines are tried before the rest of the file.
+    Most blocks are short, so the next lines are tried before the rest of the file.
     """
     rest = F.greatest(last - start + 1, F.lit(0))
-    return F.coalesce(
-        _first_closed(F.slice(net, start, F.least(rest, F.lit(200))), start),
-        F.when(rest > 200, _first_closed(F.slice(net, start, rest), start)),
-        last,
-    )
+    tried = [
+        F.when(F.lit(seen) < rest, _first_closed(F.slice(net, start, F.least(rest, F.lit(ahead))), start))
+        for seen, ahead in ((0, 12), (12, 100), (100, 1_000_000_000))
+    ]
+    return F.coalesce(*tried, last)
 
 
 def _first_closed(net, start):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as X
+from ..functions.rows import each
 from .inventory import substring_pairs
 from .running import first_per_group, running_total
 
@@ -24,7 +25,7 @@ def keyword_candidates(chunks, questions, scope="repository_id"):
 
     Only names are read here; content is joined back later.  Equal keywords of several questions are matched once.
     """
-    asked = questions.select(scope, "question_id", F.explode("keywords").alias("term"))
+    asked = each(questions, "keywords", "term", [scope, "question_id"])
     # words never contain the separator, so one text covers both names
     names = chunks.select(
         scope, "id",

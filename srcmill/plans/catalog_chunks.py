@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as X
+from ..functions.rows import each
 from ..operators import chunks as C
 from ..operators import code_scan as S
 from ..operators import documents as D
@@ -182,7 +183,7 @@ def json_sections(t):
         )
     )
     files = t.spread("documents").select("doc_id", body.alias("text"), F.lit("json").alias("language"))
-    return D.read_documents(files, ["doc_id"]).select("doc_id", F.explode("sections").alias("s")).select(
+    return each(D.read_documents(files, ["doc_id"]), "sections", "s", ["doc_id"]).select(
         "doc_id", "s.name", "s.start_line", "s.end_line"
     )
 
@@ -256,10 +257,8 @@ SQL_FUNCTIONS = f"""SELECT doc_id, i, len(string_split(line, ' ')) % 12 + 1 AS n
 def python_symbols(t):
     from .index import python_outline
 
-    return (
-        python_outline(python_sources(t), ["doc_id"])
-        .select("doc_id", F.explode("symbols").alias("s"))
-        .select("doc_id", "s.name", "s.type", "s.start_line", "s.end_line", "s.signature", "s.complexity")
+    return each(python_outline(python_sources(t), ["doc_id"]), "symbols", "s", ["doc_id"]).select(
+        "doc_id", "s.name", "s.type", "s.start_line", "s.end_line", "s.signature", "s.complexity"
     )
 
 
@@ -283,7 +282,7 @@ def python_findings(t):
 )
 def python_imports(t):
     facts = pyfacts.with_python_facts(python_sources(t), ["doc_id"])
-    return facts.select("doc_id", F.explode("imports").alias("i")).select("doc_id", "i.module", "i.line")
+    return each(facts, "imports", "i", ["doc_id"]).select("doc_id", "i.module", "i.line")
 
 
 def script_sources(t):
@@ -313,7 +312,7 @@ def script_sources(t):
     UNION ALL SELECT doc_id, 'go', 'function', (4 * n + 5)::INT, (4 * n + 7)::INT, 'const go = () =>', 0.0 FROM d""",
 )
 def script_symbols(t):
-    return J.with_js_outline(script_sources(t)).select("doc_id", F.explode("symbols").alias("s")).select(
+    return each(J.with_js_outline(script_sources(t)), "symbols", "s", ["doc_id"]).select(
         "doc_id", "s.name", "s.type", "s.start_line", "s.end_line", "s.signature", "s.complexity"
     )
 
@@ -325,7 +324,7 @@ def script_symbols(t):
 )
 def script_imports(t):
     lines = script_sources(t).select("doc_id", X.split_lines(F.col("text")).alias("lines"))
-    return lines.select("doc_id", F.explode(J.js_imports(F.col("lines"))).alias("i")).select("doc_id", "i.module", "i.line")
+    return each(lines, J.js_imports(F.col("lines")), "i", ["doc_id"]).select("doc_id", "i.module", "i.line")
 
 
 def marked_scripts(t):

@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as X
+from ..functions.rows import each
 from ..operators import chunks as C
 from ..operators import documents as D
 from ..operators import inventory as N
 from ..operators import js_outline as J
 from ..operators import pyfacts
 from ..operators import vectors as VE
+from ..operators.arrow_map import append_columns
 from ..session import work_path
 from ..sources import tree as T
 
@@ -36,7 +38,7 @@ def _mean_complexity(symbols):
 
 def _document_parser(language):
     def parse(text):
-        doc = D._document(text, language)
+        doc = D.document_view(text, language)
         out = dict(
             error=None if doc["valid"] else "; ".join(doc["warnings"]), view=doc["view"], sections=doc["sections"],
             parsed_symbols=[], parsed_imports=[], cell_complexity=0.0,
@@ -67,24 +69,11 @@ PARSERS = {"python": parse_python, "json": _document_parser("json"), "notebook":
 def with_parsed(files, keep, parsers=None):
     """Append the PARSED columns; rows of languages without a registered parser keep NULLs."""
     parsers = dict(PARSERS if parsers is None else parsers)
-    fields = ["error", "view", "cell_complexity", "parsed_symbols", "parsed_imports", "sections"]
-    symbol = ("name", "type", "start_line", "end_line", "parent_name", "signature", "docstring", "complexity")
-
-    def parse(batches):
-        for batch in batches:
-            rows = [parsers[lang](text) if lang in parsers else {} for lang, text in zip(batch["language"], batch["text"])]
-            for r in rows:
-                if r.get("parsed_symbols"):
-                    r["parsed_symbols"] = [{f: s.get(f) for f in symbol} for s in r["parsed_symbols"]]
-            out = batch[list(keep)].copy()
-            for f in fields:
-                out[f] = [r.get(f) for r in rows]
-            yield out
-
-    kinds = dict(files.dtypes)
-    wanted = list(dict.fromkeys([*keep, "text", "language"]))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + PARSED
-    return files.select(*wanted).mapInPandas(parse, schema)
+
+    def parse(text, language):
+        return parsers[language](text) if language in parsers else {}
+
+    return append_columns(files, keep, ["text", "language"], PARSED, parse)
 
 
 def python_outline(files, keep):
@@ -135,9 +124,9 @@ def chunk_rows(parsed):
 
 
 def symbol_rows(parsed):
-    return parsed.filter("parsed").select(
-        "repository_id", F.col("id").alias("file_id"), F.explode("symbols").alias("s")
-    ).select("repository_id", "file_id", "s.*")
+    return each(parsed.filter("parsed"), "symbols", "s", ["repository_id", "id"]).select(
+        "repository_id", F.col("id").alias("file_id"), "s.*"
+    )
 
 
 def file_rows(parsed, dependents="complete"):
