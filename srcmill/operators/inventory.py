@@ -107,16 +107,30 @@ def _grams(text, n):
 def substring_pairs(needles, needle, texts, text, on, grams=(1, 2, 3, 4)):
     """Rows of `needles` x `texts` where the needle occurs in the text and the `on` columns are equal.
 
-    A substring condition alone would force a nested loop over both tables.  A needle of at least four characters
-    must share its first four characters with the text, a shorter one must be one of the text's grams of that
-    length; so both sides meet in an equi-join on (on, gram) and only real candidates are compared.
+    A substring condition alone would force a nested loop over both tables.  A text that contains the needle also
+    contains each of the needle's grams (four characters, or the whole of a shorter needle), so both sides meet in
+    an equi-join on one gram and only real candidates are compared.  The gram that the fewest texts contain is
+    taken: with a shared one, such as a common folder name, every needle would meet every text.
     """
     longest = max(grams)
-    keyed = needles.filter(F.length(needle) >= min(grams)).withColumn("_gram", F.substring(needle, 1, longest))
     pieces = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in grams]))
     opened = each(texts, pieces, "_gram", texts.columns)
+    frequency = opened.groupBy(*on, "_gram").agg(F.count("*").alias("_texts"))
+    wanted = needles.filter(F.length(needle) >= min(grams))
+    own = F.when(F.length(needle) < longest, F.array(F.col(needle))).otherwise(_grams(F.col(needle), longest))
+    rarest = (
+        each(wanted.select(*on, needle).distinct(), own, "_gram", [*on, needle])
+        .join(frequency, [*on, "_gram"], "left")
+        .groupBy(*on, needle)
+        .agg(
+            F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), F.col("_gram"))).alias("_gram"),
+            F.min(F.coalesce("_texts", F.lit(0))).alias("_texts"),
+        )
+        .filter("_texts > 0")
+        .drop("_texts")
+    )
     return (
-        opened.join(keyed, [*on, "_gram"])
+        opened.join(wanted.join(rarest, [*on, needle]), [*on, "_gram"])
         .filter((F.length(needle) < longest) | F.col(text).contains(F.col(needle)))
         .drop("_gram")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as X
+from ..functions.rows import each
 from ..operators import accounts as A
 from ..operators import chunks as C
 from ..operators import inventory as N
@@ -363,9 +364,8 @@ KINDS = ["class", "function", "method"]
 
 
 def line_symbols(t):
-    rows = t("documents").select(
-        F.col("doc_id").alias("file_id"), F.posexplode(X.split_lines(F.col("text"))).alias("i", "docstring")
-    )
+    files = t("documents").withColumnRenamed("doc_id", "file_id")
+    rows = each(files, X.split_lines(F.col("text")), "docstring", ["file_id"], position="i")
     n = F.col("i") + 1
     return rows.select(
         "file_id", F.concat(F.lit("n"), (n % 5).cast("string")).alias("name"),

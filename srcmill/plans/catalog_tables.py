@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..functions import text as X
+from ..functions.rows import each
 from ..operators import inventory as N
 from ..operators import scores as R
 from ..operators import snapshots as D
@@ -276,9 +277,9 @@ SQL_HREFS = """SELECT page_id, lower(unnest(regexp_extract_all(html, 'href="/([^
 
 def page_imports(t):
     links = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
-    return t("pages").select(
-        F.lit("pages").alias("repository_id"), F.col("page_id").alias("seq"), F.explode(links).alias("module")
-    ).withColumn("module", F.lower("module"))
+    return each(t("pages"), links, "module", ["page_id"]).select(
+        F.lit("pages").alias("repository_id"), F.col("page_id").alias("seq"), F.lower("module").alias("module")
+    )
 
 
 @query(
