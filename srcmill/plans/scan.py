@@ -16,8 +16,11 @@ UNPARSED = "Python syntax could not be parsed; excluded from health scoring."
 JSON_LABEL = "JSON validated; no code health score"
 
 
-def scan_files(files):
-    """files: (repository_id, file_id, path, language, text).  Returns findings, exclusions and coverage."""
+def scan_files(files, analyzers=()):
+    """files: (repository_id, file_id, path, language, text).  Returns findings, exclusions and coverage.
+
+    analyzers: further functions from the files to findings (KEYS, issue_type, severity, message, line, suggestion).
+    """
     python = files.filter("language = 'python'").select(
         *KEYS, "text", F.lit(0).alias("offset"), F.lit("").alias("label"), F.lit(False).alias("is_cell")
     )
@@ -45,6 +48,8 @@ def scan_files(files):
         ),
         [*KEYS, "offset", "label"], "offset", "label",
     )
+    for analyzer in analyzers:
+        findings = findings.unionByName(analyzer(files).select(*findings.columns))
     exclusions = (
         checked.filter("not parsed").select("repository_id", "path", F.concat("label", F.lit(UNPARSED)).alias("reason"))
         .unionByName(
