@@ -144,16 +144,16 @@ SQL_CUSTOMERS = """SELECT c_custkey::VARCHAR AS id, CASE WHEN c_nationkey % 5 <>
 
 @query(
     "seeded_ledger",
-    f"""SELECT id AS repository_id, owner_id, CASE WHEN c_custkey % 4 = 0 THEN 'known' WHEN source_type = 'github' AND source_url IS NOT NULL
+    f"""SELECT id AS repository_id, owner_id, CASE WHEN source_type = 'zip' THEN 'known' WHEN source_type = 'github' AND source_url IS NOT NULL
       THEN CASE WHEN lower(source_url) LIKE 'https://github.com/%' THEN lower(regexp_replace(rtrim(source_url, '/'), '\\.git$', ''))
         ELSE regexp_replace(rtrim(source_url, '/'), '\\.git$', '') END ELSE 'legacy:' || id END AS source_key,
-      CASE WHEN c_custkey % 4 = 0 THEN 'r' ELSE 'legacy:' || id END AS revision,
-      CASE WHEN c_custkey % 4 = 0 THEN 'COMPLETED' WHEN status = 'READY' THEN 'COMPLETED' WHEN status = 'FAILED' THEN 'FAILED'
+      CASE WHEN source_type = 'zip' THEN 'r' ELSE 'legacy:' || id END AS revision,
+      CASE WHEN source_type = 'zip' THEN 'COMPLETED' WHEN status = 'READY' THEN 'COMPLETED' WHEN status = 'FAILED' THEN 'FAILED'
         ELSE 'RESERVED' END AS status FROM ({SQL_CUSTOMERS}) WHERE owner_id IS NOT NULL""",
 )
 def seeded_ledger(t):
     repos = customer_repositories(t)
-    known = repos.filter((F.col("id").cast("long") % 4 == 0) & F.col("owner_id").isNotNull()).select(
+    known = repos.filter("source_type = 'zip' and owner_id is not null").select(
         F.col("id").alias("repository_id"), "owner_id", F.lit("known").alias("source_key"), F.lit("r").alias("revision"),
         F.lit("COMPLETED").alias("status"), "created_at",
     )

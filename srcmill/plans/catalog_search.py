@@ -176,6 +176,50 @@ def retrieve(chunks, questions, n_initial=V.VECTOR_HITS, n_final=V.CONTEXT_HITS,
     return R.best_of(near.drop("rank").unionByName(words.drop("rank")), n_final)
 
 
+def word_buckets(text):
+    """A plug-in embedding that SQL can repeat: unit vector of word counts in 64 hash buckets."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % 64)
+    counts = X.bind(
+        buckets,
+        lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")),
+    )
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    return X.bind(counts, lambda c: X.bind(length(c), lambda n: F.transform(c, lambda x: x / n)))
+
+
+def sql_unit(text):
+    """The same embedding of a text in SQL, as a subquery column."""
+    words = f"regexp_extract_all(lower(left({text}, 2000)), '[\\p{{L}}\\p{{N}}_]+')"
+    buckets = f"list_transform({words}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64)"
+    return f"list_transform(range(64), lambda i: len(list_filter({buckets}, lambda x: x = i))::DOUBLE)"
+
+
+@query(
+    "hybrid_retrieval",
+    f"""WITH p AS MATERIALIZED (SELECT page_id, html, url, regexp_extract(html, '{TITLE}', 1) AS title,
+        CASE WHEN page_id % 3 = 0 THEN 'function' ELSE 'page' END AS kind FROM pages),
+    pv AS MATERIALIZED (SELECT page_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT page_id,
+        {sql_unit("'File: ' || url || chr(10) || 'Symbol: ' || title || ' (' || kind || ')' || chr(10) || chr(10) || html")} AS v FROM p)),
+    qv AS MATERIALIZED (SELECT item_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT item_id,
+        {sql_unit("text")} AS v FROM benchmark)),
+    hits AS MATERIALIZED (SELECT item_id AS question_id, page_id AS id, round(c, 4) AS score, row_number() OVER (PARTITION BY item_id ORDER BY c DESC,
+        page_id) AS vr FROM (SELECT item_id, page_id, round(list_dot_product(pv.v, qv.v), 12) AS c FROM pv, qv) QUALIFY vr <= 30),
+    c AS MATERIALIZED (SELECT * FROM hits UNION ALL SELECT question_id, id, 0.3, NULL FROM ({SQL_CANDIDATES}) k WHERE NOT EXISTS (
+        SELECT 1 FROM hits h WHERE h.question_id = k.question_id AND h.id = k.id)),
+    t AS (SELECT item_id, term FROM (SELECT item_id, unnest({SQL_TERMS}) AS term FROM benchmark) WHERE term NOT IN {sql_in(V.STOP_WORDS)}),
+    s AS (SELECT question_id, id, any_value(vr) AS vr, round(any_value(score) + count(*) FILTER (contains(lower(html), term)) * 0.05
+        + count(*) FILTER (contains(lower(title), term)) * 0.1 + count(*) FILTER (contains(lower(url), term)) * 0.08
+        + CASE WHEN id % 3 = 0 THEN 0.03 ELSE 0 END, 9)::DOUBLE AS final_score
+      FROM c JOIN p ON p.page_id = c.id LEFT JOIN t ON t.item_id = c.question_id GROUP BY question_id, id)
+    SELECT question_id, id, final_score, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, vr NULLS LAST, id)::INT AS rank
+    FROM s QUALIFY rank <= 8""",
+)
+def hybrid_retrieval(t):
+    ranked = retrieve(page_chunks(t), page_questions(t), embedder=word_buckets)
+    return ranked.select("question_id", "id", "final_score", "rank")
+
+
 @query("retrieved_contexts")
 def retrieved_contexts(t):
     chunks, questions = page_chunks(t), page_questions(t)

@@ -34,21 +34,18 @@ def stream_admissions(spark, sf_dir):
 
 @stream_query(
     "stream_progress",
-    """WITH u AS (SELECT user_id AS repository_id, ts, CASE event_type WHEN 'purchase' THEN 'READY' WHEN 'error' THEN 'FAILED'
-      WHEN 'click' THEN 'PARSING' ELSE 'INDEXING' END AS status, event_type IN ('purchase', 'error') AS ended FROM events
-      WHERE user_id % 3 = 0 OR event_type NOT IN ('purchase', 'error'))
+    """WITH u AS (SELECT user_id AS repository_id, ts, CASE WHEN event_type = 'purchase' AND value > 70 THEN 'READY' WHEN event_type = 'error'
+      AND value > 90 THEN 'FAILED' WHEN event_type = 'click' THEN 'PARSING' ELSE 'INDEXING' END AS status,
+      (event_type = 'purchase' AND value > 70) OR (event_type = 'error' AND value > 90) AS ended FROM events)
     SELECT repository_id, coalesce(arg_min(status, ts) FILTER (ended), arg_max(status, ts)) AS status, bool_or(ended) AS terminal
     FROM u GROUP BY repository_id""",
 )
 def stream_progress(spark, sf_dir):
-    kind = F.col("event_type")
-    # two thirds of the repositories never reach an end
-    updates = read_table_stream(spark, f"{sf_dir}/events.parquet").filter(
-        (F.col("user_id") % 3 == 0) | ~kind.isin("purchase", "error")
-    ).select(
+    kind, value = F.col("event_type"), F.col("value")
+    updates = read_table_stream(spark, f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias("repository_id"), "ts",
-        F.when(kind == "purchase", "READY").when(kind == "error", "FAILED").when(kind == "click", "PARSING")
-        .otherwise("INDEXING").alias("status"),
+        F.when((kind == "purchase") & (value > 70), "READY").when((kind == "error") & (value > 90), "FAILED")
+        .when(kind == "click", "PARSING").otherwise("INDEXING").alias("status"),
     )
     folder = catch_up(J.progress(updates), mode="update", label="progress")
     return J.current_progress(spark.read.parquet(f"{folder}/out"))

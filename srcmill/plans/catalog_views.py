@@ -94,7 +94,7 @@ def files_by_importance(t):
     return W.files_by_importance(corpus_files(t).select("repository_id", "path", "importance_score"))
 
 
-@query("symbol_order", f"SELECT file_id, name, start_line FROM ({SQL_SYMBOLS}) ORDER BY start_line, name")
+@query("symbol_order", f"SELECT file_id, name, start_line::INT AS start_line FROM ({SQL_SYMBOLS}) ORDER BY start_line, name")
 def symbol_order(t):
     return W.in_symbol_order(line_symbols(t).select("file_id", "name", "start_line"))
 
@@ -161,11 +161,12 @@ def stale_indexes(t):
 
 @query(
     "invalidated_runs",
-    f"""SELECT id, CASE WHEN status = 'COMPLETED' AND repository_id % 3 = 0 THEN 'STALE' ELSE status END AS status FROM ({SQL_JOBS})""",
+    f"""SELECT id, CASE WHEN status = 'COMPLETED' AND repository_id IN (SELECT user_id FROM events WHERE value > 80)
+      THEN 'STALE' ELSE status END AS status FROM ({SQL_JOBS})""",
 )
 def invalidated_runs(t):
     jobs = event_jobs(t).withColumn("job_type", F.lit("ANALYSIS"))
-    changed = jobs.select("repository_id").filter(F.col("repository_id") % 3 == 0)
+    changed = t("events").filter("value > 80").select(F.col("user_id").alias("repository_id"))
     return D.invalidate_runs(jobs, changed).select("id", "status")
 
 
