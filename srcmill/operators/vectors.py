@@ -104,7 +104,8 @@ def _partial_winners(rows, k, id_col, query_col, scope, arrow):
                 continue
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             block = flat.reshape(batch.num_rows, -1)
-            ids = np.array(batch.column(id_col).to_pylist())
+            ids = batch.column(id_col).to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object else ids
             here = np.array(batch.column(scope).to_pylist()) if scope else None
             for value in np.unique(here) if scope else [None]:
                 q = np.flatnonzero(scopes == value) if scope else np.arange(len(labels))
