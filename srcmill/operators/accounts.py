@@ -249,17 +249,11 @@ def busy_and_stalled(jobs, now, minutes=V.STALLED_JOB_MINUTES, done=("READY", "F
     return jobs.agg(F.count_if(active).alias("busy"), F.count_if(active & stalled).alias("stalled"))
 
 
-INTERRUPTED = {
-    "CHAT": "Reply interrupted by a server restart. The question is saved; send it again to get a reply.",
-    "ANALYSIS": "Scan interrupted by a server restart. Run analysis again. Previous results were retained.",
-}
-
-
 def recover_jobs(jobs):
     """Jobs that were active at a restart become FAILED with the reason for their kind."""
     open_job = F.col("status").isin("PENDING", "RUNNING")
     kind = F.when(F.col("job_type").startswith("CHAT:"), "CHAT").when(F.col("job_type") == "ANALYSIS", "ANALYSIS")
-    reasons = F.create_map(*[F.lit(x) for pair in INTERRUPTED.items() for x in pair])
+    reasons = F.create_map(*[F.lit(x) for pair in V.INTERRUPTED.items() for x in pair])
     hit = open_job & kind.isNotNull()
     return jobs.withColumn(
         "error_message", F.when(hit, F.try_element_at(reasons, kind)).otherwise(F.col("error_message"))
@@ -268,9 +262,8 @@ def recover_jobs(jobs):
 
 def recover_repositories(repositories):
     stuck = F.col("status").isin("UPLOADING", "PARSING", "INDEXING", "ANALYZING")
-    text = "Processing was interrupted by a server restart. Please upload or clone the repository again."
     return repositories.withColumn(
-        "error_message", F.when(stuck, text).otherwise(F.col("error_message"))
+        "error_message", F.when(stuck, V.INTERRUPTED_IMPORT).otherwise(F.col("error_message"))
     ).withColumn("status", F.when(stuck, "FAILED").otherwise(F.col("status")))
 
 

@@ -8,31 +8,30 @@ from ..functions.rows import each
 from . import pyfacts
 
 FINDING = "struct<issue_type:string,severity:string,message:string,line:int,suggestion:string>"
-CREDENTIAL_MESSAGE = "Possible hardcoded credential in a string literal"
-CREDENTIAL_ADVICE = "Review the value; load real credentials from a secrets manager"
-HASH_ADVICE = "Use a modern hash when collision resistance is required"
-SQL_START = r"^\s*(?i:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|WITH)\b"
-# metric, low bound, high bound (severity HIGH above it), rule, message start, unit, advice
-FUNCTION_LIMITS = [
-    ("length", 50, 100, "LONG_FUNCTION", "is", "lines long", "Break into smaller focused functions"),
-    ("params", 5, 8, "TOO_MANY_PARAMS", "has", "parameters", "Consider using a config object or dataclass"),
-    ("branches", 10, 15, "HIGH_COMPLEXITY", "has cyclomatic complexity of", "", "Simplify logic, extract helper functions"),
-    ("nesting", 4, 6, "DEEP_NESTING", "has nesting depth of", "", "Use early returns or extract nested logic"),
-]
-CLASS_LIMITS = [
-    ("length", 200, None, "LARGE_CLASS", "is", "lines long", "Consider splitting into smaller classes"),
-    ("methods", 15, None, "TOO_MANY_METHODS", "has", "methods", "Consider splitting responsibilities"),
-]
-
-
-def finding(rule, severity, message, line, advice):
-    as_column = lambda v: v if hasattr(v, "alias") and not isinstance(v, str) else F.lit(v)
+
+
+def finding(rule, texts, line, *fills):
+    """A finding struct; `texts` is (severity, message, advice), and `fills` go into the gaps of the texts."""
+    severity, message, advice = texts
+    as_column = lambda v: F.lit(v) if isinstance(v, str) else v
     return F.struct(
         as_column(rule).alias("issue_type"), as_column(severity).alias("severity"),
-        as_column(message).alias("message"), line.cast("int").alias("line"), as_column(advice).alias("suggestion"),
+        _filled(message, fills).alias("message"), line.cast("int").alias("line"), _filled(advice, fills).alias("suggestion"),
     )
 
 
+def _filled(text, fills):
+    parts = text.split("{}")
+    pieces = [F.lit(parts[0])]
+    for part, fill in zip(parts[1:], fills):
+        pieces += [fill, F.lit(part)]
+    return F.concat(*pieces) if len(pieces) > 1 else pieces[0]
+
+
+def known_finding(rule, line, *fills):
+    return finding(rule, V.FINDINGS[rule], line, *fills)
+
+
 def credential_rule(name, value):
     """Rule name for a credential-like literal, else NULL."""
     password = F.lower(name).contains("password") | F.lower(name).isin("passwd", "pwd")
@@ -41,23 +40,20 @@ def credential_rule(name, value):
         suspicious = (
             (F.length(trimmed) >= 4)
             & ~F.lower(trimmed).isin(V.PLACEHOLDER_VALUES)
-            & ~trimmed.rlike(r"\A(?:\$\{|\{\{|<)")
+            & ~trimmed.rlike(V.TEMPLATE_VALUE)
         )
         return F.when(suspicious, F.when(password, "HARDCODED_PASSWORD").otherwise("HARDCODED_SECRET"))
 
     return F.when(name.rlike(r"(?iU)\A" + V.CREDENTIAL_NAME + r"\z"), X.bind(X.strip(value), judged))
 
 
-def _limit_findings(item, label, limits, metrics):
+def _limit_findings(item, limits, metrics):
     out = []
-    for metric, low, high, rule, verb, unit, advice in limits:
+    for metric, low, high, rule, message, advice in limits:
         n = metrics[metric]
         severity = F.lit("MEDIUM") if high is None else F.when(n > high, "HIGH").otherwise("MEDIUM")
-        message = F.concat_ws(
-            " ", F.concat(F.lit(f"{label} '"), item["name"], F.lit("'")), F.lit(verb), n.cast("string"),
-            *([F.lit(unit)] if unit else []),
-        )
-        out.append(F.when(n > low, finding(rule, severity, message, item["line"], advice)))
+        found = finding(rule, (severity, message, advice), item["line"], item["name"], n.cast("string"))
+        out.append(F.when(n > low, found))
     return out
 
 
@@ -67,10 +63,10 @@ def metric_findings(callables):
     def of(c):
         length = c["end_line"] - c["line"]
         as_function = _limit_findings(
-            c, "Function", FUNCTION_LIMITS,
+            c, V.FUNCTION_LIMITS,
             dict(length=length, params=c["params"], branches=c["branches_own"], nesting=c["nesting"]),
         )
-        as_class = _limit_findings(c, "Class", CLASS_LIMITS, dict(length=length, methods=c["methods"]))
+        as_class = _limit_findings(c, V.CLASS_LIMITS, dict(length=length, methods=c["methods"]))
         return F.array_compact(
             F.when(c["kind"] == "class", F.array(*as_class)).otherwise(F.array(*as_function))
         )
@@ -80,49 +76,20 @@ def metric_findings(callables):
 
 def _call_findings(c):
     callee, line = c["callee"], c["line"]
-    sql = c["attribute"].isin("execute", "executemany") & F.exists(c["literals"], lambda t: t.rlike(SQL_START))
-    runs_shell = callee.isin("os.system", "os.popen") | (
-        callee.isin("subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_call",
-                    "subprocess.check_output") & c["shell"]
+    sql = c["attribute"].isin(V.EXECUTE_METHODS) & F.exists(c["literals"], lambda t: t.rlike(V.SQL_START))
+    shell = callee.isin(V.SHELL_CALLS) | (callee.isin(V.PROCESS_CALLS) & c["shell"])
+    named = F.when(callee.isin(V.HASH_CALLS), F.element_at(F.split(callee, r"\."), -1)).when(
+        callee == V.NAMED_HASH_CALL, F.lower(c["constant"])
     )
-    hashing = F.when(callee.isin("hashlib.md5", "hashlib.sha1"), F.element_at(F.split(callee, r"\."), -1)).when(
-        callee == "hashlib.new", F.lower(c["constant"])
-    )
-    hashing = F.when(~c["waived"] & hashing.isin("md5", "sha1"), hashing)
+    weak = F.when(~c["waived"] & named.isin(V.WEAK_HASHES), F.concat(F.lit("WEAK_HASH_"), F.upper(named)))
     return F.array_compact(
         F.array(
-            F.when(
-                callee.isin("eval", "exec", "builtins.eval", "builtins.exec"),
-                finding("UNSAFE_EVAL", "CRITICAL", F.concat(F.lit("Use of "), callee, F.lit("() can execute code")),
-                        line, "Avoid evaluating untrusted input; review its source"),
-            ),
-            F.when(
-                callee.isin("pickle.load", "pickle.loads"),
-                finding("UNSAFE_DESERIALIZATION", "HIGH", "Loading pickle data can execute arbitrary code", line,
-                        "Use a safer format for untrusted data"),
-            ),
-            F.when(
-                sql,
-                finding("SQL_INJECTION", "CRITICAL",
-                        "Dynamically constructed SQL reaches a database execution call", line,
-                        "Use parameterized queries to keep data separate from SQL"),
-            ),
-            F.when(
-                runs_shell & (c["argument"] == "expression"),
-                finding("COMMAND_INJECTION", "CRITICAL",
-                        "A dynamically constructed command is executed through a shell", line,
-                        "Avoid shell=True; pass a validated argument list without a shell"),
-            ),
-            F.when(
-                hashing.isNotNull(),
-                finding(F.concat(F.lit("WEAK_HASH_"), F.upper(hashing)), "MEDIUM",
-                        "Legacy hash called; review whether it protects security-sensitive data", line, HASH_ADVICE),
-            ),
-            F.when(
-                ~c["waived"] & callee.isin("Crypto.Cipher.DES.new", "Cryptodome.Cipher.DES.new"),
-                finding("WEAK_CIPHER_DES", "HIGH", "DES encryption is requested", line,
-                        "Use a modern authenticated encryption scheme"),
-            ),
+            F.when(callee.isin(V.EVAL_CALLS), known_finding("UNSAFE_EVAL", line, callee)),
+            F.when(callee.isin(V.PICKLE_CALLS), known_finding("UNSAFE_DESERIALIZATION", line)),
+            F.when(sql, known_finding("SQL_INJECTION", line)),
+            F.when(shell & (c["argument"] == "expression"), known_finding("COMMAND_INJECTION", line)),
+            F.when(weak.isNotNull(), finding(weak, V.WEAK_HASH_CALLED, line)),
+            F.when(~c["waived"] & callee.isin(V.DES_CALLS), known_finding("WEAK_CIPHER_DES", line)),
         )
     )
 
@@ -135,7 +102,7 @@ def python_security_findings(calls, assigns):
             lambda a: X.bind(
                 credential_rule(a["name"], a["value"]),
                 lambda rule: F.when(
-                    rule.isNotNull(), finding(rule, "HIGH", CREDENTIAL_MESSAGE, a["line"], CREDENTIAL_ADVICE)
+                    rule.isNotNull(), finding(rule, V.CREDENTIAL, a["line"])
                 ),
             ),
         )
@@ -161,18 +128,8 @@ def python_smell_findings(bindings, used, callables):
         callables, lambda c: (c["kind"] != "class") & c["hollow"] & (c["name"] != "__init__")
     )
     return F.concat(
-        F.transform(
-            unused,
-            lambda b: finding("UNUSED_IMPORT", "LOW",
-                              F.concat(F.lit("Import '"), b["name"], F.lit("' appears to be unused")), b["line"],
-                              F.concat(F.lit("Remove unused import '"), b["name"], F.lit("'"))),
-        ),
-        F.transform(
-            hollow,
-            lambda c: finding("EMPTY_FUNCTION", "LOW",
-                              F.concat(F.lit("Function '"), c["name"], F.lit("' has no implementation")), c["line"],
-                              "Implement or remove the function"),
-        ),
+        F.transform(unused, lambda b: known_finding("UNUSED_IMPORT", b["line"], b["name"])),
+        F.transform(hollow, lambda c: known_finding("EMPTY_FUNCTION", c["line"], c["name"])),
     )
 
 
@@ -184,20 +141,13 @@ def generic_smell_findings(lines, language):
         return X.bind(F.upper(F.regexp_extract(line, tag_pattern, 1)), lambda tag: found(line, i, tag))
 
     def found(line, i, tag):
+        debt = finding(
+            F.concat(F.lit("TECHNICAL_DEBT_"), tag), V.FINDINGS["TECHNICAL_DEBT"], i + 1, tag, X.clip(X.strip(line), 60)
+        )
+        shown = known_finding("DEBUG_PRINT", i + 1, (i + 1).cast("string"))
         return F.array_compact(
             F.array(
-                F.when(
-                    tag != "",
-                    finding(F.concat(F.lit("TECHNICAL_DEBT_"), tag), "LOW",
-                            F.concat(tag, F.lit(" comment found: "), X.clip(X.strip(line), 60)), i + 1,
-                            "Address or track this technical debt item"),
-                ),
-                F.when(
-                    (language == "python") & line.rlike(r"^\s*print\s*\("),
-                    finding("DEBUG_PRINT", "LOW",
-                            F.concat(F.lit("print() statement found at line "), (i + 1).cast("string")), i + 1,
-                            "Use logging module instead of print()"),
-                ),
+                F.when(tag != "", debt), F.when((language == "python") & line.rlike(V.DEBUG_PRINT), shown)
             )
         )
 
@@ -244,13 +194,6 @@ def comment_spans(lines):
     )
 
 
-LITERAL_ASSIGNMENT = (
-    r"(?U)^\s*(?:(?:export\s+)?(?:const|let|var)\s+)?(\w+)\s*(?::\s*string\s*)?="
-    r"\s*([\"'])(.*?)\2\s*[;,]?\s*(?://.*)?$"
-)
-WEAK_HASH_CALL = r"(?i)\b(?:crypto\.)?createHash\(\s*['\"](md5|sha1)['\"]\s*\)"
-
-
 def script_security_findings(lines, spans):
     """Credential literals and legacy hashes of JavaScript-like lines outside comments."""
     return X.bind(spans, lambda s: _script_security_findings(lines, s))
@@ -265,21 +208,20 @@ def _script_security_findings(lines, spans):
     )
 
     def of(x):
-        name, value = (F.regexp_extract(x["t"], LITERAL_ASSIGNMENT, g) for g in (1, 3))
+        name, value = (F.regexp_extract(x["t"], V.LITERAL_ASSIGNMENT, g) for g in (1, 3))
         # no name, no assignment
         rule = X.bind(name, lambda n: F.when(n != "", credential_rule(n, value)))
-        algorithm = F.upper(F.regexp_extract(x["t"], WEAK_HASH_CALL, 1))
+        algorithm = F.upper(F.regexp_extract(x["t"], V.WEAK_HASH_CALL, 1))
         return X.bind(F.struct(rule.alias("rule"), algorithm.alias("hash")), lambda b: found(x, b["rule"], b["hash"]))
 
     def found(x, rule, algorithm):
         return F.array_compact(
             F.array(
-                F.when(rule.isNotNull(),
-                       finding(rule, "HIGH", CREDENTIAL_MESSAGE, x["i"] + 1, CREDENTIAL_ADVICE)),
-                F.when(algorithm != "",
-                       finding(F.concat(F.lit("WEAK_HASH_"), algorithm), "MEDIUM",
-                               "Legacy hash requested; review whether it protects security-sensitive data",
-                               x["i"] + 1, HASH_ADVICE)),
+                F.when(rule.isNotNull(), finding(rule, V.CREDENTIAL, x["i"] + 1)),
+                F.when(
+                    algorithm != "",
+                    finding(F.concat(F.lit("WEAK_HASH_"), algorithm), V.WEAK_HASH_REQUESTED, x["i"] + 1),
+                ),
             )
         )
 

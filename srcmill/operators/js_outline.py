@@ -2,17 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import text as X
 
-IMPORT_FROM = r"(?U)import\s+(?:\{[^}]+\}|[\w*]+(?:\s*,\s*\{[^}]+\})?)\s+from\s+['\"]([^'\"]+)['\"]"
-REQUIRE = r"(?U)(?:const|let|var)\s+\w+\s*=\s*require\(['\"]([^'\"]+)['\"]\)"
-CLASS = r"(?mdU)^(?:export\s+)?(?:default\s+)?class\s+(\w+)"
-FUNCTION = r"(?mdU)^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"
-ARROW = r"(?mdU)^(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>"
-BRANCH_PATTERNS = [
-    r"(?U)\bif\b", r"(?U)\belse\b", r"(?U)\bfor\b", r"(?U)\bwhile\b", r"(?U)\bswitch\b", r"(?U)\bcatch\b",
-    r"(?U)\b\?\b", r"(?U)\b&&\b", r"(?U)\b\|\|\b",
-]
 SYMBOLS = (
     "array<struct<name:string,type:string,start_line:int,end_line:int,parent_name:string,signature:string,"
     "docstring:string,complexity:double>>"
@@ -31,7 +23,7 @@ def js_imports(lines):
         )
         return F.filter(hits, lambda h: h["module"] != "")
 
-    return F.concat(found(IMPORT_FROM), found(REQUIRE))
+    return F.concat(found(V.SCRIPT_IMPORT), found(V.SCRIPT_REQUIRE))
 
 
 def _starts(text, pattern):
@@ -78,13 +70,13 @@ def _first_closed(net, start):
 
 
 def js_complexity(code):
-    return (F.lit(1) + X.pattern_hits(code, BRANCH_PATTERNS)).cast("double")
+    return (F.lit(1) + X.pattern_hits(code, V.SCRIPT_BRANCHES)).cast("double")
 
 
 def with_js_outline(files, text="text", imports="imports", symbols_name="symbols"):
     """Add imports and symbols (classes, then functions, then arrow functions); NULL where the text is NULL."""
     staged = files.withColumn("_lines", X.split_lines(F.col(text)))
-    for name, pattern in (("_class", CLASS), ("_function", FUNCTION), ("_arrow", ARROW)):
+    for name, pattern in (("_class", V.SCRIPT_CLASS), ("_function", V.SCRIPT_FUNCTION), ("_arrow", V.SCRIPT_ARROW)):
         staged = staged.withColumn(name, _starts(F.col(text), pattern))
 
     def symbols(found, pattern, kind, lines, net, last):
@@ -98,7 +90,7 @@ def with_js_outline(files, text="text", imports="imports", symbols_name="symbols
             signature = {
                 "_class": F.concat(F.lit("class "), name),
                 "_function": F.concat(
-                    F.lit("function "), name, F.lit("("), F.regexp_extract(x["piece"], FUNCTION, 2), F.lit(")")
+                    F.lit("function "), name, F.lit("("), F.regexp_extract(x["piece"], V.SCRIPT_FUNCTION, 2), F.lit(")")
                 ),
                 "_arrow": F.concat(F.lit("const "), name, F.lit(" = () =>")),
             }[found]
@@ -119,7 +111,8 @@ def with_js_outline(files, text="text", imports="imports", symbols_name="symbols
                 *[
                     symbols(found, pattern, kind, lines, net, F.size(lines))
                     for found, pattern, kind in (
-                        ("_class", CLASS, "class"), ("_function", FUNCTION, "function"), ("_arrow", ARROW, "function")
+                        ("_class", V.SCRIPT_CLASS, "class"), ("_function", V.SCRIPT_FUNCTION, "function"),
+                        ("_arrow", V.SCRIPT_ARROW, "function"),
                     )
                 ]
             ),

@@ -12,10 +12,6 @@ from ..functions import text as X
 from .inventory import api_files
 from .running import first_per_group
 
-FRAMEWORKS = {
-    "python": "pytest", "javascript": "Vitest", "typescript": "Vitest", "java": "JUnit 5",
-    "go": "the standard testing package", "cpp": "GoogleTest",
-}
 
 
 def _string(c):
@@ -213,9 +209,9 @@ def symbol_test_input(requests, files, symbols, chunks):
         .join(f, "file_id", "left")
         .withColumn(
             "error",
-            F.when(F.col("path").isNull(), "File not found")
-            .when(F.col("candidates") == 0, "Symbol not found in this file")
-            .when(F.col("candidates") > 1, "Select a specific symbol ID for an overloaded name"),
+            F.when(F.col("path").isNull(), V.NO_FILE)
+            .when(F.col("candidates") == 0, V.NO_SYMBOL)
+            .when(F.col("candidates") > 1, V.SEVERAL_SYMBOLS),
         )
         .withColumn("framework", framework(F.col("language")))
         .drop("candidates")
@@ -223,8 +219,8 @@ def symbol_test_input(requests, files, symbols, chunks):
 
 
 def framework(language):
-    names = F.create_map(*[F.lit(x) for pair in FRAMEWORKS.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, language), F.lit("the language standard test framework"))
+    names = F.create_map(*[F.lit(x) for pair in V.TEST_FRAMEWORKS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, language), F.lit(V.OTHER_FRAMEWORK))
 
 
 def file_test_input(files, symbols, chunks):

@@ -7,42 +7,19 @@ from ..functions.text import fingerprint, round_half_even
 from .running import latest_per_group
 
 HEALTH_RULES = V.SECURITY_RULES + V.STRUCTURE_RULES
-CREDENTIAL_REASON = "A credential-like literal may expose access to a service. Review whether it is a real secret."
-CRYPTO_REASON = (
-    "A legacy cryptographic primitive is used. Review its purpose; a checksum is not automatically a security "
-    "vulnerability."
-)
-SUGGESTION_REASON = (
-    "A maintainability or style suggestion, not evidence of a defect. It does not reduce the health score."
-)
-RULE_REASONS = {
-    "LONG_LINE": "This rule has been retired and does not affect health.",
-    "WEAK_JWT_ALG": "This rule has been retired and does not affect health.",
-    "HIGH_COMPLEXITY": "Excessive branching or nesting makes behavior harder to reason about and test.",
-    "DEEP_NESTING": "Excessive branching or nesting makes behavior harder to reason about and test.",
-    "SQL_INJECTION": "A dynamically constructed SQL statement reaches a database execution call; parameter binding "
-    "avoids mixing data with SQL.",
-    "COMMAND_INJECTION": "A dynamically constructed command reaches a shell. Untrusted values may be interpreted as "
-    "commands.",
-    "UNSAFE_EVAL": "Dynamic Python evaluation can execute code; review the source and trust level of its input.",
-    "UNSAFE_DESERIALIZATION": "Loading pickle data can execute code; review whether input can be controlled by "
-    "another party.",
-    "UNBOUNDED_BUFFER_OPERATION": "This operation does not enforce buffer capacity and may write beyond the "
-    "destination.",
-}
 
 
 def with_score_impact(issues):
     """Whether a finding counts for health, and why.  The rule table is a literal map, so no join is needed."""
     rule = F.col("issue_type")
-    reasons = F.create_map(*[F.lit(x) for pair in RULE_REASONS.items() for x in pair])
+    reasons = F.create_map(*[F.lit(x) for pair in V.RULE_REASONS.items() for x in pair])
     affects = rule.isin(HEALTH_RULES)
     return issues.withColumn("affects_health", affects).withColumn(
         "score_reason",
         F.coalesce(
             F.try_element_at(reasons, rule),
-            F.when(affects & rule.startswith("HARDCODED_"), CREDENTIAL_REASON).when(affects, CRYPTO_REASON),
-            F.lit(SUGGESTION_REASON),
+            F.when(affects & rule.startswith("HARDCODED_"), V.CREDENTIAL_REASON).when(affects, V.CRYPTO_REASON),
+            F.lit(V.SUGGESTION_REASON),
         ),
     )
 

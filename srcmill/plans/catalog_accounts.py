@@ -315,7 +315,7 @@ def busy_stalled(t):
     "recovered_jobs",
     f"""SELECT event_id AS id, CASE WHEN event_type = 'view' AND event_id % 40 = 0 THEN 'FAILED' WHEN event_type = 'error' THEN 'FAILED'
       WHEN event_type = 'purchase' THEN 'COMPLETED' ELSE 'STALE' END AS status, CASE WHEN event_type = 'view' AND event_id % 40 = 0
-      THEN CASE WHEN user_id % 2 = 0 THEN '{A.INTERRUPTED["CHAT"]}' ELSE '{A.INTERRUPTED["ANALYSIS"]}' END END AS error_message FROM events""",
+      THEN CASE WHEN user_id % 2 = 0 THEN '{V.INTERRUPTED["CHAT"]}' ELSE '{V.INTERRUPTED["ANALYSIS"]}' END END AS error_message FROM events""",
 )
 def recovered_jobs(t):
     jobs = event_jobs(t).withColumns(

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..session import work_path
 from ..sources import store
 from ..streaming import jobs as J

@@ -414,9 +414,9 @@ def issues_by_type(t):
 @query(
     "score_impact",
     f"""SELECT id, issue_type, issue_type IN {SQL_HEALTH} AS affects_health, CASE issue_type
-      WHEN 'LONG_LINE' THEN '{R.RULE_REASONS["LONG_LINE"]}' WHEN 'UNSAFE_EVAL' THEN '{R.RULE_REASONS["UNSAFE_EVAL"]}'
-      WHEN 'HIGH_COMPLEXITY' THEN '{R.RULE_REASONS["HIGH_COMPLEXITY"]}' WHEN 'HARDCODED_SECRET' THEN '{R.CREDENTIAL_REASON}'
-      ELSE '{R.SUGGESTION_REASON}' END AS score_reason FROM ({SQL_ISSUES})""",
+      WHEN 'LONG_LINE' THEN '{V.RULE_REASONS["LONG_LINE"]}' WHEN 'UNSAFE_EVAL' THEN '{V.RULE_REASONS["UNSAFE_EVAL"]}'
+      WHEN 'HIGH_COMPLEXITY' THEN '{V.RULE_REASONS["HIGH_COMPLEXITY"]}' WHEN 'HARDCODED_SECRET' THEN '{V.CREDENTIAL_REASON}'
+      ELSE '{V.SUGGESTION_REASON}' END AS score_reason FROM ({SQL_ISSUES})""",
 )
 def score_impact(t):
     return R.with_score_impact(event_issues(t)).select("id", "issue_type", "affects_health", "score_reason")

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as V
 from ..functions import text as X
 from ..functions.rows import each
 from ..operators import chunks as C

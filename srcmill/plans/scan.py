@@ -12,8 +12,6 @@ from ..session import cut_lineage
 from ..sources import store
 
 KEYS = ["repository_id", "file_id", "path"]
-UNPARSED = "Python syntax could not be parsed; excluded from health scoring."
-JSON_LABEL = "JSON validated; no code health score"
 
 
 def scan_files(files, analyzers=()):
@@ -51,14 +49,14 @@ def scan_files(files, analyzers=()):
     for analyzer in analyzers:
         findings = findings.unionByName(analyzer(files).select(*findings.columns))
     exclusions = (
-        checked.filter("not parsed").select("repository_id", "path", F.concat("label", F.lit(UNPARSED)).alias("reason"))
+        checked.filter("not parsed").select("repository_id", "path", F.concat("label", F.lit(V.UNPARSED_PYTHON)).alias("reason"))
         .unionByName(
             cells.filter("not supported").select("repository_id", "path", F.concat("label", "reason").alias("reason"))
         )
         .unionByName(
             documents.filter("language = 'json' or not valid").select(
                 "repository_id", "path",
-                F.when(F.col("valid"), JSON_LABEL).otherwise(F.array_join("warnings", "; ")).alias("reason"),
+                F.when(F.col("valid"), V.VALID_JSON).otherwise(F.array_join("warnings", "; ")).alias("reason"),
             )
         )
     )

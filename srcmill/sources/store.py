@@ -7,25 +7,6 @@ from pyspark.sql.utils import AnalysisException
 from ..functions import fixed_values as V
 from ..functions import text as X
 
-# table -> exported columns; everything else stays private
-EXPORT_COLUMNS = {
-    "repositories": "id name source_type source_url status total_files processed_files total_chunks total_loc languages created_at updated_at",
-    "files": "id repository_id path language extension size loc hash num_classes num_functions imports complexity_score importance_score importance_level summary created_at",
-    "symbols": "id file_id name type start_line end_line parent_name signature docstring complexity",
-    "analysis_issues": "id repository_id file_id issue_type severity message line suggestion created_at",
-    "analysis_runs": "id repository_id status progress coverage created_at updated_at",
-    "summaries": "id repository_id summary_type target_path content created_at updated_at",
-    "conversations": "id repository_id title created_at updated_at",
-    "messages": "id conversation_id role content sources created_at",
-    "usage_history": "repository_id status created_at",
-}
-COVERAGE_KEYS = [
-    "scanned_files", "scanned_loc", "excluded_files", "exclusions", "python_files_scanned", "compiled_files_scanned",
-    "notebook_cells_scanned", "notebook_cells_skipped", "notebooks_scanned", "json_files_validated",
-    "unsupported_files",
-]
-
-
 def write_table(df, folder, mode="overwrite"):
     """Replace (or append to) the partitions that occur in `df`; other repositories stay untouched."""
     (
@@ -118,14 +99,14 @@ def parse_jsonish(text):
 def keep_coverage(message):
     """Only the published keys of a coverage document."""
     decoded = F.from_json(message, "map<string,string>")
-    return F.map_filter(decoded, lambda k, _: k.isin(COVERAGE_KEYS))
+    return F.map_filter(decoded, lambda k, _: k.isin(V.COVERAGE_KEYS))
 
 
 def export_tables(owned):
     """Column allow-lists and ISO timestamps applied to a dict of owned tables."""
     out = {}
     for name, df in owned.items():
-        wanted = [c for c in EXPORT_COLUMNS[name].split() if c in df.columns]
+        wanted = [c for c in V.EXPORT_COLUMNS[name].split() if c in df.columns]
         kinds = dict(df.dtypes)
         out[name] = df.select(
             *[

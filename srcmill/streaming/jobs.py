@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import snapshots as D
 from ..plans.refresh import refresh_index
 from ..sources import store
 

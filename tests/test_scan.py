@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from srcmill.functions import fixed_values as V
 from srcmill.functions import text as X
 from srcmill.operators import chunks as C
 from srcmill.operators import code_scan as S
@@ -200,7 +201,7 @@ def test_scan_of_documents(spark):
     assert (r.notebook_cells_scanned, r.notebook_cells_skipped, r.json_files_validated, r.scanned_loc) == (1, 1, 1, 2)
     assert (coverage["p"].scanned_files, coverage["p"].unsupported_files) == (1, 2)
     reasons = {(e.path, e.reason) for e in scan["exclusions"].collect()}
-    assert ("bad.py", plan.UNPARSED) in reasons and ("settings.json", plan.JSON_LABEL) in reasons
+    assert ("bad.py", V.UNPARSED_PYTHON) in reasons and ("settings.json", V.VALID_JSON) in reasons
     scores = {s.repository_id: s.health_score for s in plan.summarize_scan(scan).collect()}
     assert scores["q"] is None and scores["p"] == 100 and scores["r"] <= 49
     assert "OUTPUT" not in json.dumps([x.asDict() for x in scan["findings"].collect()])
