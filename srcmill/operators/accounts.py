@@ -158,7 +158,7 @@ def changed_revisions(requests, admissions):
     )
 
 
-def replay_admissions(requests, limit=V.LIFETIME_IMPORTS):
+def replay_admissions(requests, limit=V.LIFETIME_IMPORTS, held=None):
     """Decide a whole history of import requests at once: admitted, reused, or refused.
 
     requests: (owner_id, source_key, revision, `at` struct or scalar that orders an owner's requests uniquely,
@@ -166,22 +166,39 @@ def replay_admissions(requests, limit=V.LIFETIME_IMPORTS):
 
     Slots are taken by the first `limit` distinct (source, revision) pairs whose import did not fail, and they
     never come back; so the outcome follows from the first request of each pair and needs no per-owner loop.
+    `held` names pairs that took a slot before (owner_id, source_key, revision).
     """
     pair = ["owner_id", "source_key", "revision"]
     firsts = requests.filter(~F.col("failed")).groupBy(*pair).agg(F.min("at").alias("first_at"))
-    slots = first_per_group(firsts, "owner_id", "first_at", n=limit, rank="slot")
-    last_slot = (
-        slots.filter(F.col("slot") == limit).select("owner_id", F.col("first_at").alias("full_at"))
-    )
-    judged = requests.join(slots, pair, "left").join(last_slot, "owner_id", "left")
-    held = F.col("first_at").isNotNull() & (F.col("first_at") < F.col("at"))
+    if held is None:
+        known = requests.withColumn("_known", F.lit(False))
+        slots = first_per_group(firsts, "owner_id", "first_at", n=limit, rank="slot").withColumn("free", F.lit(limit))
+        known = known.withColumn("_taken", F.lit(0).cast("long"))
+    else:
+        taken = held.groupBy("owner_id").agg(F.count("*").alias("_taken"))
+        known = (
+            requests.join(held.select(*pair, F.lit(True).alias("_known")), pair, "left")
+            .join(taken, "owner_id", "left")
+            .withColumns({"_known": F.coalesce("_known", F.lit(False)), "_taken": F.coalesce("_taken", F.lit(0))})
+        )
+        slots = (
+            first_per_group(firsts.join(held, pair, "left_anti"), "owner_id", "first_at", n=limit, rank="slot")
+            .join(taken, "owner_id", "left")
+            .withColumn("free", F.lit(limit) - F.coalesce("_taken", F.lit(0)))
+            .drop("_taken")
+            .filter(F.col("slot") <= F.col("free"))
+        )
+    last_slot = slots.filter(F.col("slot") == F.col("free")).select("owner_id", F.col("first_at").alias("full_at"))
+    judged = known.join(slots, pair, "left").join(last_slot, "owner_id", "left")
+    again = F.col("_known") | (F.col("first_at").isNotNull() & (F.col("first_at") < F.col("at")))
+    room = (F.col("_taken") < limit) & (F.col("full_at").isNull() | (F.col("at") < F.col("full_at")))
     return judged.withColumn(
         "outcome",
-        F.when(held, "reused")
+        F.when(again, "reused")
         .when(F.col("at") == F.col("first_at"), "admitted")
-        .when(F.col("failed") & (F.col("full_at").isNull() | (F.col("at") < F.col("full_at"))), "admitted")
+        .when(F.col("failed") & room, "admitted")
         .otherwise("refused"),
-    ).drop("first_at", "slot", "full_at")
+    ).drop("first_at", "slot", "free", "full_at", "_known", "_taken")
 
 
 def settle(admissions, repositories):

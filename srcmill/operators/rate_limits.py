@@ -77,17 +77,20 @@ def _slices(requests, micros, rows_per_key):
     return [r["_end"] * micros for r in ends[:-1]] + [None]
 
 
-def replay_limits(requests, key, time, request_id, limit, seconds, rows_per_key=ROWS_PER_KEY):
-    """(key, request_id, time, accepted, retry_after) for every request."""
-    micros = seconds * 1_000_000
-    staged = requests.select(
+def stage_requests(requests, key, time, request_id):
+    """The narrow columns that a replay needs; keys are compared as text."""
+    return requests.select(
         F.col(key).cast("string").alias("_key"), F.unix_micros(F.col(time).cast("timestamp")).alias("_t"),
         F.lit(False).alias("_carried"), F.col(request_id).alias("_id"),
     )
-    id_type = dict(staged.dtypes)["_id"]
+
+
+def replay(staged, limit, seconds, rows_per_key=ROWS_PER_KEY, carry=None):
+    """Verdicts (`retry_after`, 0 = accepted) for staged requests; `carry` holds earlier accepted rows per key."""
+    micros = seconds * 1_000_000
     columns = ["_key", "_t", "_carried", "_id"]
-    schema = f"_key string, _t bigint, _carried boolean, _id {id_type}, retry_after bigint"
-    done, carry, start = None, None, None
+    schema = f"_key string, _t bigint, _carried boolean, _id {dict(staged.dtypes)['_id']}, retry_after bigint"
+    done, start = None, None
     bounds = _slices(staged, micros, rows_per_key)
     for end in bounds:
         part = staged if start is None else staged.filter(F.col("_t") >= start)
@@ -99,15 +102,24 @@ def replay_limits(requests, key, time, request_id, limit, seconds, rows_per_key=
         )
         if len(bounds) > 1:
             judged = cut_lineage(judged)
-        carry = first_per_group(
-            judged.filter("retry_after = 0").select(*columns), "_key", F.desc("_t"), F.desc("_id"), n=limit
-        ).withColumn("_carried", F.lit(True))
+        carry = last_accepted(judged, limit)
         fresh = judged.filter("not _carried")
         done = fresh if done is None else done.unionByName(fresh)
         start = end
-    kind = dict(requests.dtypes)[key]
+    return done
+
+
+def last_accepted(judged, limit):
+    """What later requests have to know: the last `limit` accepted rows per key."""
+    accepted = judged.filter("retry_after = 0").select("_key", "_t", "_carried", "_id")
+    return first_per_group(accepted, "_key", F.desc("_t"), F.desc("_id"), n=limit).withColumn("_carried", F.lit(True))
+
+
+def replay_limits(requests, key, time, request_id, limit, seconds, rows_per_key=ROWS_PER_KEY):
+    """(key, request_id, accepted, retry_after) for every request of a history."""
+    done = replay(stage_requests(requests, key, time, request_id), limit, seconds, rows_per_key)
     return done.select(
-        F.col("_key").cast(kind).alias(key), F.col("_id").alias(request_id),
+        F.col("_key").cast(dict(requests.dtypes)[key]).alias(key), F.col("_id").alias(request_id),
         (F.col("retry_after") == 0).alias("accepted"), "retry_after",
     )
 

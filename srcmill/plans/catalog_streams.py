@@ -18,17 +18,37 @@ def stream_rate_limit(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
+@stream_query("stream_limit_batches", SQL_LIMITER)
+def stream_limit_batches(spark, sf_dir):
+    """The same limits for very busy keys: sorted batches with a carried table instead of keyed state."""
+    folder = work_path(spark, "limit-batches")
+    events = read_table_stream(spark, f"{sf_dir}/events.parquet")
+    run_batches(events, J.limit_arrivals(folder, "user_id", "ts", "event_id", 2, 86400), folder=folder)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @stream_query("stream_admissions", SQL["admission_replay"])
 def stream_admissions(spark, sf_dir):
+    folder = catch_up(S.admit_imports(import_requests(spark, sf_dir), limit=3), label="admissions")
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@stream_query("stream_admission_batches", SQL["admission_replay"])
+def stream_admission_batches(spark, sf_dir):
+    """The same outcomes for owners with very many requests: joins per batch and a table of taken slots."""
+    folder = work_path(spark, "admission-batches")
+    run_batches(import_requests(spark, sf_dir), J.admit_arrivals(folder, 3), folder=folder)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def import_requests(spark, sf_dir):
     statuses = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
-    requests = read_table_stream(spark, f"{sf_dir}/orders.parquet").select(
+    return read_table_stream(spark, f"{sf_dir}/orders.parquet").select(
         F.col("o_custkey").alias("owner_id"), F.col("o_orderkey").alias("repository_id"),
         F.col("o_orderpriority").alias("source_key"), F.year("o_orderdate").cast("string").alias("revision"),
         (statuses[F.col("o_orderstatus")] == "FAILED").alias("failed"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
-    folder = catch_up(S.admit_imports(requests, limit=3), label="admissions")
-    return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 @stream_query(

@@ -105,15 +105,11 @@ def parsed_files(tree, parsers=None):
 
 
 def chunk_rows(parsed):
-    """Chunks of the parsed files.  Documents are cut by section, everything else by symbols and gaps."""
+    """Chunks of the parsed files: documents by section, other files by symbols and gaps, the rest by lines."""
     body = F.when(F.size("sections") > 0, C.section_blocks(F.col("lines"), F.col("sections"))).otherwise(
         C.file_chunks(F.col("lines"), F.col("symbols"))
     )
-    has_view = F.col("language").isin("json", "notebook")
-    rows = C.explode_chunks(
-        parsed.filter("parsed").filter(~has_view | (F.size("sections") > 0)), body,
-        ["id", "repository_id", "path", "language"],
-    )
+    rows = C.explode_chunks(parsed.filter("parsed"), body, ["id", "repository_id", "path", "language"])
     return rows.select(
         F.sha2(F.concat_ws("\x00", "id", F.col("chunk_index").cast("string")), 256).alias("id"),
         F.col("id").alias("file_id"), "repository_id", "symbol_name", "symbol_type",

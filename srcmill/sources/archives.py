@@ -44,7 +44,9 @@ def archive_manifest(archives):
 
 def judge_manifests(manifest, max_files=V.ARCHIVE_FILES, max_bytes=V.ARCHIVE_BYTES):
     """One verdict row per archive.  Copies of a path are counted after a per-path pre-aggregation."""
-    path = F.regexp_replace(F.replace("member", F.lit("\\"), F.lit("/")), "/+$", "")
+    # 'a//b', './a/b' and 'a/./b' name the same file
+    unix = F.replace("member", F.lit("\\"), F.lit("/"))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(unix, r"/(?:\.?/)+", "/"), r"^(?:\./)+", ""), r"/\.?$", "")
     unsafe = (
         path.startswith("/")
         | F.array_contains(F.split(path, "/"), "..")

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import accounts as A
+from ..operators import rate_limits as L
 from ..plans.refresh import refresh_index
+from ..session import cut_lineage
 from ..sources import store
 
 TERMINAL = ("READY", "FAILED")
@@ -52,6 +55,51 @@ def index_arrivals(folder, **options):
     return handle
 
 
+def limit_arrivals(folder, key, time, request_id, limit, seconds, rows_per_key=L.ROWS_PER_KEY):
+    """A batch handler with the request limits of `replay_limits`, for streams with very busy keys.
+
+    Rows are sorted by Spark and streamed through the replay, so a batch of one key need not fit a task's memory;
+    the last accepted times per key are kept as a table, one version per batch.
+    """
+
+    def handle(batch, number):
+        spark = batch.sparkSession
+        staged = L.stage_requests(batch, key, time, request_id)
+        kind = dict(staged.dtypes)["_id"]
+        state = f"_key string, _t bigint, _carried boolean, _id {kind}"
+        earlier = store.read_folder(spark, f"{folder}/kept", state + ", batch long")
+        newest = earlier.filter(F.col("batch") < number).agg(F.max("batch")).first()[0]
+        carry = earlier.filter(F.col("batch") == newest).drop("batch") if newest is not None else spark.createDataFrame([], state)
+        judged = cut_lineage(L.replay(staged, limit, seconds, rows_per_key, carry))
+        judged.select(
+            F.col("_key").cast(dict(batch.dtypes)[key]).alias(key), F.col("_id").alias(request_id),
+            (F.col("retry_after") == 0).alias("accepted"), "retry_after",
+        ).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        every = judged.unionByName(carry.withColumn("retry_after", F.lit(0).cast("long")))
+        L.last_accepted(every, limit).write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
+
+    return handle
+
+
+def admit_arrivals(folder, limit):
+    """A batch handler with the outcomes of `replay_admissions`; the slots taken are kept as a table."""
+    pair = ["owner_id", "source_key", "revision"]
+
+    def handle(batch, number):
+        spark = batch.sparkSession
+        held = store.read_folder(
+            spark, f"{folder}/slots", ", ".join(f"{c} {dict(batch.dtypes)[c]}" for c in pair) + ", batch long"
+        ).filter(F.col("batch") < number).select(*pair)
+        requests = batch.withColumn("at", F.struct("created_at", "repository_id"))
+        judged = cut_lineage(A.replay_admissions(requests, limit, held))
+        judged.select("owner_id", "repository_id", "outcome").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        judged.filter("outcome = 'admitted' and not failed").select(*pair).write.mode("overwrite").parquet(
+            f"{folder}/slots/batch={number}"
+        )
+
+    return handle
+
+
 def shared_generation(folder, compute):
     """A batch handler that computes each requested key once and answers every request.
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import STATE_STORE, work_path
 
-FILES_PER_TRIGGER = 64
+FILES_PER_TRIGGER = 16
 
 
 def read_table_stream(spark, path, files_per_trigger=FILES_PER_TRIGGER):

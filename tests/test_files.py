@@ -100,14 +100,14 @@ def test_archives(spark, tmp_path):
     files = {
         "good": make_zip(("sample.py", "x = 1\n"), ("web/a.ts", "export const a = 1\n")),
         "climbing": make_zip(("../evil.py", "x")), "linked": make_zip((link, "target")),
-        "double": make_zip(("A.py", "1"), ("a.py", "2")), "large": make_zip(("b.py", "x" * 5000)),
+        "double": make_zip(("A.py", "1"), ("a.py", "2")), "hidden": make_zip(("x/a.py", "1"), ("x/.//a.py", "2")), "large": make_zip(("b.py", "x" * 5000)),
     }
     for name, data in files.items():
         (tmp_path / f"{name}.zip").write_bytes(data)
     zips = archives.read_archives(spark, str(tmp_path))
     verdicts = {r.archive: r.verdict for r in archives.judge_manifests(archives.archive_manifest(zips), max_bytes=1000).collect()}
     assert verdicts == {
-        "good": "accepted", "climbing": "unsafe entry", "linked": "unsafe entry", "double": "duplicate path", "large": "too large"
+        "good": "accepted", "climbing": "unsafe entry", "linked": "unsafe entry", "double": "duplicate path", "hidden": "duplicate path", "large": "too large"
     }
     rows = archives.ingest_archives(zips).filter("repository_id = 'good'").orderBy("path").collect()
     assert [(r.path, bytes(r.content)) for r in rows] == [("sample.py", b"x = 1\n"), ("web/a.ts", b"export const a = 1\n")]

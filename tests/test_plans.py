@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from srcmill.operators import prompts as P
+from srcmill.operators.rate_limits import SlidingLog
 from srcmill.plans import index, refresh, scan
 from srcmill.sources import store, tree
 from srcmill.streaming import jobs as J
@@ -158,3 +162,34 @@ def test_generation_is_shared(spark, tmp_path):
     assert got[1] == got[2] == ("v1:t", False) and got[4] == ("v1:t", True) and got[6] == ("v3:t", False)
     assert got[3][0] is None and got[5][0] is None
     assert made == [["bad", "k"], ["bad"], ["k"]]
+
+
+@pytest.mark.parametrize("rows_per_key", [10**6, 30])
+def test_limit_batches_carry_over(spark, tmp_path, rows_per_key):
+    rng = random.Random(14)
+    rows = sorted(((rng.choice(["hot", "hot", "u", "v"]), rng.randint(0, 900)) for _ in range(240)), key=lambda r: r[1])
+    rows = [(i, user, s) for i, (user, s) in enumerate(rows)]
+    stream = arrive(spark, str(tmp_path / "in"), [rows[:90], rows[90:100], rows[100:]], "id long, user string, s long")
+    folder = str(tmp_path / "o")
+    handler = J.limit_arrivals(folder, "user", "ts", "id", 3, 60, rows_per_key)
+    run_batches(stream.withColumn("ts", F.timestamp_seconds("s")), handler, folder=folder)
+    got = {r.id: r.retry_after for r in spark.read.parquet(folder + "/out").collect()}
+    logs = {}
+    assert got == {i: logs.setdefault(u, SlidingLog(3, 60_000_000)).offer(s * 1_000_000) for i, u, s in rows}
+
+
+def test_admission_batches_carry_over(spark, tmp_path):
+    rng = random.Random(15)
+    rows = [(rng.choice("aab"), i, f"k{rng.randint(0, 5)}", f"r{rng.randint(0, 2)}", rng.random() < 0.3, i) for i in range(120)]
+    stream = arrive(spark, str(tmp_path / "in"), [rows[:20], rows[20:30], rows[30:]],
+                    "owner_id string, repository_id long, source_key string, revision string, failed boolean, created_at long")
+    folder = str(tmp_path / "o")
+    run_batches(stream, J.admit_arrivals(folder, 4), folder=folder)
+    got = {r.repository_id: r.outcome for r in spark.read.parquet(folder + "/out").collect()}
+    held, want = {}, {}
+    for owner, i, key, revision, failed, _ in rows:
+        mine = held.setdefault(owner, set())
+        want[i] = "reused" if (key, revision) in mine else "admitted" if len(mine) < 4 else "refused"
+        if want[i] == "admitted" and not failed:
+            mine.add((key, revision))
+    assert got == want
