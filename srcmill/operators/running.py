@@ -12,7 +12,7 @@ def running_total(df, keys, order, value, name="running", width=65536, limit=Non
     large group.  With `limit`, ranges that start beyond it are dropped before the rows are sorted.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(width)).cast("long"))
+    ranged = df.withColumn("_range", F.expr(f"cast(`{order}` as bigint) div {int(width)}"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         ranged.groupBy(*keys, "_range")

@@ -185,7 +185,7 @@ def word_buckets(text):
         lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")),
     )
     length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    return X.bind(counts, lambda c: X.bind(length(c), lambda n: F.transform(c, lambda x: x / n)))
+    return X.bind(counts, lambda c: X.bind(length(c), lambda n: F.transform(c, lambda x: F.try_divide(x, n))))
 
 
 def sql_unit(text):

@@ -156,14 +156,17 @@ def vector_rows(chunks, dimensions=VE.DIMENSIONS, embedder=None):
     return shape(VE.embed(chunks.withColumn("_text", text), "_text", dimensions, embedder).drop("_text"))
 
 
+def _written(df, label):
+    folder = work_path(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def index_tree(tree, dependents="complete", dimensions=VE.DIMENSIONS, embedder=None, parsers=None):
-    """Tables of a snapshot.  Every file is parsed once: the nested rows are written to the shared folder and the
-    tables below read only the columns they need from there."""
-    spark = tree.sparkSession
-    folder = work_path(spark, "parsed")
-    parsed_files(tree, parsers).write.parquet(folder)
-    parsed = spark.read.parquet(folder)
-    files, chunks = file_rows(parsed, dependents), chunk_rows(parsed)
+    """Tables of a snapshot.  Every file is parsed and cut once: the nested rows and the chunks are written to the
+    shared folder, and the tables below read only the columns they need from there."""
+    parsed = _written(parsed_files(tree, parsers), "parsed")
+    files, chunks = file_rows(parsed, dependents), _written(chunk_rows(parsed), "chunks")
     totals = N.repository_totals(files, chunks).join(
         N.language_maps(N.language_histogram(files)), "repository_id", "left"
     )
