@@ -6,6 +6,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as V
 from ..functions import text as X
+from ..schemas import INDEX_TABLES  # noqa: F401
 
 def write_table(df, folder, mode="overwrite"):
     """Replace (or append to) the partitions that occur in `df`; other repositories stay untouched."""
@@ -28,19 +29,6 @@ def read_table(spark, folder, schema=None):
         return spark.createDataFrame([], schema)
 
 
-INDEX_TABLES = {
-    "files": "id string, repository_id string, path string, language string, extension string, size bigint, loc int, "
-    "hash string, num_classes bigint, num_functions bigint, imports array<struct<module:string,line:int>>, "
-    "complexity_score double, importance_score double, importance_level string, summary string",
-    "symbols": "repository_id string, file_id string, name string, type string, start_line int, end_line int, "
-    "parent_name string, signature string, docstring string, complexity double",
-    "code_chunks": "id string, file_id string, repository_id string, symbol_name string, symbol_type string, "
-    "language string, file_path string, start_line int, end_line int, content string, chunk_index int",
-    "vectors": "id string, repository_id string, file_path string, symbol_name string, symbol_type string, "
-    "language string, start_line int, end_line int, document string, embedding array<float>",
-}
-
-
 def read_folder(spark, folder, schema):
     """A table that may not exist yet."""
     try:
