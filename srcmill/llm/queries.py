@@ -1,8 +1,10 @@
 """The registered queries of the operators, with SQL where SQL can express them."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, url_rules
+from . import decontaminate, license_scan, main_text, mixing, repeats, simhash, token_files, topk, toxicity, url_rules
+from ..session import work_path
 from .tables import stored
 
 QUERIES = {}
@@ -41,3 +43,54 @@ def op8_mixing(table):
     return mixing.draw(rows).select(
         "doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken")
     )
+
+
+@query
+def op3_decontamination(table):
+    index = decontaminate.build_index(table("documents"))
+    found = decontaminate.search(index, table("benchmark"))
+    return decontaminate.judged(index, found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+@query
+def op4_simhash(table):
+    return simhash.near_duplicates(table("documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query
+def op5_topk(table):
+    rows = topk.whole_numbers(table("embeddings"))
+    asked = topk.whole_numbers(table("embeddings").filter("vec_id % 50 = 0"))
+    return topk.search(topk.build_index(rows), asked, 5)
+
+
+@query
+def op6_token_files(table):
+    docs = table("documents")
+    path = work_path(docs.sparkSession, "token-files")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(docs.sparkSession, path)
+
+
+@query
+def op7_toxicity(table):
+    docs = table("documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table("labels").filter(~toxicity.held_out()))
+    scored = docs.select("doc_id", toxicity.held_out().alias("held_out"), toxicity.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op9_main_text(table):
+    pages = table("pages").select("page_id", "url", main_text.extract().alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op10_repeats(table):
+    return repeats.repeats(table("documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
