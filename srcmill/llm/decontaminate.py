@@ -97,8 +97,9 @@ def looked_up(row, query, slop):
         frequency = counts[windows]
         for w in np.flatnonzero(frequency.min(axis=1) > 0):
             order = np.argsort(frequency[w], kind="stable")
-            at = lists(windows[w, order[0]]) - order[0]
-            moved = np.zeros(len(at), bool)
+            rarest = lists(windows[w, order[0]]) - order[0]
+            at = rarest if slop == 0 else np.unique(rarest[:, None] + np.arange(-slop, slop + 1))
+            moved = np.zeros(len(at), bool) if slop == 0 else ~np.isin(at, rarest, assume_unique=True)
             for k in order[1:]:
                 there = lists(windows[w, k]) - k
                 j = np.searchsorted(there, at)
@@ -115,9 +116,8 @@ def search(index, items, length=10, least=1, slop=2):
     """Matches of items(item_id, text) in the index, a row per document row and item.
 
     Columns: block, place (of the document in it), item_id as string, spans array<struct<start, end>> of words that
-    lie in an exact phrase match, and near: whether a window occurs with every word at most `slop` places away from
-    where it belongs, as seen from its rarest word (an exact match is near, too).  A window is `length` words in a
-    row; a shorter item is one window, items of fewer than `least` words are left out.  Null texts have no words, and
+    lie in an exact phrase match (none: the item has near matches only).  A near match is a place from which every
+    word of a window is at most `slop` places away from where it belongs.  A window is `length` words in a row; a shorter item is one window, items of fewer than `least` words are left out.  Null texts have no words, and
     equal rows count once.  Items are looked up in slices of bounded size, one pass over the index each.
     """
     assert 2 * slop + 1 < GAP
@@ -137,7 +137,8 @@ def search(index, items, length=10, least=1, slop=2):
                     row = {c: v.values.to_numpy(zero_copy_only=False) if c in ("term_starts", "starts") else v.as_py() for c, v in row.items()}
                     spans = {}
                     for at, size, item, exact in looked_up(row, query.value, slop):
-                        places = np.searchsorted(row["starts"], np.maximum(at, 0), "right") - 1
+                        # a near match may begin before its document: the gap before it is wide enough to tell
+                        places = np.searchsorted(row["starts"], at + slop, "right") - 1
                         for place, start, own in zip(places.tolist(), at.tolist(), exact.tolist()):
                             kept = spans.setdefault((place, item), [])
                             if own:
@@ -150,11 +151,11 @@ def search(index, items, length=10, least=1, slop=2):
                                 merged[-1]["end"] = max(merged[-1]["end"], start + size)
                             else:
                                 merged.append({"start": start, "end": start + size})
-                        out.append({"block": row["block"], "place": place, "item_id": item, "spans": merged, "near": True})
+                        out.append({"block": row["block"], "place": place, "item_id": item, "spans": merged})
                     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-                    yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("place", pa.int32()), ("item_id", pa.string()), ("spans", pa.list_(span)), ("near", pa.bool_())]))
+                    yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("place", pa.int32()), ("item_id", pa.string()), ("spans", pa.list_(span))]))
 
-        found.append(stored(index.mapInArrow(run, "block long, place int, item_id string, spans array<struct<start:int,end:int>>, near boolean"), "matches"))
+        found.append(stored(index.mapInArrow(run, "block long, place int, item_id string, spans array<struct<start:int,end:int>>"), "matches"))
         query.destroy()
     out = found[0]
     for more in found[1:]:

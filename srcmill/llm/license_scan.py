@@ -6,6 +6,8 @@ DataFrame functions only; nothing is shuffled.
 import json
 import math
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import functions as F
 
@@ -37,22 +39,26 @@ def prepared(templates, threshold):
     return rows
 
 
-def signal_words(rows):
-    """Words of which every text within the threshold holds one.
+def signals(rows):
+    """For each template words of which a text within the threshold holds all, as a list of one list per word, or some.
 
-    A match shares at least `least` bigrams of the template, so of any len - least + 1 of them one is in the text.
-    For each template words are added until those bigrams hold one of them; long words first, as they are rare.
+    A match lacks at most len - least of the template's bigrams.  A word in more of them than that is in every match:
+    all such words are asked for.  Where there is none, words are gathered until together they are in more bigrams
+    than a match can lack; one of them is then in the text.
     """
-    chosen = []
+    out = []
     for row in rows:
-        wanted = len(row["grams"]) - row["least"] + 1
-        held = lambda words: sum(any(w in g.split() for w in words) for g in row["grams"])
-        for word in sorted({w for g in row["grams"] for w in g.split()}, key=lambda w: (w not in chosen, -len(w), w)):
-            if held(chosen) >= wanted:
-                break
-            if held([*chosen, word]) > held(chosen):
-                chosen.append(word)
-    return chosen
+        lacks = len(row["grams"]) - row["least"]
+        held = lambda words, grams=row["grams"]: sum(any(w in g.split() for w in words) for g in grams)
+        words = sorted({w for g in row["grams"] for w in g.split()}, key=lambda w: (-len(w), w))
+        needed = [[w] for w in words if held([w]) > lacks]
+        some = []
+        while not needed and held(some) <= lacks:
+            some.append(max((w for w in words if w not in some), key=lambda w: (held([*some, w]) * (len(w) > 4), len(w), w)))
+        condition = needed[:3] or [some]
+        if condition not in out:
+            out.append(condition)
+    return out
 
 
 def matches(text="text", templates=TEMPLATES, threshold=0.8):
@@ -65,17 +71,22 @@ def matches(text="text", templates=TEMPLATES, threshold=0.8):
     rows = prepared(templates, threshold)
     literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,least:int,most:int,grams:array<string>>>")
     lowered = ascii_lower(F.col(text))
-    has_signal = F.lit(False)
-    for word in signal_words(rows):
-        has_signal = has_signal | lowered.contains(word)
 
     def bind(value, function):
         return F.element_at(F.transform(F.array(value), function), 1)
 
+    conditions = signals(rows)
+    asked = sorted({w for condition in conditions for words in condition for w in words}, key=lambda w: (-len(w), w))
+
+    def has_signal(present):
+        overlap = lambda words: F.arrays_overlap(present, F.array(*map(F.lit, words)))
+        return reduce(or_, [reduce(and_, map(overlap, condition)) for condition in conditions], F.lit(False))
+
+    present = bind(F.lower(F.col(text)), lambda t: F.filter(F.array(*map(F.lit, asked)), lambda w: F.contains(t, w)))
+
     def best(words, number):
         grams = F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
         score = lambda t, g: F.size(F.array_intersect(t["grams"], g)) * 2.0 / (F.size(t["grams"]) + F.size(g))
-        # array_max over (score, name reversed by sign is not possible for text): highest score first, then smallest name
         fits = lambda g: F.filter(
             F.transform(
                 F.filter(literal, lambda t: F.size(g).between(t["least"], t["most"])),
@@ -90,7 +101,7 @@ def matches(text="text", templates=TEMPLATES, threshold=0.8):
         F.transform(parts, lambda part, number: best(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), number)),
         lambda m: m["licence"].isNotNull(),
     )
-    return F.when(has_signal, found).otherwise(F.array().cast("array<struct<part:int,licence:string,score:double>>"))
+    return F.when(bind(present, has_signal), found).otherwise(F.array().cast("array<struct<part:int,licence:string,score:double>>"))
 
 
 def scan(docs, templates=TEMPLATES, threshold=0.8, text="text", name="licences"):

@@ -93,12 +93,16 @@ def schedule(narrow, share=1.5, epochs=2.0, weights=(3, 1, 2)):
     keyed = edge.select("edge_key", F.col("source").alias("e"))
     once_more = (bucket < F.col("edge")) | F.col("edge_key").isNotNull()
     off = F.abs(F.abs("rest") - F.col("together"))
+    # a hot source is dealt by the last digit of the key, too
+    salted = rest.withColumn("digit", F.explode(F.array(*(F.lit(f"{d:x}") for d in range(16)))))
     nearer = (
         narrow.groupBy("source", "order_key").agg(F.sum("size").alias("together"))
-        .join(rest, F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("salt", F.substring("order_key", -1, 1))
+        .join(salted, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("digit")))
         .join(keyed, (F.col("order_key") == F.col("edge_key")) & F.col("source").eqNullSafe(F.col("e")), "left")
         .filter((off < F.abs("rest")) & (once_more == (F.col("rest") < 0)))
-        .groupBy("s").agg(F.min(F.struct(off.alias("off"), "order_key"))["order_key"].alias("turned"))
+        .groupBy("s", "salt").agg(F.min(F.struct(off.alias("off"), "order_key")).alias("best"))
+        .groupBy("s").agg(F.min("best")["order_key"].alias("turned"))
     )
     sources = sources.join(nearer, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     return sources, edge.select("source", "edge_key")

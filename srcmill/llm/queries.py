@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, main_text, mixing, repeats, simhash, token_files, topk, toxicity, url_rules
 from ..session import work_path
+from .oracles import SQL  # noqa: F401
 from .tables import stored
 
 QUERIES = {}
-SQL = {}
 
 
 def query(function):

@@ -280,7 +280,7 @@ def near_duplicates(docs, shingle=3, radius=3, parts=2):
     return rows.join(classes(rows, radius, parts).select("fp", "component_id"), "fp")
 
 
-def first_of_each(docs, shingle=5, radius=3, parts=2):
+def first_of_each(docs, shingle=3, radius=3, parts=2):
     """The documents with one row left of each component: that of the smallest doc_id (null last), then smallest hash.
 
     Of rows that are equal in doc_id and text one stays.

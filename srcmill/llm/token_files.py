@@ -35,7 +35,7 @@ def _class(kind):
 
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
 #: Control and space characters on which libraries differ, and whatever lies beyond the Latin letters.
-OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ȷ]|<\|")
+OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]|<\|")
 
 
 class Encoder:

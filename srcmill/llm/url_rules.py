@@ -56,17 +56,20 @@ def tokens(url="url"):
     )))
 
 
-def mine_rules(labelled, min_support=0.001, min_confidence=0.5, url="url", blocked="blocked"):
+def mine_rules(labelled, min_support=0.001, min_count=20, min_confidence=0.5, url="url", blocked="blocked"):
     """Rules(rule_id, tokens, confidence, support) from labelled urls: token sets that lead to the label `block`.
 
-    Rows with a null url or label are no transactions.  A rule is pruned below either bound, and if a part of its
-    tokens alone is a rule of at least its confidence.  The number of rules is bounded by `min_support`: it doesn't
+    Rows with a null url or label are no transactions.  A rule must hold for `min_support` of the labelled urls and
+    `min_count` of them; it is pruned if a part of its tokens alone is a rule of at least its confidence.  The number of rules is bounded by `min_support`: it doesn't
     grow with the urls.  Without labelled rows there are no rules.
     """
     baskets = (
         labelled.filter(F.col(url).isNotNull() & F.col(blocked).isNotNull())
         .select(F.array_append(tokens(url), F.when(F.col(blocked), BLOCKED).otherwise(ALLOWED)).alias("items"))
     )
+    min_support = max(min_support, min_count / max(1, baskets.count()))
+    if min_support > 1:
+        return baskets.limit(0).selectExpr("0L as rule_id", "items as tokens", "0D as confidence", "0D as support")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = (
         model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCKED)))
