@@ -195,7 +195,7 @@ def clean_documents(docs, items, length=10, least=5):
     Rows are told apart by doc_id and the hash of their text; all columns are kept.
     """
     index = build_index(docs)
-    bad = judged(index, search(index, items, length, least, 0)).filter("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("tie").alias("bad_tie")).distinct()
-    tie = free_name(docs, "tie")
+    tie, bad_id, bad_tie = (free_name(docs, name) for name in ("tie", "bad_id", "bad_tie"))
+    bad = judged(index, search(index, items, length, least, 0)).filter("n_hit > 0").select(F.col("doc_id").alias(bad_id), F.col("tie").alias(bad_tie)).distinct()
     tied = docs.withColumn(tie, F.xxhash64("text"))
-    return tied.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col(tie) == F.col("bad_tie")), "left_anti").drop(tie)
+    return tied.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(tie) == F.col(bad_tie)), "left_anti").drop(tie)

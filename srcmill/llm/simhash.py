@@ -293,6 +293,7 @@ def first_of_each(docs, shingle=3, radius=3, parts=2):
         rows.join(classes(rows.select("doc_id", "fp"), radius, parts).select("fp", "root"), "fp")
         .groupBy("root").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.tie", "kept.fp")
     )
-    kept = kept.toDF("kept_id", "kept_tie", "kept_fp")
-    joined = docs_.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(tie) == F.col("kept_tie")) & (F.col(fp) == F.col("kept_fp")), "left_semi")
+    names = [free_name(docs, name) for name in ("kept_id", "kept_tie", "kept_fp")]
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.col(tie) == F.col(names[1])) & (F.col(fp) == F.col(names[2]))
+    joined = docs_.join(kept.toDF(*names), same, "left_semi")
     return joined.dropDuplicates(["doc_id", tie, fp]).select(*(F.col(f"`{c}`") for c in docs.columns))
