@@ -10,6 +10,7 @@ import re
 import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|
 #: Control and space characters on which libraries differ, and whatever lies beyond the Latin letters.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]|<\|")
 
+#: A byte as the letter that stands for it in byte-level vocabularies: itself if it is printable, else one from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Encoder:
     """Encodes texts with the tokenizers library; the ids of a piece are remembered where pieces are independent."""
@@ -51,11 +56,17 @@ class Encoder:
         spec = json.loads(self.library.to_str())
         steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = [s.get("pattern", {}).get("Regex") for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_piece = steps == NORMAL and splits[:1] == [SPLIT]
+        kinds = [s["type"] for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_piece = steps == NORMAL and splits[:1] == [SPLIT] and kinds == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
 
     def _plain(self, texts):
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces):
+        """Ids of pieces, by the library's model alone: a piece needs no more normalising and splitting."""
+        tokenize, code = self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(LETTERS))]).tobytes() for p in pieces]
+
     def encode(self, texts):
         """The ids of each text, with the end id, as bytes."""
         out, cut = [None] * len(texts), {}
@@ -72,7 +83,7 @@ class Encoder:
                 if len(self.known) > REMEMBERED:
                     self.known.clear()
                 new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-                self.known.update(zip(new, self._plain(new)))
+                self.known.update(zip(new, self._pieces(new)))
                 out[i] = b"".join(map(self.known.__getitem__, pieces))
         return [ids + self.end for ids in out]
 
