@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Every text is lower-cased and cut into byte n-grams of three lengths, hashed to buckets.  Labelled texts give each
-bucket the log ratio of its shares of toxic and clean texts; the most telling buckets, scaled by that ratio, are the
-features of a logistic regression.
+Every text is lower-cased and cut into byte n-grams of three lengths.  Labelled texts give each n-gram the log ratio of
+its shares of toxic and clean texts; the most telling n-grams, scaled by that ratio, are the features of a logistic
+regression.  Hash buckets find the candidates, as a first count and as a filter; n-grams themselves are exact.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,7 +26,7 @@ CHUNK = 1 << 20
 
 class Model(NamedTuple):
     bias: float
-    buckets: list
+    grams: list
     weights: list
 
 
@@ -46,16 +47,41 @@ def gram_buckets(data):
             yield (h * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
 
-def found_buckets(data, wanted=None):
-    """Distinct buckets of a text; only those that `wanted`, a mask over all buckets, holds."""
-    kept = []
+def _pieces(data):
     for start in range(0, max(1, len(data)), CHUNK):
-        for buckets in gram_buckets(data[start : start + CHUNK + LENGTHS[-1] - 1]):
-            kept.append(np.unique(buckets if wanted is None else buckets[wanted[buckets]]))
+        yield data[start : start + CHUNK + LENGTHS[-1] - 1]
+
+
+def found_buckets(data):
+    """Distinct buckets of a text."""
+    kept = [np.unique(buckets) for piece in _pieces(data) for buckets in gram_buckets(piece)]
     return np.unique(np.concatenate(kept)) if kept else np.empty(0, np.uint32)
 
 
-def _count(batches):
+def found_grams(data, wanted):
+    """Distinct n-grams of a text in the buckets that `wanted`, a mask, holds: their bytes and length as one number."""
+    kept = []
+    for piece in _pieces(data):
+        a = np.frombuffer(piece, np.uint8).astype(np.int64)
+        for n, buckets in zip(LENGTHS, gram_buckets(piece)):
+            at = np.flatnonzero(wanted[buckets])
+            kept.append(np.unique(sum((a[at + j] << (8 * j) for j in range(n)), np.int64(n) << 40)))
+    return np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
+
+
+def bucket_of(gram):
+    n = int(gram) >> 40
+    data = (int(gram) & ((1 << 40) - 1)).to_bytes(5, "little")[:n]
+    return int(list(gram_buckets(data))[LENGTHS.index(n)][0])
+
+
+def mask_of(grams):
+    wanted = np.zeros(1 << BUCKET_BITS, bool)
+    wanted[[bucket_of(g) for g in grams]] = True
+    return wanted
+
+
+def _count_buckets(batches):
     """Partial sums of texts by bucket and label; one row per bucket and task."""
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for frame in batches:
@@ -64,7 +90,50 @@ def _count(batches):
     some = np.flatnonzero(counts.sum(axis=0))
     for i in range(0, len(some), 100_000):
         part = some[i : i + 100_000]
-        yield pd.DataFrame({"bucket": part, "toxic_texts": counts[1, part], "clean_texts": counts[0, part]})
+        yield pd.DataFrame({"gram": part, "toxic_texts": counts[1, part], "clean_texts": counts[0, part]})
+
+
+def _count_grams(buckets):
+    """The same by n-gram, for those in the given buckets."""
+
+    def count(batches):
+        wanted = np.zeros(1 << BUCKET_BITS, bool)
+        wanted[buckets] = True
+        for frame in batches:
+            counts = Counter()
+            for text, toxic in zip(frame["text"], frame["toxic"]):
+                counts.update((g, toxic) for g in found_grams(normal(text), wanted).tolist())
+            grams = sorted({g for g, _ in counts})
+            yield pd.DataFrame({"gram": grams, "toxic_texts": [counts[g, 1] for g in grams], "clean_texts": [counts[g, 0] for g in grams]}, dtype="int64")
+
+    return count
+
+
+def telling(rows, count, least_surprise, least_share, most, smoothing):
+    """The n-grams (or buckets) that are most unevenly spread over the labels: (gram, surprise, ratio), most telling first.
+
+    Surprise is the log-likelihood ratio statistic (G) of the two-by-two table of texts by label and n-gram, ratio the
+    logarithm of the n-gram's share of toxic texts' n-grams over its share of clean ones'.
+    """
+    counts = rows.mapInPandas(count, "gram long, toxic_texts long, clean_texts long").groupBy("gram").agg(F.sum("toxic_texts").alias("p"), F.sum("clean_texts").alias("q"))
+    counts = stored(counts, "toxic-counts")
+    total = counts.agg(F.sum(F.col("p") + smoothing).alias("p"), F.sum(F.col("q") + smoothing).alias("q")).first()
+    if total["p"] is None:
+        return []
+    ratio = F.log((F.col("p") + smoothing) / F.lit(total["p"])) - F.log((F.col("q") + smoothing) / F.lit(total["q"]))
+    texts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = F.lit(float(texts.get(1, 0))), F.lit(float(texts.get(0, 0)))
+    part = lambda n, of, given: F.when(n > 0, n * F.log(n * (n_toxic + n_clean) / (of * given))).otherwise(0.0)
+    inside, outside = F.col("p") + F.col("q"), n_toxic + n_clean - F.col("p") - F.col("q")
+    surprise = 2 * (
+        part(F.col("p"), n_toxic, inside) + part(F.col("q"), n_clean, inside)
+        + part(n_toxic - F.col("p"), n_toxic, outside) + part(n_clean - F.col("q"), n_clean, outside)
+    )
+    best = (
+        counts.withColumn("surprise", surprise).filter(F.col("surprise") >= least_surprise)
+        .orderBy(F.desc("surprise"), "gram").limit(most).select("gram", "surprise", ratio.alias("ratio")).collect()
+    )
+    return [r for r in best if r["surprise"] >= least_share * best[0]["surprise"]]
 
 
 def training_rows(docs, labels, rows_a_class=10_000):
@@ -87,45 +156,37 @@ def training_rows(docs, labels, rows_a_class=10_000):
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight"), totals
 
 
-def fit(docs, labels, rows_a_class=10_000, features=4096, least_texts=5, smoothing=1.0, regularisation=1e-3):
+def fit(docs, labels, rows_a_class=10_000, features=4096, least_surprise=25.0, least_share=0.1, smoothing=1.0, regularisation=1e-3):
     """Learn from docs(doc_id, text) and labels(doc_id, toxic).
 
-    `rows_a_class` bounds the sample that is learned from, `features` the buckets that the model holds.  Without
-    labels of both classes, or telling buckets, the model is the share of toxic labels.
+    `rows_a_class` bounds the sample that is learned from, `features` the n-grams that the model holds.  An n-gram is
+    held if its texts' labels are too uneven for chance: its surprise (see `telling`) is at least `least_surprise` and
+    `least_share` of the largest one; labels that say nothing about the text are then not learned by heart.  Copies of
+    a text are learned from once.  Without labels of both classes, or such n-grams, the model is the share of toxic
+    labels.
     """
     rows, totals = training_rows(docs, labels, rows_a_class)
     prior = float(np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5)))
     if rows is None:
         return Model(prior, [], [])
-    rows = stored(rows, "toxic-training")
+    rows = stored(rows.dropDuplicates(["text"]), "toxic-training")  # within the bound of the sample
     spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    counts = (
-        spread.select("text", "toxic").mapInPandas(_count, "bucket long, toxic_texts long, clean_texts long")
-        .groupBy("bucket").agg(F.sum("toxic_texts").alias("p"), F.sum("clean_texts").alias("q"))
-    )
-    counts = stored(counts, "toxic-counts")
-    total = counts.agg(F.sum(F.col("p") + smoothing).alias("p"), F.sum(F.col("q") + smoothing).alias("q")).first()
-    if total["p"] is None:
-        return Model(prior, [], [])
-    ratio = F.log((F.col("p") + smoothing) / F.lit(total["p"])) - F.log((F.col("q") + smoothing) / F.lit(total["q"]))
-    surprise = F.abs(ratio) / F.sqrt(1 / (F.col("p") + smoothing) + 1 / (F.col("q") + smoothing))
-    best = (
-        counts.filter(F.col("p") + F.col("q") >= least_texts)
-        .select("bucket", ratio.alias("ratio")).orderBy(surprise.desc(), "bucket").limit(features).collect()
-    )
+    two = spread.select("text", "toxic")
+    # a bucket holds several n-grams, so it may tell less than the best of them: a lower bar for buckets
+    buckets = [r["gram"] for r in telling(two, _count_buckets, least_surprise / 2, least_share / 4, 4 * features, smoothing)]
+    best = telling(two, _count_grams(buckets), least_surprise, least_share, features, smoothing) if buckets else []
     if not best:
         return Model(prior, [], [])
-    chosen = [r["bucket"] for r in best]
+    chosen = [r["gram"] for r in best]
 
     def present(batches):
-        wanted = np.zeros(1 << BUCKET_BITS, bool)
-        wanted[chosen] = True
+        wanted, known = mask_of(chosen), np.array(sorted(chosen))
         for frame in batches:
-            frame["terms"] = [found_buckets(normal(t), wanted).astype(str) for t in frame.pop("text")]
+            frame["terms"] = [np.intersect1d(found_grams(normal(t), wanted), known).astype(str) for t in frame.pop("text")]
             yield frame
 
     terms = stored(spread.select("text", "toxic", "weight").mapInPandas(present, "toxic int, weight double, terms array<string>"), "toxic-terms")
-    vectors = CountVectorizerModel.from_vocabulary([str(b) for b in chosen], "terms", "present")
+    vectors = CountVectorizerModel.from_vocabulary([str(g) for g in chosen], "terms", "present")
     vectors.setBinary(True)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense([r["ratio"] for r in best]), inputCol="present", outputCol="features")
     # the ratios scale the features, so they aren't standardised again
@@ -139,11 +200,17 @@ def score(model, text="text"):
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights = np.zeros(1 << BUCKET_BITS)
-        weights[model.buckets] = model.weights
-        wanted = weights != 0
+        wanted = mask_of(model.grams)
+        order = np.argsort(np.array(model.grams, np.int64))
+        known, weights = np.array(model.grams, np.int64)[order], np.append(np.array(model.weights)[order], 0.0)
+
+        def total(text):
+            grams = found_grams(normal(text), wanted)
+            at = np.searchsorted(known, grams)
+            return weights[np.where(np.append(known, -1)[at] == grams, at, len(known))].sum()
+
         for texts in batches:
-            sums = np.array([weights[found_buckets(normal(t), wanted)].sum() for t in texts])
+            sums = np.array([total(t) for t in texts], float)
             yield pd.Series(np.round(1 / (1 + np.exp(-np.clip(sums + model.bias, -500, 500))), 6))
 
     return scored(F.col(text))

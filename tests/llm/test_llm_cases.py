@@ -349,11 +349,13 @@ def test_toxicity(spark, odd, none):
 
 
 def test_grams_of_pieces(monkeypatch):
-    """A text hashed in pieces has the grams of the whole."""
-    data = toxicity.normal(prose(3, 2000))
-    whole = toxicity.found_buckets(data)
+    """A text hashed in pieces has the grams of the whole, and these are its n-grams."""
+    data = toxicity.normal(prose(3, 2000) + " é")
+    whole, every = toxicity.found_buckets(data), np.ones(1 << toxicity.BUCKET_BITS, bool)
+    grams = {int.from_bytes(data[i : i + n], "little") + (n << 40) for n in toxicity.LENGTHS for i in range(len(data) - n + 1)}
+    assert set(toxicity.found_grams(data, every).tolist()) == grams and {toxicity.bucket_of(g) for g in grams} == set(whole.tolist())
     monkeypatch.setattr(toxicity, "CHUNK", 100)
-    assert (toxicity.found_buckets(data) == whole).all()
+    assert (toxicity.found_buckets(data) == whole).all() and set(toxicity.found_grams(data, every).tolist()) == grams
 
 
 # mixing
