@@ -215,7 +215,7 @@ def notebooks(t):
     f"""SELECT doc_id, 'UNSAFE_EVAL' AS issue_type, 'CRITICAL' AS severity,
        'Cell ' || i || ': Use of eval() can execute code' AS message, ((i - 1) * 3 + 2)::INT AS line
     FROM (SELECT doc_id, generate_subscripts({SQL_LINES}, 1) AS i, len({SQL_LINES}) AS n FROM documents)
-    WHERE i % 2 = 0 AND n <= {V.NOTEBOOK_CELLS}""",
+    WHERE i % 2 = 0""",
 )
 def notebook_findings(t):
     cells = D.code_cells(D.read_documents(notebooks(t), ["doc_id"]), ["doc_id"]).filter("supported")

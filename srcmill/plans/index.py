@@ -15,11 +15,7 @@ from ..session import work_path
 from ..sources import tree as T
 
 PIPELINE_VERSION = "srcmill-1"
-PARSED = (
-    "error string, view string, cell_complexity double,"
-    f"parsed_symbols {J.SYMBOLS}, parsed_imports array<struct<module:string,line:int>>,"
-    "sections array<struct<name:string,type:string,start_line:int,end_line:int,language:string>>"
-)
+OUTLINE = f"error string, cell_complexity double, parsed_symbols {J.SYMBOLS}, parsed_imports array<struct<module:string,line:int>>"
 SCRIPTS = ("javascript", "typescript")
 # parsed elsewhere than in the registry, or cut by lines only
 LINE_LANGUAGES = ("java", "go", "cpp")
@@ -27,7 +23,7 @@ LINE_LANGUAGES = ("java", "go", "cpp")
 
 def parse_python(text):
     found = pyfacts.outline(pyfacts.facts_or_error(text))
-    return dict(error=found["error"], parsed_symbols=found["symbols"], parsed_imports=found["imports"], sections=[])
+    return dict(error=found["error"], parsed_symbols=found["symbols"], parsed_imports=found["imports"])
 
 
 def _mean_complexity(symbols):
@@ -35,44 +31,49 @@ def _mean_complexity(symbols):
     return round(sum(positive) / len(positive), 2) if positive else 0.0
 
 
-def _document_parser(language):
-    def parse(text):
-        doc = D.document_view(text, language)
-        out = dict(
-            error=None if doc["valid"] else "; ".join(doc["warnings"]), view=doc["view"], sections=doc["sections"],
-            parsed_symbols=[], parsed_imports=[], cell_complexity=0.0,
-        )
-        if language == "json":
-            out["parsed_symbols"] = [
-                dict(name=s["name"], type=s["type"], start_line=s["start_line"], end_line=s["end_line"], complexity=0.0)
-                for s in doc["sections"]
-            ]
-        for cell in doc["cells"]:
-            if cell["supported"]:
-                found, shift = pyfacts.outline(pyfacts.facts_or_error(cell["source"])), cell["start_line"] - 1
-                for s in found["symbols"]:
-                    s.update(start_line=s["start_line"] + shift, end_line=s["end_line"] + shift,
-                             signature=f"Cell {cell['number']} · {s['signature']}")
-                out["cell_complexity"] += _mean_complexity(found["symbols"])
-                out["parsed_symbols"] += found["symbols"]
-                out["parsed_imports"] += [dict(i, line=i["line"] + shift) for i in found["imports"]]
-        return out
-
-    return parse
-
-
-# language -> text -> dict with the PARSED fields; further languages can be registered by the caller
-PARSERS = {"python": parse_python, "json": _document_parser("json"), "notebook": _document_parser("notebook")}
-
-
-def with_parsed(files, keep, parsers=None):
-    """Append the PARSED columns; rows of languages without a registered parser keep NULLs."""
+def _cell_outlines(cells):
+    """Symbols and imports of the supported cells of a notebook, moved to the lines of its view."""
+    out = dict(error=None, parsed_symbols=[], parsed_imports=[], cell_complexity=0.0)
+    for cell in cells:
+        if cell["supported"]:
+            found, shift = pyfacts.outline(pyfacts.facts_or_error(cell["source"])), cell["start_line"] - 1
+            for s in found["symbols"]:
+                s.update(start_line=s["start_line"] + shift, end_line=s["end_line"] + shift,
+                         signature=f"Cell {cell['number']} · {s['signature']}")
+            out["cell_complexity"] += _mean_complexity(found["symbols"])
+            out["parsed_symbols"] += found["symbols"]
+            out["parsed_imports"] += [dict(i, line=i["line"] + shift) for i in found["imports"]]
+    return out
+
+
+# language -> text -> dict with the OUTLINE fields; further languages can be registered by the caller
+PARSERS = {"python": parse_python}
+DOCUMENTS = ("json", "notebook")
+
+
+def with_parsed(files, keep, parsers=None, limits=None):
+    """Append the PARSED columns; rows of languages without a registered parser keep NULLs.
+
+    JSON files and notebooks are read in Spark; Python only outlines sources, those of notebook cells included.
+    """
     parsers = dict(PARSERS if parsers is None else parsers)
+    columns = [*dict.fromkeys([*keep, "text", "language"])]
+    read = D.read_documents(files, columns, limits=limits)
 
-    def parse(text, language):
-        return parsers[language](text) if language in parsers else {}
+    def parse(text, language, cells):
+        return parsers[language](text) if language in parsers else _cell_outlines(cells) if cells is not None else {}
 
-    return append_columns(files, keep, ["text", "language"], PARSED, parse)
+    outlined = append_columns(read, [*columns, "valid", "warnings", "view", "sections"], ["text", "language", "cells"], OUTLINE, parse)
+    of_section = lambda s: F.struct(
+        s["name"].alias("name"), s["type"].alias("type"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
+        F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("docstring"), F.lit(0.0).alias("complexity"),
+    )
+    is_json = F.col("language") == "json"
+    return outlined.select(
+        *keep, F.coalesce("error", F.when(~F.col("valid"), F.array_join("warnings", "; "))).alias("error"), "view", "cell_complexity",
+        F.when(is_json & F.col("valid").isNotNull(), F.transform("sections", of_section).cast(J.SYMBOLS)).otherwise(F.col("parsed_symbols")).alias("parsed_symbols"),
+        "parsed_imports", "sections",
+    )
 
 
 def python_outline(files, keep):
@@ -90,7 +91,7 @@ def parsed_files(tree, parsers=None):
     staged = J.with_js_outline(staged, "_script", "_imports", "_symbols")
     no_symbols = F.array().cast(J.SYMBOLS)
     no_imports = F.array().cast("array<struct<module:string,line:int>>")
-    handled = F.col("language").isin(*PARSERS, *SCRIPTS, *LINE_LANGUAGES) & F.col("error").isNull()
+    handled = F.col("language").isin(*(PARSERS if parsers is None else parsers), *DOCUMENTS, *SCRIPTS, *LINE_LANGUAGES) & F.col("error").isNull()
     staged = staged.select(
         *[c for c in keep if c not in ("loc", "text")],
         F.when(F.col("view").isNotNull(), X.count_lines(F.col("view"))).otherwise(F.col("loc")).alias("loc"),

@@ -209,26 +209,63 @@ def test_scan_of_documents(spark):
     assert "OUTPUT" not in json.dumps([x.asDict() for x in scan["findings"].collect()])
 
 
-@pytest.mark.parametrize("text", ["{", '{"a": 1, "a": 2}', '{"a":NaN}', "[" * 80 + "0" + "]" * 80, '{"%s":1}' % ("k" * 513)])
-def test_invalid_json(text):
-    assert not D.document_view(text, "json")["valid"]
-
-
-def test_document_limits(spark):
-    value = json.dumps({"a/b~c": "x" * 5000, "values": [1, 2, 3]})
-    view = D.document_view(value, "json")
-    assert view["sections"][0]["name"] == "/a~1b~0c"
-    rows = spark.createDataFrame([("f", value, "json")], "path string, text string, language string")
-    docs = D.read_documents(rows, ["path"]).withColumn("lines", X.split_lines(F.col("view")))
+def read(spark, content, language="json", **options):
+    rows = spark.createDataFrame([("f", content if isinstance(content, str) else json.dumps(content), language)], "path string, text string, language string")
+    return D.read_documents(rows, ["path"], **options)
+
+
+@pytest.mark.parametrize("text", ["{", '{"b": [], "b": []}', '[1, -Infinity]', "", "tru", "{} {}", '{"x": 1,}'])
+def test_invalid_json(spark, text):
+    for language in ("json", "notebook"):
+        got = read(spark, text, language).first()
+        assert (got.valid, got.warnings, got.view, got.sections, got.cells) == (False, [V.UNSOUND_JSON], "", [], [])
+
+
+def test_limits_are_a_choice(spark):
+    deep, keyed = "{\"a\":" * 70 + "1" + "}" * 70, {"k" * 600: [1, "[[[,,\"]"]}
+    wide, many = list(range(21_000)), {"nbformat": 4, "cells": [{"cell_type": "raw", "source": "x" * 1100}] * 1001}
+    for content, language, reason in ((deep, "json", V.DEEP_JSON), (keyed, "json", V.LONG_KEY), (wide, "json", V.DEEP_JSON), (many, "notebook", V.MANY_CELLS)):
+        assert read(spark, content, language).first().valid
+        assert read(spark, content, language, limits=V.DOCUMENT_LIMITS).first().warnings == [reason]
+
+
+@pytest.mark.parametrize("value", [{}, [], 7, "x", [1, {}, [[], {"a": [2]}]], {"a/b~": {"c": [1, [2, 3], {}]}, "é": "[\n{", "z": None}])
+def test_json_lines(spark, value):
+    """Sections are the lines of each member in the printed text."""
+    got = read(spark, json.dumps(value)).first()
+    assert got.view == json.dumps(value, indent=2)
+    members = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    want, at = [], 2
+    for key, member in members:
+        height = len(json.dumps(member, indent=2).split("\n"))
+        want.append(("/" + str(key).replace("~", "~0").replace("/", "~1"), at, at + height - 1))
+        at += height
+    assert [(s.name, s.start_line, s.end_line) for s in got.sections] == (want or [("/", 1, 1)])
+
+
+def test_section_chunks(spark):
+    docs = read(spark, {"text": "word " * 1500, "rows": [[1, 2], 3]}).withColumn("lines", X.split_lines(F.col("view")))
     made = C.explode_chunks(docs, C.section_blocks(F.col("lines"), F.col("sections")), ["path"]).collect()
-    assert max(len(c.content) for c in made) <= 1601
-    assert all(1 <= c.start_line <= c.end_line <= 7 for c in made)
-    for cells in ([{"cell_type": "code", "source": [2]}], [None], [{}] * 1001):
-        assert not D.document_view(json.dumps({"nbformat": 4, "cells": cells}), "notebook")["valid"]
-    assert not D.document_view(json.dumps({**NOTEBOOK, "nbformat": 3}), "notebook")["valid"]
-    julia = {**NOTEBOOK, "metadata": {"language_info": {"name": "julia"}}}
-    view = D.document_view(json.dumps(julia), "notebook")
-    assert view["valid"] and view["sections"] and not any(c["supported"] for c in view["cells"])
+    assert max(len(c.content) for c in made) <= 1601 and sum(c.content.count("word") for c in made) == 1500
+    assert all(1 <= c.start_line <= c.end_line <= 9 for c in made)
+
+
+def test_odd_notebooks(spark):
+    book = lambda **more: {"nbformat": 4, "cells": [], **more}
+    for content, reason in (
+        (book(cells=[{"cell_type": "code", "source": [2]}]), V.BAD_CELL_STRUCTURE.format(1)), (book(cells=[{"cell_type": "raw"}, 5]), V.BAD_CELL.format(2)),
+        (book(nbformat="4"), V.NOT_A_NOTEBOOK), (book(nbformat=3), V.NOT_A_NOTEBOOK), (book(cells={}), V.NOT_A_NOTEBOOK), ([], V.NOT_A_NOTEBOOK),
+        (book(metadata=[]), V.BAD_METADATA), (book(metadata={"kernelspec": "x"}), V.BAD_KERNEL), (book(metadata={"language_info": {"name": 3}}), V.BAD_KERNEL_NAME),
+    ):
+        assert read(spark, content, "notebook").first().warnings == [reason]
+    cells = [{"cell_type": "code", "source": ["a = 1\n", "b"]}, {"cell_type": "markdown", "source": ""}, {"cell_type": "code", "source": "%magic"}, {"cell_type": "raw"}]
+    got = read(spark, book(cells=cells, metadata={"kernelspec": {"language": "Python"}}), "notebook").first()
+    assert got.view == "# Cell 1 [code]\na = 1\nb\n\n# Cell 2 [markdown]\n\n\n# Cell 3 [code]\n%magic\n\n# Cell 4 [raw]\n\n"
+    assert [(c.number, c.start_line, c.end_line, c.supported) for c in got.cells] == [(1, 2, 3, True), (2, 6, 6, False), (3, 9, 9, False), (4, 12, 12, False)]
+    assert [(s.name, s.language) for s in got.sections] == [("Cell 1 (code)", "python"), ("Cell 3 (code)", "python")]
+    assert got.warnings == [f"Cell 3: {V.UNSCANNED_CELL}"]
+    other = read(spark, {**NOTEBOOK, "metadata": {"language_info": {"name": "julia"}}}, "notebook").first()
+    assert other.valid and other.sections and not any(c.supported for c in other.cells)
 
 
 def loop_sections(lines, section):
