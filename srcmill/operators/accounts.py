@@ -251,7 +251,7 @@ def conversations_active(conversations, jobs):
     """Conversations, newest first, with a flag for a reply that is being generated."""
     running = (
         jobs.filter(F.col("status").isin("PENDING", "RUNNING") & F.col("job_type").startswith("CHAT:"))
-        .select(F.substring("job_type", 6, 1000).alias("id"), F.lit(True).alias("_busy"))
+        .select(F.expr("substring(job_type, 6)").alias("id"), F.lit(True).alias("_busy"))
         .distinct()
     )
     return conversations.join(running, "id", "left").withColumn(

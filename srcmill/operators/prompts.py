@@ -1,7 +1,7 @@
 """Prompt input tables.  They end at the text a generator would be given; no generator is called by default.
 
 Per-repository lists that grow with the repository (folder tree, component lists) stay tables of lines with a sort
-key.  `join_lines` assembles them into one text, and only for repositories inside the import bound of 2,000 files.
+key.  They stay tables: a text of a whole repository has no bound.
 """
 
 from pyspark.sql import functions as F
@@ -27,16 +27,6 @@ def gather(rows, key, order, line, limit, separator="\n", name="text"):
     )
 
 
-def join_lines(lines, key, order, files_per_key, limit=V.ARCHIVE_FILES, name="text"):
-    """One text per key from a table of lines; keys above the import bound are refused, never shortened."""
-    small = files_per_key.filter(F.col("total_files") <= limit).select(key)
-    return lines.join(small, key, "left_semi").groupBy(key).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col("line").alias("_l")))), lambda x: x["_l"]), "\n"
-        ).alias(name)
-    )
-
-
 def symbol_line(kind, name, parent):
     return F.concat(
         F.lit("- "), kind, F.lit(": "), name,

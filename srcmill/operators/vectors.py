@@ -23,12 +23,12 @@ def embedding_text(path, symbol, kind, content):
     )
 
 
-def embed(df, text, dimensions=DIMENSIONS, embedder=None, out="embedding"):
+def embed(df, text, dimensions=DIMENSIONS, embedder=None, out="embedding", max_chars=None):
     """Add unit vectors.  The default hashes words; `embedder` may be any Arrow/pandas UDF text -> array<float>.
 
-    The model input is bounded to the first 2,000 characters, as every stored vector was made that way.
+    Whole texts are embedded; `max_chars` is for a model whose input is bounded (V.EMBED_CHARS is a common bound).
     """
-    clipped = df.withColumn("_clipped", X.clip(F.col(text), V.EMBED_CHARS))
+    clipped = df.withColumn("_clipped", F.col(text) if max_chars is None else X.clip(F.col(text), max_chars))
     if embedder is not None:
         return clipped.withColumn(out, embedder(F.col("_clipped"))).drop("_clipped")
     tokens = clipped.withColumn("_tokens", F.regexp_extract_all(F.lower("_clipped"), F.lit(r"(?U)\w+"), F.lit(0)))

@@ -43,8 +43,10 @@ def vector_topk_filtered(t):
 
 def label_means(t):
     """One query vector per label: the mean of all its vectors."""
-    means = F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(64)])
-    return t("embeddings").groupBy("label").agg(means.alias("embedding"))
+    parts = t("embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg("x").alias("mean"))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "mean")))
+    return means.groupBy("label").agg(F.transform(ordered, lambda p: p["mean"]).alias("embedding"))
 
 
 SQL_MEANS = """SELECT label, list(a ORDER BY i) AS embedding FROM (SELECT label, i, avg(e) AS a FROM (
@@ -89,17 +91,17 @@ def vector_maintenance(t):
 
 @query(
     "embedding_texts",
-    """SELECT doc_id, sha256(left('File: ' || source || chr(10) || 'Symbol: ' || lang || ' ()' || chr(10) || chr(10) || text, 2000)) AS digest
+    """SELECT doc_id, sha256(('File: ' || source || chr(10) || 'Symbol: ' || lang || ' ()' || chr(10) || chr(10) || text)) AS digest
     FROM documents""",
 )
 def embedding_texts(t):
     text = VE.embedding_text(F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.col("text"))
-    return t("documents").select("doc_id", F.sha2(X.clip(text, V.EMBED_CHARS), 256).alias("digest"))
+    return t("documents").select("doc_id", F.sha2(text, 256).alias("digest"))
 
 
 @query(
     "embedded_corpus",
-    """SELECT doc_id, 64 AS dimensions, CASE WHEN regexp_matches(left(text, 2000), '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+    """SELECT doc_id, 64 AS dimensions, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
     FROM documents""",
 )
 def embedded_corpus(t):
@@ -190,7 +192,7 @@ def word_buckets(text):
 
 def sql_unit(text):
     """The same embedding of a text in SQL, as a subquery column."""
-    words = f"regexp_extract_all(lower(left({text}, 2000)), '[\\p{{L}}\\p{{N}}_]+')"
+    words = f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')"
     buckets = f"list_transform({words}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64)"
     return f"list_transform(range(64), lambda i: len(list_filter({buckets}, lambda x: x = i))::DOUBLE)"
 

@@ -10,7 +10,9 @@ from ..operators import retrieval as R
 from ..operators import scores as SC
 from ..operators import snapshots as D
 from ..operators import views as W
-from . import index, scan
+from ..session import work_path
+from ..sources import store
+from . import index, refresh, scan
 from .catalog_accounts import SQL_BLOCKS, SQL_REPOSITORIES, SQL_SYMBOLS, block_chunks, import_repositories, line_symbols
 from .catalog_chunks import marked_scripts, notebooks, python_sources
 from .catalog_search import SQL_CANDIDATES, SQL_TERMS, page_chunks, page_questions
@@ -205,6 +207,37 @@ def index_repository(t):
     )
 
 
+@query(
+    "refresh_written",
+    """WITH d AS (SELECT source, doc_id % 4 AS m, doc_id FROM documents)
+    SELECT source AS repository_id, count(*) FILTER (m = 0) AS unchanged, count(*) FILTER (m = 1) AS updated, count(*) FILTER (m = 2) AS added,
+      count(*) FILTER (m = 3) AS deleted, count(*) FILTER (m <> 3) AS files, count(*) FILTER (m <> 3) AS symbols,
+      count(DISTINCT CASE WHEN m = 1 THEN 'again' WHEN m <> 3 THEN 'once' END) AS names
+    FROM d GROUP BY source""",
+)
+def refresh_written(t):
+    """Index, write, refresh with changed, new and missing files, write to the same store, read back."""
+    spark, folder = t.spark, work_path(t.spark, "refreshed")
+
+    def tree(rows, name):
+        return rows.select(
+            F.col("source").alias("repository_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
+            F.concat(F.lit("def "), name, F.lit("():\n    return 1\n")).cast("binary").alias("content"),
+        ).withColumn("size", F.octet_length("content").cast("long"))
+
+    docs = t("documents").select("doc_id", "source", (F.col("doc_id") % 4).alias("m"))
+    index.write_index(index.index_tree(tree(docs.filter("m <> 2"), F.lit("once")), dimensions=8), folder, 1)
+    stored = {name: store.read_current(spark, folder, name, like) for name, like in store.INDEX_TABLES.items()}
+    fresh = refresh.refresh_index(stored, tree(docs.filter("m <> 3"), F.when(F.col("m") == 1, "again").otherwise("once")), dimensions=8)
+    index.write_index(fresh, folder, 2, docs.select(F.col("source").alias("repository_id")))
+    read = lambda name: store.read_current(spark, folder, name, store.INDEX_TABLES[name])
+    files = read("files").groupBy("repository_id").agg(F.count("*").alias("files"))
+    symbols = read("symbols").groupBy("repository_id").agg(F.count("*").alias("symbols"), F.countDistinct("name").alias("names"))
+    return fresh["changes"].join(files, "repository_id", "left").join(symbols, "repository_id", "left").select(
+        "repository_id", "unchanged", "updated", "added", "deleted", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("files", "symbols", "names")]
+    )
+
+
 def mixed_corpus(t):
     """Every document three times: as a Python file, a script and a notebook."""
     parts = [("python", "py", python_sources(t)), ("javascript", "js", marked_scripts(t)), ("notebook", "ipynb", notebooks(t))]
@@ -221,9 +254,9 @@ def mixed_corpus(t):
 @query(
     "scan_coverage",
     f"""WITH d AS (SELECT source, len({SQL_LINES}) AS n FROM documents)
-    SELECT source AS repository_id, (count(*) * 2 + count(*) FILTER (n BETWEEN 2 AND 1000))::BIGINT AS scanned_files,
-      sum(1 + 2 * n + n + CASE WHEN n <= 1000 THEN n // 2 ELSE 0 END)::BIGINT AS scanned_loc,
-      count(*) FILTER (n < 2 OR n > 1000) AS unsupported_files, sum(CASE WHEN n <= 1000 THEN n // 2 ELSE 0 END)::BIGINT AS notebook_cells_scanned,
+    SELECT source AS repository_id, (count(*) * 2 + count(*) FILTER (n >= 2))::BIGINT AS scanned_files,
+      sum(1 + 2 * n + n + n // 2)::BIGINT AS scanned_loc,
+      count(*) FILTER (n < 2) AS unsupported_files, sum(n // 2)::BIGINT AS notebook_cells_scanned,
       0::BIGINT AS notebook_cells_skipped FROM d GROUP BY source""",
 )
 def scan_coverage(t):

@@ -12,6 +12,7 @@ from ..operators import pyfacts
 from ..operators import vectors as VE
 from ..operators.arrow_map import append_columns
 from ..session import work_path
+from ..sources import store
 from ..sources import tree as T
 
 PIPELINE_VERSION = "srcmill-1"
@@ -152,9 +153,7 @@ def file_rows(parsed, dependents="complete"):
 
 def vector_rows(chunks, dimensions=VE.DIMENSIONS, embedder=None):
     text = VE.embedding_text(F.col("file_path"), F.col("symbol_name"), F.col("symbol_type"), F.col("content"))
-    from ..sources.store import vector_rows as shape
-
-    return shape(VE.embed(chunks.withColumn("_text", text), "_text", dimensions, embedder).drop("_text"))
+    return store.vector_rows(VE.embed(chunks.withColumn("_text", text), "_text", dimensions, embedder).drop("_text"))
 
 
 def _written(df, label):
@@ -178,10 +177,13 @@ def index_tree(tree, dependents="complete", dimensions=VE.DIMENSIONS, embedder=N
     )
 
 
-def write_index(tables, folder):
-    """Write every table; the totals, which publish a repository as READY, are written last."""
-    from ..sources.store import write_table
+def write_index(tables, folder, version=1, repositories=None):
+    """Write every table as a new version of its repositories; readers see it once all of it is written.
 
-    for name in ("files", "symbols", "code_chunks", "vectors", "totals"):
-        if name in tables:
-            write_table(tables[name], f"{folder}/{name}")
+    Versions are folders of their own, so the rows may be read from an earlier version of the same store, and a
+    repository that has no more rows in a table has none in its new version.  `repositories` (repository_id) are
+    those that the version replaces, by default those of the totals.  Read with `store.read_current`.
+    """
+    touched = tables["totals"] if repositories is None else repositories
+    written = {name: tables[name] for name in ("files", "symbols", "code_chunks", "vectors", "totals") if name in tables}
+    store.write_version(written, folder, version, touched.select("repository_id").distinct())

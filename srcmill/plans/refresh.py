@@ -9,12 +9,25 @@ from ..sources import tree as T
 from .index import PIPELINE_VERSION, index_tree
 
 
-def refresh_index(tables, tree, version_changed=False, partial=False, **index_options):
+def latest_files(tree, order=None):
+    """One row per repository and path: the last by `order`, a column of the tree; ties go to the larger hash."""
+    hashed = tree.withColumn("_hash", F.sha2("content", 256))
+    last = F.struct(*([order] if order else []), "_hash")
+    newest = hashed.groupBy("repository_id", "path").agg(F.max(last)["_hash"].alias("_hash"))
+    # rows that are equal in content are one
+    return hashed.join(newest, ["repository_id", "path", "_hash"], "left_semi").dropDuplicates(["repository_id", "path"]).drop("_hash")
+
+
+def refresh_index(tables, tree, version_changed=False, partial=False, order=None, **index_options):
     """New tables and the change counts.  With `partial`, paths that `tree` lacks are kept instead of deleted.
 
+    A path that occurs in several rows counts once (see `latest_files`).  The result may be written to the store that
+    `tables` are read from: `index.write_index` makes a new version of it.
+
     tables: the stored `files`, `symbols`, `code_chunks`, `vectors`, and optionally `analysis_issues` and
     `repository_jobs`, of the repositories that occur in `tree`.
     """
+    tree = latest_files(tree, order)
     kept_tree = T.select_files(tree)
     hashes = kept_tree.select("repository_id", "path", F.sha2("content", 256).alias("hash"))
     diff = D.snapshot_diff(tables["files"], hashes, version_changed=version_changed)

@@ -82,16 +82,18 @@ def summarize_scan(scan):
 
 
 def publish_scan(scan, folder, runs):
-    """Replace the findings of the scanned repositories, then publish their run rows.
+    """Store the findings of the scanned repositories, then publish their run rows.
 
     runs: (repository_id, id, ...).  Findings carry the id of their run and readers follow the run rows (see
     `current_findings`), so a failure before the last step leaves the earlier results in force, and a scan without
-    any finding replaces an earlier one that had some.
+    any finding replaces an earlier one that had some.  Every run has a partition of its own: publishing it again
+    replaces what an interrupted attempt has left.
     """
     tag = runs.select("repository_id", F.col("id").alias("run_id"))
-    store.write_table(scan["findings"].join(tag, "repository_id"), f"{folder}/analysis_issues", mode="append")
-    store.write_table(scan["exclusions"].join(tag, "repository_id"), f"{folder}/scan_exclusions", mode="append")
-    store.write_table(runs, f"{folder}/repository_jobs", mode="append")
+    by = ("repository_id", "run_id")
+    store.write_table(scan["findings"].join(tag, "repository_id"), f"{folder}/analysis_issues", by=by)
+    store.write_table(scan["exclusions"].join(tag, "repository_id"), f"{folder}/scan_exclusions", by=by)
+    store.write_table(runs.withColumn("run_id", F.col("id")), f"{folder}/repository_jobs", by=by)
 
 
 def current_findings(issues, jobs):

@@ -28,9 +28,11 @@ def build_session(app="srcmill", master=None, shuffle_partitions=None, **conf):
 
 
 def shared_dir(spark):
-    """The folder named by spark.checkpoint.dir; a local one is set only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one is made only for a local master without it (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="srcmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():

@@ -8,32 +8,28 @@ from ..functions import fixed_values as V
 from ..functions import text as X
 from ..schemas import INDEX_TABLES  # noqa: F401
 
-def write_table(df, folder, mode="overwrite"):
+def write_table(df, folder, mode="overwrite", by=("repository_id",)):
     """Replace (or append to) the partitions that occur in `df`; other repositories stay untouched."""
     (
-        df.hint("rebalance", "repository_id")  # adaptive execution splits a repository that is too large for one task
+        df.hint("rebalance", *by)  # adaptive execution splits a repository that is too large for one task
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repository_id")
+        .partitionBy(*by)
         .parquet(folder)
     )
 
 
 def read_table(spark, folder, schema=None):
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    try:
-        return reader.parquet(folder)
-    except AnalysisException:
-        if schema is None:
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.parquet(folder) if schema is None else read_folder(spark, folder, schema)
 
 
 def read_folder(spark, folder, schema):
-    """A table that may not exist yet."""
+    """A table that may not exist yet; any other failure to read it is raised."""
     try:
         return spark.read.schema(schema).parquet(folder)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -62,7 +62,8 @@ def test_refresh_touches_only_changes(spark, tmp_path):
     write(tmp_path / "a", TREE)
     tables = index.index_tree(snapshot(spark, tmp_path / "a"), dimensions=16)
     index.write_index(tables, str(tmp_path / "store"))
-    stored = {n: spark.read.parquet(f"{tmp_path}/store/{n}") for n in ("files", "symbols", "code_chunks", "vectors")}
+    folder = str(tmp_path / "store")
+    stored = {n: store.read_current(spark, folder, n, like) for n, like in store.INDEX_TABLES.items()}
     stored["repository_jobs"] = spark.createDataFrame(
         [("r", "ANALYSIS", "COMPLETED"), ("q", "ANALYSIS", "COMPLETED")], "repository_id string, job_type string, status string"
     )
@@ -80,6 +81,14 @@ def test_refresh_touches_only_changes(spark, tmp_path):
     assert {"more", "fresh", "App"} <= names and "start" not in names
     assert out["vectors"].count() == out["code_chunks"].count()
     assert {j.repository_id: j.status for j in out["repository_jobs"].collect()} == {"r": "STALE", "q": "COMPLETED"}
+    index.write_index(out, folder, 2)  # into the store that it is read from
+    again = store.read_current(spark, folder, "symbols", store.INDEX_TABLES["symbols"])
+    assert {s.name for s in again.collect()} == names
+    stored.update({n: store.read_current(spark, folder, n, like) for n, like in store.INDEX_TABLES.items()})
+    bare = snapshot(spark, tmp_path / "b").filter("path like '%.md' or repository_id = 'q'")
+    index.write_index(refresh.refresh_index(stored, bare, dimensions=16), folder, 3, spark.createDataFrame([("r",), ("q",)], "repository_id string"))
+    assert store.read_current(spark, folder, "symbols", store.INDEX_TABLES["symbols"]).filter("repository_id = 'r'").count() == 0
+    stored.update({n: spark.read.parquet(f"{folder}/{n}/version=1") for n in store.INDEX_TABLES})
     renewed = refresh.refresh_index(stored, snapshot(spark, tmp_path / "a"), version_changed=True, dimensions=16)
     assert renewed["changes"].agg(F.sum("updated")).first()[0] == 8
     assert renewed["vectors"].count() == stored["vectors"].count()
@@ -94,6 +103,7 @@ def test_published_findings_follow_the_newest_run(spark, tmp_path):
 
     folder = str(tmp_path)
     scan.publish_scan(scan.scan_files(files("eval('1')\n")), folder, runs("run1", 1))
+    scan.publish_scan(scan.scan_files(files("eval('1')\n")), folder, runs("run1", 1))  # a repeated attempt
     scan.publish_scan(scan.scan_files(files("x = 1\n")), folder, runs("run2", 2))
     issues, jobs = spark.read.parquet(f"{folder}/analysis_issues"), spark.read.parquet(f"{folder}/repository_jobs")
     assert scan.current_findings(issues, jobs).count() == 0
@@ -112,6 +122,13 @@ def arrive(spark, folder, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def test_a_path_twice_in_a_batch(spark):
+    rows = [("r", "a.py", b"x = 1\n", 6, 2), ("r", "a.py", b"y = 2\n", 6, 1), ("r", "a.py", b"x = 1\n", 6, 2), ("r", "b.py", b"", 0, 1)]
+    files = spark.createDataFrame(rows, "repository_id string, path string, content binary, size bigint, arrived int")
+    assert sorted(tuple(r)[1:3] for r in refresh.latest_files(files, "arrived").collect()) == [("a.py", b"x = 1\n"), ("b.py", b"")]
+    assert refresh.latest_files(files.drop("arrived")).count() == 2
+
+
 def test_arrivals_update_the_index(spark, tmp_path):
     batches = [
         [("r", "a.py", b"def f(): return 1\n", 18), ("s", "s.py", b"y = 1\n", 6)],
