@@ -197,9 +197,7 @@ def sql_unit(text):
     return f"list_transform(range(64), lambda i: len(list_filter({buckets}, lambda x: x = i))::DOUBLE)"
 
 
-@query(
-    "hybrid_retrieval",
-    f"""WITH p AS MATERIALIZED (SELECT page_id, html, url, regexp_extract(html, '{TITLE}', 1) AS title,
+SQL_HYBRID = f"""WITH p AS MATERIALIZED (SELECT page_id, html, url, regexp_extract(html, '{TITLE}', 1) AS title,
         CASE WHEN page_id % 3 = 0 THEN 'function' ELSE 'page' END AS kind FROM pages),
     pv AS MATERIALIZED (SELECT page_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT page_id,
         {sql_unit("'File: ' || url || chr(10) || 'Symbol: ' || title || ' (' || kind || ')' || chr(10) || chr(10) || html")} AS v FROM p)),
@@ -215,18 +213,34 @@ def sql_unit(text):
         + CASE WHEN id % 3 = 0 THEN 0.03 ELSE 0 END, 9)::DOUBLE AS final_score
       FROM c JOIN p ON p.page_id = c.id LEFT JOIN t ON t.item_id = c.question_id GROUP BY question_id, id)
     SELECT question_id, id, final_score, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, vr NULLS LAST, id)::INT AS rank
-    FROM s QUALIFY rank <= 8""",
-)
+    FROM s QUALIFY rank <= 8"""
+
+
+@query("hybrid_retrieval", SQL_HYBRID)
 def hybrid_retrieval(t):
     ranked = retrieve(page_chunks(t), page_questions(t), embedder=word_buckets)
     return ranked.select("question_id", "id", "final_score", "rank")
 
 
-@query("retrieved_contexts")
+@query(
+    "retrieved_contexts",
+    f"""WITH r AS (SELECT h.question_id, rank, final_score, html AS text, url, regexp_extract(html, '{TITLE}', 1) AS title,
+        CASE WHEN h.id % 3 = 0 THEN 'function' ELSE 'page' END AS kind, 500 + length(b.text) // 4 AS reserved
+      FROM ({SQL_HYBRID}) h JOIN pages p ON p.page_id = h.id JOIN benchmark b ON b.item_id = h.question_id),
+    d AS (SELECT *, length(text) // 4 AS tokens, len({SQL_LINES}) AS n FROM r WHERE text <> ''
+      QUALIFY row_number() OVER (PARTITION BY question_id, left(text, 100) ORDER BY rank) = 1),
+    u AS (SELECT *, reserved + sum(tokens) OVER (PARTITION BY question_id ORDER BY rank) AS used FROM d),
+    k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i FROM u WHERE used <= 6000),
+    c AS (SELECT question_id, string_agg('### [' || i || '] ' || url || CASE WHEN title <> '' THEN ' → ' || title || ' (' || kind || ')' ELSE '' END
+        || ' [Lines 1-' || n || ']' || chr(10) || '```html' || chr(10) || text || chr(10) || '```' || chr(10), chr(10) ORDER BY rank) AS parts,
+        count(DISTINCT (url, title, kind, n, final_score)) AS n_sources FROM k GROUP BY question_id)
+    SELECT item_id AS question_id, '## Relevant Code' || chr(10) || coalesce(chr(10) || parts, '') AS context, coalesce(n_sources, 0)::INT AS n_sources
+    FROM benchmark LEFT JOIN c ON c.question_id = item_id""",
+)
 def retrieved_contexts(t):
     chunks, questions = page_chunks(t), page_questions(t)
     ranked = (
-        retrieve(chunks, questions).drop("repository_id")
+        retrieve(chunks, questions, embedder=word_buckets).drop("repository_id")
         .join(chunks.drop("repository_id"), "id")
         .join(questions.select("question_id", "question"), "question_id")
     )
