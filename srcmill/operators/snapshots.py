@@ -12,16 +12,16 @@ def snapshot_diff(old, new, keys=("repository_id", "path"), version_changed=Fals
     A changed rule or model version turns unchanged files into updated ones.
     """
     keys = list(keys)
-    before = old.select(*keys, F.col("hash").alias("old_hash"))
-    now = new.select(*keys, F.col("hash").alias("new_hash"))
+    before = old.select(*keys, F.col("hash").alias("old_hash"), F.lit(True).alias("_was"))
+    now = new.select(*keys, F.col("hash").alias("new_hash"), F.lit(True).alias("_is"))
     same = (F.col("old_hash") == F.col("new_hash")) & ~F.lit(version_changed)
     return before.join(now, keys, "full_outer").withColumn(
         "change",
-        F.when(F.col("old_hash").isNull(), "added")
-        .when(F.col("new_hash").isNull(), "deleted")
+        F.when(F.col("_was").isNull(), "added")
+        .when(F.col("_is").isNull(), "deleted")
         .when(same, "unchanged")
-        .otherwise("updated"),
-    )
+        .otherwise("updated"),  # also where a stored row has no hash
+    ).drop("_was", "_is")
 
 
 def deleted_paths(old, new, keys=("repository_id", "path")):

@@ -3,6 +3,7 @@
 `orders` play the import ledger (customer = owner, priority = source, year = revision), `events` the request log.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -13,6 +14,7 @@ from ..operators import chunks as C
 from ..operators import inventory as N
 from ..operators import prompts as P
 from ..operators import rate_limits as L
+from ..session import work_path
 from ..sources import store
 from .catalog_tables import SQL_FILES, SQL_ISSUES, corpus_files, event_issues, event_jobs
 from .registry import SQL_LINES, query, sql_list
@@ -237,6 +239,50 @@ def export_manifest(t):
     return store.export_manifest(A.owned_tables(owner_tables(t), OWNER, LINKS))
 
 
+def account_tables(t):
+    """Repositories per source with files, symbols, findings, jobs, chunks, summaries and chats below them."""
+    docs = t("documents").select("doc_id", F.col("source").alias("repository_id"), F.col("doc_id").cast("string").alias("id"), F.col("lang"))
+    owner = F.when(F.col("id").rlike("[02468]$"), "even").otherwise("odd")
+    repositories = docs.select(F.col("repository_id").alias("id")).distinct().withColumn("owner_id", owner)
+    part = lambda where, *columns: docs.filter(where).select("repository_id", *columns)
+    return {
+        "repositories": repositories,
+        "files": part("true", "id", F.col("lang").alias("language"), F.concat(F.lit("doc"), "id").alias("path")),
+        "symbols": part("doc_id % 2 = 0", F.col("id").alias("file_id"), F.lit("f").alias("name"), F.lit("function").alias("type"), F.lit(1).alias("start_line")),
+        "code_chunks": part("true", F.concat(F.lit("c"), "id").alias("id")),
+        "vectors": part("true", F.concat(F.lit("c"), "id").alias("id")),
+        "analysis_issues": part("doc_id % 3 = 0", F.col("id").alias("file_id"), F.lit("LONG_LINE").alias("issue_type"), F.lit(1).alias("line"), F.lit("m").alias("message")),
+        "repository_jobs": part("doc_id % 5 = 0", F.concat(F.lit("j"), "id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "ANALYSIS").otherwise("CHAT:1").alias("job_type"),
+                                F.struct(F.lit("2").alias("score_version"), F.lit(1).alias("scanned_files")).alias("coverage")),
+        "repository_summaries": part("doc_id % 7 = 0", F.concat(F.lit("s"), "id").alias("id"), F.lit("text").alias("content")),
+        "conversations": part("doc_id % 11 = 0", F.concat(F.lit("v"), "id").alias("id")),
+        "messages": docs.filter("doc_id % 11 = 0").select(F.concat(F.lit("m"), "id").alias("id"), F.concat(F.lit("v"), "id").alias("conversation_id"), F.lit("hello").alias("content")),
+        "analysis_admissions": docs.filter("doc_id % 13 = 0").select("repository_id", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("owner_id"), F.lit("DONE").alias("status")),
+    }
+
+
+@query(
+    "account_export",
+    """WITH d AS (SELECT doc_id, regexp_matches(source, '[02468]$') AS mine, source FROM documents),
+    c AS (SELECT 'repositories' AS table_name, count(DISTINCT source) FILTER (mine) AS row_count FROM d
+    UNION ALL SELECT 'files', count(*) FILTER (mine) FROM d UNION ALL SELECT 'symbols', count(*) FILTER (mine AND doc_id % 2 = 0) FROM d
+    UNION ALL SELECT 'analysis_issues', count(*) FILTER (mine AND doc_id % 3 = 0) FROM d
+    UNION ALL SELECT 'analysis_runs', count(*) FILTER (mine AND doc_id % 10 = 0) FROM d
+    UNION ALL SELECT 'summaries', count(*) FILTER (mine AND doc_id % 7 = 0) FROM d
+    UNION ALL SELECT 'conversations', count(*) FILTER (mine AND doc_id % 11 = 0) FROM d
+    UNION ALL SELECT 'messages', count(*) FILTER (mine AND doc_id % 11 = 0) FROM d
+    UNION ALL SELECT 'usage_history', count(*) FILTER (doc_id % 26 = 0) FROM d)
+    SELECT table_name, row_count, sum(row_count) OVER ()::BIGINT AS total_rows FROM c""",
+)
+def account_export(t):
+    """The whole chain: what an account owns, cut to what an export shows, written, counted in its manifest."""
+    shown = store.export_tables(A.owned_tables(account_tables(t), "even"))
+    folder = work_path(t.spark, "export")
+    store.write_export(shown, folder, max_rows=None)
+    written = t.spark.read.schema("table_name string, row_count long").json(f"{folder}/manifest")
+    return written.withColumn("total_rows", F.sum("row_count").over(Window.partitionBy()))
+
+
 @query("cascade_delete", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE NOT ({SQL_OWNED})")
 def cascade_delete(t):
     return A.delete_account(owner_tables(t), OWNER, LINKS)["lineitem"]

@@ -80,16 +80,40 @@ def parse_jsonish(text):
     )
 
 
-def keep_coverage(message):
-    """Only the published keys of a coverage document."""
-    decoded = F.from_json(message, "map<string,string>")
+def keep_coverage(coverage):
+    """Only the published keys of a coverage document, given as JSON text."""
+    decoded = F.from_json(coverage, "map<string,string>")
     return F.map_filter(decoded, lambda k, _: k.isin(V.COVERAGE_KEYS))
 
 
+def export_sources(owned):
+    """The tables of an export, from an account's tables as they are stored.
+
+    Analysis jobs are its runs, with the published part of their coverage; summaries get their public name.  Chunks,
+    vectors and other jobs are derived or internal and are left out.
+    """
+    out = {name: df for name, df in owned.items() if name in V.EXPORT_COLUMNS}
+    if "repository_jobs" in owned:
+        runs = owned["repository_jobs"].filter("job_type = 'ANALYSIS'")
+        if "coverage" in runs.columns:
+            text = F.col("coverage") if dict(runs.dtypes)["coverage"] == "string" else F.to_json("coverage")
+            runs = runs.withColumn("coverage", keep_coverage(text))
+        out["analysis_runs"] = runs
+    if "repository_summaries" in owned:
+        out["summaries"] = owned["repository_summaries"]
+    # rows without an id of their own get one from their content
+    keyed = {"symbols": ("file_id", "type", "name", "start_line"), "analysis_issues": ("file_id", "issue_type", "line", "message", "run_id")}
+    for name, key in keyed.items():
+        if name in out and "id" not in out[name].columns:
+            parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key if c in out[name].columns]
+            out[name] = out[name].withColumn("id", F.sha2(F.concat_ws("\x00", *parts), 256))
+    return out
+
+
 def export_tables(owned):
-    """Column allow-lists and ISO timestamps applied to a dict of owned tables."""
+    """Column allow-lists and ISO timestamps applied to the tables of an account."""
     out = {}
-    for name, df in owned.items():
+    for name, df in export_sources(owned).items():
         wanted = [c for c in V.EXPORT_COLUMNS[name].split() if c in df.columns]
         kinds = dict(df.dtypes)
         out[name] = df.select(
@@ -108,16 +132,15 @@ def export_manifest(tables, max_rows=V.EXPORT_ROWS):
         one = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         counts = one if counts is None else counts.unionByName(one)
     everything = W.partitionBy(F.lit(1))  # one row per table
-    return counts.withColumn("total_rows", F.sum("row_count").over(everything)).withColumn(
-        "refused", F.col("total_rows") > max_rows
-    )
+    refused = F.lit(False) if max_rows is None else F.col("total_rows") > max_rows
+    return counts.withColumn("total_rows", F.sum("row_count").over(everything)).withColumn("refused", refused)
 
 
 def write_export(tables, folder, max_rows=V.EXPORT_ROWS):
-    """Write one JSON folder per table plus the manifest; refuse the whole export above the bound."""
+    """Write one JSON folder per table plus the manifest; refuse the whole export above the bound (None: no bound)."""
     manifest = export_manifest(tables, max_rows)
     total = manifest.agg(F.max("total_rows")).first()[0]
-    if total > max_rows:
+    if max_rows is not None and total > max_rows:
         raise ValueError(f"export holds {total} rows, more than {max_rows}; nothing was written")
     for name, df in tables.items():
         key = "repository_id" if name == "usage_history" else "id"

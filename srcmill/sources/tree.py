@@ -44,6 +44,18 @@ def select_files(tree):
     )
 
 
+def excluded_files(tree):
+    """The files that `select_files` leaves out, each with the reason."""
+    path = F.col("path")
+    reason = (
+        F.when(P.in_pruned_folder(path), "pruned folder")
+        .when(~P.should_process(path), "unsupported type")
+        .when(F.col("size") > P.size_limit(path), "too large")
+        .when(P.is_binary(F.col("content")), "binary content")
+    )
+    return tree.select("repository_id", "path", "size", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def decode_files(files, errors="drop"):
     """Add the text, the hash of the raw bytes and the line count."""
     return files.withColumns(

@@ -120,6 +120,7 @@ def test_read_tree(spark, tmp_path):
         ("r1", "src/a b.py"), ("r1", "build/b.py"), ("r1", "out.bin"), ("r2", "c+d.js")
     }
     assert [(r.path, r.language) for r in tree.select_files(rows).collect()] == [("src/a b.py", "python")]
+    assert {r.path for r in tree.excluded_files(rows).collect()} == {"build/b.py", "out.bin", "c+d.js"}
 
 
 def test_export_refuses_instead_of_truncating(spark, tmp_path):
@@ -138,6 +139,22 @@ def test_export_refuses_instead_of_truncating(spark, tmp_path):
     assert manifest == {"messages": 6, "usage_history": 1}
 
 
+def test_export_of_stored_tables(spark):
+    """The engine's own tables by their public names and columns, with ids where rows have none."""
+    from srcmill.schemas import TABLES
+
+    rows = {name: spark.createDataFrame([], TABLES[name]) for name in TABLES}
+    rows["repository_jobs"] = spark.createDataFrame(
+        [("1", "r", "ANALYSIS", ("3", 5, 70)), ("2", "r", "CHAT:x", None)],
+        "id string, repository_id string, job_type string, coverage struct<score_version:string,scanned_files:bigint,scanned_loc:bigint>",
+    )
+    rows["symbols"] = spark.createDataFrame([("r", "f", "a", "function", 1), ("r", "f", "a", "function", 9)], "repository_id string, file_id string, name string, type string, start_line int")
+    shown = store.export_tables(rows)
+    assert {"code_chunks", "vectors", "repository_jobs", "account_deletions"}.isdisjoint(shown)
+    assert [(r.id, r.coverage) for r in shown["analysis_runs"].collect()] == [("1", {"scanned_files": "5", "scanned_loc": "70"})]
+    assert len({r.id for r in shown["symbols"].collect()}) == 2 and "id" in shown["analysis_issues"].columns and "content" in shown["summaries"].columns
+
+
 def test_vector_rows_use_blanks(spark):
     chunk = spark.createDataFrame(
         [("1", "r", "a.py", None, None, None, 1, 2, "x", [1.0])],
