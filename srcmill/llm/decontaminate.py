@@ -17,7 +17,7 @@ BLOCK_WORDS = 1_000_000
 #: Positions left free between documents, so that no window reaches into the next one.
 GAP = 32
 #: Bytes of benchmark text that are looked up in one pass over the index: the bound of what is sent to every task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 INDEX = "block long, doc_ids array<long>, ties array<long>, starts array<int>, sizes array<int>, terms array<binary>, term_starts array<int>, positions binary"
 
@@ -44,10 +44,10 @@ def _block(number, docs):
     }
 
 
-def build_index(docs):
-    """The index of docs(doc_id, text), as a stored table; a null text has no words.  No documents give no blocks.
+def build_index(docs, keep=True):
+    """The index of docs(doc_id, text); a null text has no words.  No documents give no blocks.
 
-    Built in the scan, without a shuffle.
+    Built in the scan, without a shuffle.  `keep` stores it, for several searches; else it is built when it is read.
     """
 
     def run(batches):
@@ -65,7 +65,8 @@ def build_index(docs):
             yield pa.RecordBatch.from_pylist([_block(base + number, kept)], schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), text_bytes().alias("text"))
-    return stored(rows.mapInArrow(run, INDEX), "positions")
+    index = rows.mapInArrow(run, INDEX)
+    return stored(index, "positions") if keep else index
 
 
 def compiled(items, length, least):
@@ -115,7 +116,7 @@ def looked_up(row, query, slop):
 def search(index, items, length=10, least=1, slop=2):
     """Matches of items(item_id, text) in the index, a row per document row and item.
 
-    Columns: block, place (of the document in it), item_id as string, spans array<struct<start, end>> of words that
+    Columns: block, place (of the document in it), doc_id, tie (hash of the text), item_id as string, spans array<struct<start, end>> of words that
     lie in an exact phrase match (none: the item has near matches only).  A near match is a place from which every
     word of a window is at most `slop` places away from where it belongs.  A window is `length` words in a row; a shorter item is one window, items of fewer than `least` words are left out.  Null texts have no words, and
     equal rows count once.  Items are looked up in slices of bounded size, one pass over the index each.
@@ -133,7 +134,7 @@ def search(index, items, length=10, least=1, slop=2):
         def run(batches, query=query):
             for batch in batches:
                 for number in range(batch.num_rows):
-                    row = {c: batch.column(c)[number] for c in ("block", "terms", "term_starts", "positions", "starts")}
+                    row = {c: batch.column(c)[number] for c in ("block", "terms", "term_starts", "positions", "starts", "doc_ids", "ties")}
                     row = {c: v.values.to_numpy(zero_copy_only=False) if c in ("term_starts", "starts") else v.as_py() for c, v in row.items()}
                     spans = {}
                     for at, size, item, exact in looked_up(row, query.value, slop):
@@ -151,11 +152,11 @@ def search(index, items, length=10, least=1, slop=2):
                                 merged[-1]["end"] = max(merged[-1]["end"], start + size)
                             else:
                                 merged.append({"start": start, "end": start + size})
-                        out.append({"block": row["block"], "place": place, "item_id": item, "spans": merged})
+                        out.append({"block": row["block"], "place": place, "doc_id": row["doc_ids"][place], "tie": row["ties"][place], "item_id": item, "spans": merged})
                     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-                    yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("place", pa.int32()), ("item_id", pa.string()), ("spans", pa.list_(span))]))
+                    yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("item_id", pa.string()), ("spans", pa.list_(span))]))
 
-        found.append(stored(index.mapInArrow(run, "block long, place int, item_id string, spans array<struct<start:int,end:int>>"), "matches"))
+        found.append(stored(index.mapInArrow(run, "block long, place int, doc_id long, tie long, item_id string, spans array<struct<start:int,end:int>>"), "matches"))
         query.destroy()
     out = found[0]
     for more in found[1:]:
@@ -194,8 +195,8 @@ def clean_documents(docs, items, length=10, least=5):
 
     Rows are told apart by doc_id and the hash of their text; all columns are kept.
     """
-    index = build_index(docs)
     tie, bad_id, bad_tie = (free_name(docs, name) for name in ("tie", "bad_id", "bad_tie"))
-    bad = judged(index, search(index, items, length, least, 0)).filter("n_hit > 0").select(F.col("doc_id").alias(bad_id), F.col("tie").alias(bad_tie)).distinct()
+    found = search(build_index(docs, keep=False), items, length, least, 0).filter(F.size("spans") > 0)
+    bad = found.select(F.col("doc_id").alias(bad_id), F.col("tie").alias(bad_tie)).distinct()
     tied = docs.withColumn(tie, F.xxhash64("text"))
     return tied.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(tie) == F.col(bad_tie)), "left_anti").drop(tie)

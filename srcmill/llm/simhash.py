@@ -285,15 +285,15 @@ def first_of_each(docs, shingle=3, radius=3, parts=2):
 
     Of rows that are equal in doc_id and text one stays.
     """
-    fp, tie = free_name(docs, "fp"), free_name(docs, "tie")
-    docs_ = stored(docs.withColumns({fp: fingerprint("text", shingle), tie: F.xxhash64("text")}), "fingerprinted")
-    rows = docs_.select("doc_id", F.col(fp).alias("fp"), F.col(tie).alias("tie"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "fp")
+    # rows are told apart by id and text; both meet in one column, so that the join and the last step share a shuffle
+    name = lambda d, t: F.concat(F.coalesce(d.cast("string"), F.lit("")), F.lit(":"), t.cast("string"))
+    rows = stored(docs.select("doc_id", fingerprint("text", shingle).alias("fp"), F.xxhash64("text").alias("tie")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie")
     kept = (
         rows.join(classes(rows.select("doc_id", "fp"), radius, parts).select("fp", "root"), "fp")
-        .groupBy("root").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.tie", "kept.fp")
+        .groupBy("root").agg(F.min(order).alias("kept"))
     )
-    names = [free_name(docs, name) for name in ("kept_id", "kept_tie", "kept_fp")]
-    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.col(tie) == F.col(names[1])) & (F.col(fp) == F.col(names[2]))
-    joined = docs_.join(kept.toDF(*names), same, "left_semi")
-    return joined.dropDuplicates(["doc_id", tie, fp]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row, kept_row = free_name(docs, "row"), free_name(docs, "kept_row")
+    kept = kept.select(name(F.col("kept.doc_id"), F.col("kept.tie")).alias(kept_row))
+    named = docs.withColumn(row, name(F.col("doc_id"), F.xxhash64("text")))
+    return named.join(kept, F.col(row) == F.col(kept_row), "left_semi").dropDuplicates([row]).drop(row)

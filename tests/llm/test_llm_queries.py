@@ -125,23 +125,27 @@ def test_url_filter(spark, db):
         assert r["verdict"] == (given or ("block" if r["mined_rule"] is not None else "allow"))
 
 
-def test_pipeline(spark, db, texts, tmp_path):
+def test_pipeline(spark, tmp_path):
     """Every stage against a plain form of its decision, on what the stage before it kept."""
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    folder = "/root/testdata/sf0.01"  # the smallest tables with enough labels to learn from
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    table = lambda name, columns: duckdb.sql(f"SELECT {columns} FROM '{folder}/{name}.parquet'").fetchall()
+    texts = dict(table("documents", "doc_id, text"))
     columns = docs.columns
     kept = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        stage(spark, kept[-1], SF_DIR).write.parquet(f"{tmp_path}/{name}")
+        stage(spark, kept[-1], folder).write.parquet(f"{tmp_path}/{name}")
         kept.append(spark.read.parquet(f"{tmp_path}/{name}"))
     assert all(df.columns == columns for df in kept[:5])
     ids = [[r[0] for r in df.select("doc_id").collect()] for df in kept]
-    toxic = {r[0] for r in db.sql("SELECT doc_id FROM labels WHERE toxic = 1").fetchall()}
+    toxic = {i for i, toxic in table("labels", "doc_id, toxic") if toxic}
     dropped = set(ids[0]) - set(ids[1])
-    assert dropped and len(dropped - toxic) <= 0.03 * len(ids[0])
+    labelled = {i for i, _ in table("labels", "doc_id, toxic")}
+    assert len(dropped & toxic) >= 20 and not dropped & (labelled - toxic)
     label = smallest_reachable({i: fingerprint(texts[i]) for i in ids[1]})
     assert sorted(ids[2]) == sorted(set(label.values()))
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
-    windows = {tuple(w[k : k + 10]) for (t,) in db.sql("SELECT text FROM benchmark").fetchall() for w in [words(t)] for k in range(max(1, len(w) - 9))}
+    windows = {tuple(w[k : k + 10]) for (t,) in table("benchmark", "text") for w in [words(t)] for k in range(max(1, len(w) - 9))}
     leaks = {i for i in ids[2] if any(tuple(w[k : k + 10]) in windows for w in [words(texts[i])] for k in range(len(w)))}
     assert sorted(ids[3]) == sorted(set(ids[2]) - leaks)
     assert set(ids[4]) <= set(ids[3]) and max(map(ids[4].count, ids[4])) <= 2
