@@ -81,6 +81,17 @@ def rerank(candidates, chunks, questions, k=V.CONTEXT_HITS, scope="repository_id
     return best_of(scored, k)
 
 
+def rank_keyword_candidates(chunks, questions, k, scope="repository_id"):
+    """The best k keyword candidates per question: (scope, question_id, id, final_score, rank).
+
+    Names decide in a gram join which chunks are candidates; only their content is joined, once by id, and scored.
+    """
+    found = keyword_candidates(chunks, questions, scope).withColumns(
+        {"score": F.lit(V.KEYWORD_SCORE), "vector_rank": F.lit(None).cast("int")}
+    )
+    return rerank(found, chunks, questions, k, scope).drop("vector_rank")
+
+
 def best_of(scored, k):
     """Final order: score, then vector hits in their order, then id."""
     return first_per_group(

@@ -9,7 +9,6 @@ from ..functions import fixed_values as V
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators import vectors as VE
-from ..operators.keyword_match import rank_keyword_candidates
 from ..operators.running import first_per_group
 from ..session import cut_lineage
 from ..sources import store
@@ -154,7 +153,7 @@ def keyword_candidates(t):
     FROM s QUALIFY rank <= 8""",
 )
 def rerank(t):
-    ranked = rank_keyword_candidates(page_chunks(t), page_questions(t), V.CONTEXT_HITS)
+    ranked = R.rank_keyword_candidates(page_chunks(t), page_questions(t), V.CONTEXT_HITS)
     return ranked.select("question_id", "id", "final_score", "rank")
 
 
@@ -173,7 +172,7 @@ def retrieve(chunks, questions, n_initial=V.VECTOR_HITS, n_final=V.CONTEXT_HITS,
         questions, n_final,
     )
     # at most n_initial of a question's keyword candidates can be vector hits as well
-    words = rank_keyword_candidates(chunks, questions, n_final + n_initial)
+    words = R.rank_keyword_candidates(chunks, questions, n_final + n_initial)
     words = R.exclude_retrieved(words, hits).withColumn("vector_rank", F.lit(None).cast("int"))
     return R.best_of(near.drop("rank").unionByName(words.drop("rank")), n_final)
 
