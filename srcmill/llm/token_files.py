@@ -22,7 +22,7 @@ MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
 #: doc_id of a document whose id is null.
 NO_ID = -(2**63)
 #: Pieces whose ids a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # How the tokenizer files with word ends normalise and split a text; below, the same for texts of
 # Latin letters, so that ids can be remembered by piece.
