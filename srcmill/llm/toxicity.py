@@ -5,7 +5,7 @@ its shares of toxic and clean texts; the most telling n-grams, scaled by that ra
 regression.  Hash buckets find the candidates, as a first count and as a filter; n-grams themselves are exact.
 """
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +22,8 @@ LENGTHS = (3, 4, 5)
 BUCKET_BITS = 20
 #: Texts are hashed in pieces of so many bytes, to bound memory.
 CHUNK = 1 << 20
+#: So many n-grams of texts are held before they are counted together.
+FLUSH = 1 << 22
 
 
 class Model(NamedTuple):
@@ -94,46 +96,79 @@ def _count_buckets(batches):
 
 
 def _count_grams(buckets):
-    """The same by n-gram, for those in the given buckets."""
+    """The same by n-gram, for those in the given buckets; several rows an n-gram and task."""
+    empty = np.empty(0, np.int64)
 
     def count(batches):
         wanted = np.zeros(1 << BUCKET_BITS, bool)
         wanted[buckets] = True
+
+        def counted(held):
+            (toxic, p), (clean, q) = (np.unique(np.concatenate([empty, *held[label]]), return_counts=True) for label in (1, 0))
+            grams = np.union1d(toxic, clean)
+            counts = np.zeros((2, len(grams)), np.int64)
+            counts[1, np.searchsorted(grams, toxic)], counts[0, np.searchsorted(grams, clean)] = p, q
+            for i in range(0, len(grams), 100_000):
+                part = slice(i, i + 100_000)
+                yield pd.DataFrame({"gram": grams[part], "toxic_texts": counts[1, part], "clean_texts": counts[0, part]})
+
+        held, size = ([], []), 0
         for frame in batches:
-            counts = Counter()
             for text, toxic in zip(frame["text"], frame["toxic"]):
-                counts.update((g, toxic) for g in found_grams(normal(text), wanted).tolist())
-            grams = sorted({g for g, _ in counts})
-            yield pd.DataFrame({"gram": grams, "toxic_texts": [counts[g, 1] for g in grams], "clean_texts": [counts[g, 0] for g in grams]}, dtype="int64")
+                grams = found_grams(normal(text), wanted)
+                held[toxic].append(grams)
+                size += len(grams)
+                if size >= FLUSH:
+                    yield from counted(held)
+                    held, size = ([], []), 0
+        yield from counted(held)
 
     return count
 
 
-def telling(rows, count, least_surprise, least_share, most, smoothing):
-    """The n-grams (or buckets) that are most unevenly spread over the labels: (gram, surprise, ratio), most telling first.
+def counted_texts(rows, count, label):
+    """Texts by label with each n-gram (or bucket), by one of the counts above: (gram, p, q)."""
+    counts = rows.mapInPandas(count, "gram long, toxic_texts long, clean_texts long").groupBy("gram").agg(F.sum("toxic_texts").alias("p"), F.sum("clean_texts").alias("q"))
+    return stored(counts, label)
+
+
+def surprise(p, q, n_toxic, n_clean):
+    """The log-likelihood ratio statistic (G) of the two-by-two table of texts by label and n-gram."""
+    toxic, clean = F.lit(float(n_toxic)), F.lit(float(n_clean))
+    part = lambda n, of, given: F.when(n > 0, n * F.log(n * (toxic + clean) / (of * given))).otherwise(0.0)
+    inside, outside = p + q, toxic + clean - p - q
+    return 2 * (part(p, toxic, inside) + part(q, clean, inside) + part(toxic - p, toxic, outside) + part(clean - q, clean, outside))
+
 
-    Surprise is the log-likelihood ratio statistic (G) of the two-by-two table of texts by label and n-gram, ratio the
-    logarithm of the n-gram's share of toxic texts' n-grams over its share of clean ones'.
+def telling(two, least_surprise, chance, most, smoothing):
+    """The n-grams that are most unevenly spread over the labels: (gram, surprise, ratio), most telling first.
+
+    They are as many as a share of `chance` of them can be expected to be uneven by chance (Benjamini and Hochberg),
+    given how many n-grams are in enough texts to reach `least_surprise` at all.
+
+    Ratio is the logarithm of the n-gram's share of toxic texts' n-grams over its share of clean ones'.  Buckets only
+    spare the counting of n-grams that can't reach the bar: none is in more texts than its bucket, and G is convex, so
+    it is at most the largest G at the corners of what the bucket's counts allow.
     """
-    counts = rows.mapInPandas(count, "gram long, toxic_texts long, clean_texts long").groupBy("gram").agg(F.sum("toxic_texts").alias("p"), F.sum("clean_texts").alias("q"))
-    counts = stored(counts, "toxic-counts")
-    total = counts.agg(F.sum(F.col("p") + smoothing).alias("p"), F.sum(F.col("q") + smoothing).alias("q")).first()
+    texts = {r["toxic"]: r["count"] for r in two.groupBy("toxic").count().collect()}
+    n = (texts.get(1, 0), texts.get(0, 0))
+    p, q, zero = F.col("p").cast("double"), F.col("q").cast("double"), F.lit(0.0)
+    bound = F.greatest(surprise(p, zero, *n), surprise(zero, q, *n), surprise(p, q, *n))
+    # at most 2 ** BUCKET_BITS numbers
+    buckets = [r["gram"] for r in counted_texts(two, _count_buckets, "toxic-buckets").filter(bound >= least_surprise - 1e-6).select("gram").collect()]
+    if not buckets:
+        return []
+    counts = counted_texts(two, _count_grams(np.array(buckets)), "toxic-counts")
+    total = counts.agg(F.count("*").alias("n"), F.sum(F.col("p") + smoothing).alias("p"), F.sum(F.col("q") + smoothing).alias("q")).first()
     if total["p"] is None:
         return []
     ratio = F.log((F.col("p") + smoothing) / F.lit(total["p"])) - F.log((F.col("q") + smoothing) / F.lit(total["q"]))
-    texts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = F.lit(float(texts.get(1, 0))), F.lit(float(texts.get(0, 0)))
-    part = lambda n, of, given: F.when(n > 0, n * F.log(n * (n_toxic + n_clean) / (of * given))).otherwise(0.0)
-    inside, outside = F.col("p") + F.col("q"), n_toxic + n_clean - F.col("p") - F.col("q")
-    surprise = 2 * (
-        part(F.col("p"), n_toxic, inside) + part(F.col("q"), n_clean, inside)
-        + part(n_toxic - F.col("p"), n_toxic, outside) + part(n_clean - F.col("q"), n_clean, outside)
-    )
     best = (
-        counts.withColumn("surprise", surprise).filter(F.col("surprise") >= least_surprise)
+        counts.withColumn("surprise", surprise(p, q, *n)).filter(F.col("surprise") >= least_surprise)
         .orderBy(F.desc("surprise"), "gram").limit(most).select("gram", "surprise", ratio.alias("ratio")).collect()
     )
-    return [r for r in best if r["surprise"] >= least_share * best[0]["surprise"]]
+    by_chance = lambda g: total["n"] * math.erfc(math.sqrt(g / 2))
+    return best[: max((k for k, r in enumerate(best, 1) if by_chance(r["surprise"]) <= chance * k), default=0)]
 
 
 def training_rows(docs, labels, rows_a_class=10_000):
@@ -156,12 +191,14 @@ def training_rows(docs, labels, rows_a_class=10_000):
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight"), totals
 
 
-def fit(docs, labels, rows_a_class=10_000, features=4096, least_surprise=25.0, least_share=0.1, smoothing=1.0, regularisation=1e-3):
+def fit(docs, labels, rows_a_class=10_000, features=4096, least_surprise=10.0, chance=0.01, smoothing=1.0, regularisation=1e-3):
     """Learn from docs(doc_id, text) and labels(doc_id, toxic).
 
     `rows_a_class` bounds the sample that is learned from, `features` the n-grams that the model holds.  An n-gram is
-    held if its texts' labels are too uneven for chance: its surprise (see `telling`) is at least `least_surprise` and
-    `least_share` of the largest one; labels that say nothing about the text are then not learned by heart.  Copies of
+    held if its texts' labels are too uneven for chance: its surprise is at least `least_surprise` and at most a share
+    of `chance` of the n-grams held can be expected to be uneven by chance (see `telling`).  How loud others are doesn't
+    matter, so rarer kinds of toxicity are learned beside common ones; labels that say nothing about the text are not
+    learned by heart.  Copies of
     a text are learned from once.  Without labels of both classes, or such n-grams, the model is the share of toxic
     labels.
     """
@@ -172,9 +209,7 @@ def fit(docs, labels, rows_a_class=10_000, features=4096, least_surprise=25.0, l
     rows = stored(rows.dropDuplicates(["text"]), "toxic-training")  # within the bound of the sample
     spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     two = spread.select("text", "toxic")
-    # a bucket holds several n-grams, so it may tell less than the best of them: a lower bar for buckets
-    buckets = [r["gram"] for r in telling(two, _count_buckets, least_surprise / 2, least_share / 4, 4 * features, smoothing)]
-    best = telling(two, _count_grams(buckets), least_surprise, least_share, features, smoothing) if buckets else []
+    best = telling(two, least_surprise, chance, features, smoothing)
     if not best:
         return Model(prior, [], [])
     chosen = [r["gram"] for r in best]

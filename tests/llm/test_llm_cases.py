@@ -1,6 +1,7 @@
 """Small cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -348,6 +349,40 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit(docs, known.filter("toxic = 1")).weights == []
 
 
+def test_rare_toxicity(spark):
+    """A rare kind of toxicity is learned beside one that is twenty times as common."""
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(1500):
+        kind = "common" if i % 5 == 0 else "rare" if i % 100 == 1 else "clean"
+        words = prose(i, r.randrange(20, 60)).split()
+        if kind != "clean":
+            words.insert(r.randrange(len(words)), {"common": "scoundrel", "rare": "zwutz"}[kind])
+        rows.append((i, " ".join(words), kind))
+        labels.append((i, int(kind != "clean")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels[:1000], "doc_id long, toxic int"))
+    flagged = {r["kind"]: r["share"] for r in docs.filter("doc_id >= 1000").groupBy("kind").agg(F.avg((toxicity.score(model) >= 0.5).cast("int")).alias("share")).collect()}
+    assert flagged["common"] == flagged["rare"] == 1 and flagged["clean"] <= 0.01
+
+
+def test_buckets_lose_no_gram(spark):
+    """The n-grams found through buckets are those that a plain count finds, with the same surprise."""
+    texts = [(prose(i, 30) + (" zwutz" if i % 9 == 0 else ""), int(i % 9 == 0 or i % 50 == 7)) for i in range(200)]
+    n, counts = [sum(t == label for _, t in texts) for label in (1, 0)], {}
+    for text, toxic in texts:
+        for g in set(toxicity.found_grams(toxicity.normal(text), np.ones(1 << toxicity.BUCKET_BITS, bool)).tolist()):
+            counts.setdefault(g, [0, 0])[1 - toxic] += 1
+
+    def surprise(p, q):
+        cells = [(p, n[0], p + q), (q, n[1], p + q), (n[0] - p, n[0], 200 - p - q), (n[1] - q, n[1], 200 - p - q)]
+        return 2 * sum(k * math.log(k * 200 / (a * b)) for k, a, b in cells if k)
+
+    want = {g: surprise(p, q) for g, (p, q) in counts.items() if surprise(p, q) >= 10}
+    got = {r["gram"]: r["surprise"] for r in toxicity.telling(spark.createDataFrame(texts, "text string, toxic int"), 10.0, math.inf, 100_000, 1.0)}
+    assert want and got == pytest.approx(want)
+
+
 def test_grams_of_pieces(monkeypatch):
     """A text hashed in pieces has the grams of the whole, and these are its n-grams."""
     data = toxicity.normal(prose(3, 2000) + " é")

@@ -94,6 +94,17 @@ def test_toxicity(spark, db):
     assert sum(a == b for a, b in known) >= 0.85 * len(known)
 
 
+def test_toxicity_recall(spark):
+    """Held-out toxic texts of the languages whose signals are rarer than the English ones are found, too."""
+    folder = "/root/testdata/sf0.1"
+    found = {r["doc_id"]: r["predicted"] for r in queries.QUERIES["op7_toxicity"](spark, folder).filter("held_out").collect()}
+    known = duckdb.sql(f"SELECT doc_id, lang, toxic FROM '{folder}/labels.parquet' JOIN '{folder}/documents.parquet' USING (doc_id)").fetchall()
+    share = lambda chosen: sum(chosen) / len(chosen)
+    assert share([found[i] for i, lang, toxic in known if i in found and toxic and lang == "en"]) >= 0.8
+    assert share([found[i] for i, lang, toxic in known if i in found and toxic and lang != "en"]) >= 0.25
+    assert share([found[i] for i, _, toxic in known if i in found and not toxic]) <= 0.02
+
+
 def test_main_text(spark, db):
     """The pages of these tables hold one article each, in which blocks end where an element does."""
     import html
