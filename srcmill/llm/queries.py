@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, main_text, mixing, repeats, simhash, token_files, topk, toxicity, url_rules
+from . import bpe_stream, decontaminate, license_scan, main_text, mixing, repeats, simhash, spelling, token_files, topk, toxicity, turn_trie, url_rules
 from ..session import work_path
 from .oracles import SQL  # noqa: F401
 from .tables import stored
@@ -94,3 +94,19 @@ def op9_main_text(table):
 @query
 def op10_repeats(table):
     return repeats.repeats(table("documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_spelling_variants(table):
+    words = spelling.word_counts(table("documents"), least_length=7, least_count=2, change=spelling.dropped_letter)
+    return spelling.variants(stored(words, "words"), times=10)
+
+
+@query
+def op12_bpe_stream(table):
+    return bpe_stream.digests(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_conversation_trie(table):
+    return turn_trie.conversation_trie(table("conversations"))
