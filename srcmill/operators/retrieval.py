@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as X
 from ..functions.rows import each
+from ..session import cut_lineage
 from .inventory import substring_pairs
 from .running import first_per_group, running_total
 
 
 EMPTY_CONTEXT = "## Relevant Code\n"
+#: Length of the character grams of content postings.
+GRAM_CHARS = 4
 
 
 def question_terms(questions, question="question"):
@@ -50,46 +53,93 @@ def hybrid_candidates(vector_hits, candidates, scope="repository_id"):
     ).unionByName(words)
 
 
-def final_score(base, terms, content, symbol, path, kind):
-    """Base score plus bonuses per contained term; the sum is rounded so that ties are exact."""
+def name_score(base, terms, symbol, path, kind):
+    """Base score plus the bonuses that need no content."""
     blank = lambda c: F.coalesce(c, F.lit(""))
-    return F.round(
+    return (
         base
-        + X.count_contained(terms, blank(content)) * V.CONTENT_BONUS
         + X.count_contained(terms, blank(symbol)) * V.SYMBOL_BONUS
         + X.count_contained(terms, blank(path)) * V.PATH_BONUS
-        + F.when(kind.isin("function", "method", "class"), V.TYPE_BONUS).otherwise(0.0),
-        9,
+        + F.when(kind.isin("function", "method", "class"), V.TYPE_BONUS).otherwise(0.0)
     )
 
 
-def rerank(candidates, chunks, questions, k=V.CONTEXT_HITS, scope="repository_id"):
-    """The best k chunks per question.
+def with_content(name, n_terms):
+    """The final score; it is rounded so that ties are exact."""
+    return F.round(name + n_terms * V.CONTENT_BONUS, 9)
+
+
+def _named(candidates, chunks, questions):
+    """Candidates with the terms of their question and what their names score; contents stay where they are."""
+    names = chunks.select("id", "symbol_name", "file_path", "symbol_type")
+    score = name_score(F.col("score"), F.col("terms"), F.col("symbol_name"), F.col("file_path"), F.col("symbol_type"))
+    return candidates.join(questions.select("question_id", "terms"), "question_id").join(names, "id").withColumn("_name", score).drop(*names.columns[1:])
+
 
-    Terms travel with the narrow candidate rows; the content meets them in one join on the chunk id and is dropped
-    again before the per-question top-k (pruned to k rows per question and partition ahead of its shuffle).
+def content_hits(candidates, chunks):
+    """(id, hits): of all terms that any question asks of a chunk, those that its content holds.
+
+    A content is read and lower-cased once and every distinct term looked up once in it, however many questions ask.
     """
-    wanted = candidates.join(questions.select("question_id", "terms"), "question_id")
-    slim = chunks.select("id", "content", "symbol_name", "file_path", "symbol_type")
-    scored = wanted.join(slim, "id").select(
-        scope, "question_id", "id", "vector_rank",
-        final_score(
-            F.col("score"), F.col("terms"), F.col("content"), F.col("symbol_name"), F.col("file_path"),
-            F.col("symbol_type"),
-        ).alias("final_score"),
-    )
-    return best_of(scored, k)
+    asked = each(candidates, "terms", "_term", ["id"]).distinct().groupBy("id").agg(F.collect_list("_term").alias("_asked"))
+    held = X.bind(F.lower(F.coalesce("content", F.lit(""))), lambda text: F.filter("_asked", lambda w: text.contains(w)))
+    return chunks.select("id", "content").join(asked, "id").select("id", held.alias("hits"))
+
+
+def _scored(named, chunks, scope):
+    score = with_content(F.col("_name"), F.size(F.array_intersect("terms", "hits")))
+    return named.join(content_hits(named, chunks), "id").select(scope, "question_id", "id", "vector_rank", score.alias("final_score"))
+
+
+def rerank(candidates, chunks, questions, k=V.CONTEXT_HITS, scope="repository_id"):
+    """The best k chunks per question, of candidates that are few: all of them are scored."""
+    return best_of(_scored(_named(candidates, chunks, questions), chunks, scope), k)
+
+
+def content_postings(chunks, n=GRAM_CHARS):
+    """(gram, id): the hashed grams of n word characters of every content; an index to write once and keep."""
+    grams = F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(rf"(?U)(?=(\w{{{n}}}))"), F.lit(1))
+    return each(chunks.select("id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("_grams")), "_grams", "gram", ["id"]).select("gram", "id")
+
+
+def _possible_terms(questions, postings, n):
+    """(id, possible): terms whose rarest gram occurs in a chunk; terms shorter than a gram are in none of these."""
+    terms = each(questions, "terms", "_term", []).distinct().filter(F.length("_term") >= n)
+    grams = F.transform(F.regexp_extract_all(F.col("_term"), F.lit(rf"(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+    needles = each(terms, F.array_distinct(grams), "gram", ["_term"])
+    lists = postings.join(needles.select("gram").distinct(), "gram", "left_semi")
+    sizes = lists.groupBy("gram").agg(F.count("*").alias("_n"))
+    # a term one of whose grams occurs nowhere occurs nowhere
+    rarest = needles.join(sizes, "gram", "left").groupBy("_term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    return lists.join(rarest.select("_term", F.col("r.gram").alias("gram")), "gram").groupBy("id").agg(F.collect_list("_term").alias("possible"))
 
 
-def rank_keyword_candidates(chunks, questions, k, scope="repository_id"):
+def rank_keyword_candidates(chunks, questions, k, scope="repository_id", postings=None, n=GRAM_CHARS):
     """The best k keyword candidates per question: (scope, question_id, id, final_score, rank).
 
-    Names decide in a gram join which chunks are candidates; only their content is joined, once by id, and scored.
+    Names decide in a gram join which chunks are candidates, and their bonuses are known before any content is read.
+    The terms that a content may hold bound its bonus: all terms of the question, or with `postings` those whose rarest
+    gram the content has.  The k candidates of highest bound are scored first; then only those whose bound reaches
+    the k-th of these scores are read, so what is left unread can't be among the best k.
     """
     found = keyword_candidates(chunks, questions, scope).withColumns(
         {"score": F.lit(V.KEYWORD_SCORE), "vector_rank": F.lit(None).cast("int")}
     )
-    return rerank(found, chunks, questions, k, scope).drop("vector_rank")
+    named = _named(found, chunks, questions)
+    open_terms = F.size("terms")
+    if postings is not None:
+        named = named.join(_possible_terms(questions, postings, n), "id", "left")
+        short = F.size(F.filter("terms", lambda w: F.length(w) < n))
+        none = F.array().cast("array<string>")
+        open_terms = F.size(F.array_intersect("terms", F.coalesce("possible", none))) + short
+    bounded = cut_lineage(named.withColumn("_bound", with_content(F.col("_name"), open_terms)).drop("possible", "score"))
+    ahead = first_per_group(bounded, "question_id", F.desc("_bound"), F.col("id"), n=k, rank="_turn")
+    first = cut_lineage(_scored(ahead, chunks, scope))
+    safe = first.groupBy("question_id").agg(F.count("*").alias("_n"), F.min("final_score").alias("_kth")).filter(F.col("_n") >= k)
+    rest = bounded.join(ahead.select("question_id", "id"), ["question_id", "id"], "left_anti").join(safe.select("question_id", "_kth"), "question_id")
+    # a question with fewer than k candidates has no rest
+    second = _scored(rest.filter("_bound >= _kth"), chunks, scope)
+    return best_of(first.unionByName(second), k).drop("vector_rank")
 
 
 def best_of(scored, k):

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators import vectors as VE
 from ..operators.running import first_per_group
-from ..session import cut_lineage
+from ..session import cut_lineage, work_path
 from ..sources import store
 from .registry import SQL_LINES, query, sql_in
 
@@ -122,6 +122,13 @@ def page_chunks(t):
     )
 
 
+def kept_chunks(t):
+    """The chunks as a table that is read several times, a few columns at a time."""
+    folder = work_path(t.spark, "page-chunks")
+    page_chunks(t).write.parquet(folder)
+    return t.spark.read.parquet(folder)
+
+
 def page_questions(t):
     asked = t("benchmark").select(
         F.col("item_id").alias("question_id"), F.lit("pages").alias("repository_id"), F.col("text").alias("question")
@@ -140,9 +147,7 @@ def keyword_candidates(t):
     return R.keyword_candidates(page_chunks(t), page_questions(t)).select("question_id", "id")
 
 
-@query(
-    "rerank",
-    f"""WITH c AS ({SQL_CANDIDATES}), b AS (SELECT item_id, unnest({SQL_TERMS}) AS term FROM benchmark),
+SQL_RANKED = f"""WITH c AS ({SQL_CANDIDATES}), b AS (SELECT item_id, unnest({SQL_TERMS}) AS term FROM benchmark),
     k AS (SELECT item_id, term FROM b WHERE term NOT IN {sql_in(V.STOP_WORDS)}),
     p AS (SELECT page_id, lower(html) AS content, lower(regexp_extract(html, '{TITLE}', 1)) AS symbol, lower(url) AS path FROM pages),
     s AS (SELECT question_id, id, round(0.3 + count(*) FILTER (contains(content, term)) * 0.05
@@ -150,10 +155,21 @@ def keyword_candidates(t):
         + CASE WHEN id % 3 = 0 THEN 0.03 ELSE 0 END, 9)::DOUBLE AS final_score
       FROM c LEFT JOIN k ON k.item_id = c.question_id JOIN p ON p.page_id = c.id GROUP BY question_id, id)
     SELECT question_id, id, final_score, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, id)::INT AS rank
-    FROM s QUALIFY rank <= 8""",
-)
+    FROM s QUALIFY rank <= 8"""
+
+
+@query("rerank", SQL_RANKED)
 def rerank(t):
-    ranked = R.rank_keyword_candidates(page_chunks(t), page_questions(t), V.CONTEXT_HITS)
+    ranked = R.rank_keyword_candidates(kept_chunks(t), page_questions(t), V.CONTEXT_HITS)
+    return ranked.select("question_id", "id", "final_score", "rank")
+
+
+@query("rerank_indexed", SQL_RANKED)
+def rerank_indexed(t):
+    """The same with stored postings of the contents, which leave few contents to read."""
+    chunks, folder = kept_chunks(t), work_path(t.spark, "postings")
+    R.content_postings(chunks).write.parquet(folder)
+    ranked = R.rank_keyword_candidates(chunks, page_questions(t), V.CONTEXT_HITS, postings=t.spark.read.parquet(folder))
     return ranked.select("question_id", "id", "final_score", "rank")
 
 
@@ -217,7 +233,7 @@ SQL_HYBRID = f"""WITH p AS MATERIALIZED (SELECT page_id, html, url, regexp_extra
 
 @query("hybrid_retrieval", SQL_HYBRID)
 def hybrid_retrieval(t):
-    ranked = retrieve(page_chunks(t), page_questions(t), embedder=word_buckets)
+    ranked = retrieve(kept_chunks(t), page_questions(t), embedder=word_buckets)
     return ranked.select("question_id", "id", "final_score", "rank")
 
 
@@ -237,7 +253,7 @@ def hybrid_retrieval(t):
     FROM benchmark LEFT JOIN c ON c.question_id = item_id""",
 )
 def retrieved_contexts(t):
-    chunks, questions = page_chunks(t), page_questions(t)
+    chunks, questions = kept_chunks(t), page_questions(t)
     ranked = (
         retrieve(chunks, questions, embedder=word_buckets).drop("repository_id")
         .join(chunks.drop("repository_id"), "id")

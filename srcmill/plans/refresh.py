@@ -1,10 +1,12 @@
 """Incremental refresh: only added and updated files are parsed again."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import inventory as N
 from ..operators import snapshots as D
 from ..session import cut_lineage
+from ..sources import changes, store
 from ..sources import tree as T
 from .index import PIPELINE_VERSION, index_tree
 
@@ -53,10 +55,53 @@ def refresh_index(tables, tree, version_changed=False, partial=False, order=None
     out["totals"] = N.repository_totals(out["files"], out["code_chunks"]).join(
         N.language_maps(N.language_histogram(out["files"])), "repository_id", "left"
     ).withColumn("index_version", F.lit(PIPELINE_VERSION))
-    out["changes"] = diff.groupBy("repository_id").agg(
+    out["changes"] = _change_counts(diff)
+    return out
+
+
+def file_keys():
+    """The key under which a file's rows are replaced, per table: the id of the file."""
+    file_id = F.col("file_id")
+    return {"files": F.col("id"), "symbols": file_id, "code_chunks": file_id, "vectors": T.file_id(path="file_path")}
+
+
+def changed_rows(files, tree, gone=None, version_changed=False, order=None, **index_options):
+    """What arriving files change, for `commit_changes`: rows of changed files alone, and the counts per repository.
+
+    files: (repository_id, path, hash) as stored; tree: files that arrive; gone: (repository_id, path) that vanish, in
+    favour of which an arrival of the same path is ignored.  Paths that neither names stay as they are.
+    """
+    keys = ["repository_id", "path"]
+    tree = latest_files(tree, order)
+    if gone is None:
+        gone = tree.select(*keys).limit(0)
+    tree = tree.join(gone, keys, "left_anti")
+    named = tree.select(*keys).unionByName(gone.select(*keys)).distinct()
+    before = files.select(*keys, "hash").join(named, keys, "left_semi")
+    now = T.select_files(tree).select(*keys, F.sha2("content", 256).alias("hash"))
+    diff = cut_lineage(D.snapshot_diff(before, now, version_changed=version_changed))
+    again = diff.filter("change in ('added', 'updated')").select(*keys)
+    return dict(
+        replaced=diff.filter("change in ('updated', 'deleted')").select(T.file_id().alias("key")),
+        tables=index_tree(tree.join(again, keys, "left_semi"), dependents="none", **index_options),
+        counts=_change_counts(diff),
+    )
+
+
+def commit_changes(spark, folder, number, changed):
+    """Append changed rows to a store of changes (see `sources.changes`); numbers rise from commit to commit."""
+    tables = {name: _typed(changed["tables"][name], like) for name, like in store.INDEX_TABLES.items()}
+    return changes.commit(spark, folder, number, changed["replaced"], tables, file_keys())
+
+
+def _typed(rows, like):
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(like)])
+
+
+def _change_counts(diff):
+    return diff.groupBy("repository_id").agg(
         *[F.count_if(F.col("change") == c).alias(c) for c in ("unchanged", "updated", "added", "deleted")]
     )
-    return out
 
 
 def _swap(stored, replaced, key, fresh):

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import accounts as A
 from ..operators import rate_limits as L
-from ..plans.refresh import refresh_index
+from ..plans.refresh import changed_rows, commit_changes, refresh_index
 from ..session import cut_lineage
-from ..sources import store
+from ..sources import changes, store
 
 TERMINAL = ("READY", "FAILED")
 
@@ -55,6 +55,26 @@ def index_arrivals(folder, **options):
     return handle
 
 
+def index_changes(folder, order, compact_every=8, keep_versions=2, **options):
+    """A batch handler that appends what arriving files change to a store of changes (see `sources.changes`).
+
+    A row whose `content` is null removes its path.  Of several rows of a path in one batch, the last by the column
+    `order` counts.  A repeated batch finds its commit done; older versions are folded and removed now and then.
+    """
+
+    def handle(batch, number):
+        spark = batch.sparkSession
+        last = batch.groupBy("repository_id", "path").agg(F.max(F.struct(order, F.sha2("content", 256).alias("_hash")))["_hash"].alias("_hash"))
+        gone = last.filter("_hash is null").select("repository_id", "path")
+        files = changes.read(spark, folder, "files", store.INDEX_TABLES["files"])
+        commit_changes(spark, folder, number, changed_rows(files, batch.filter("content is not null"), gone, order=order, **options))
+        if number % compact_every == compact_every - 1:
+            changes.compact(spark, folder, store.INDEX_TABLES)
+            changes.vacuum(spark, folder, keep_versions)
+
+    return handle
+
+
 def limit_arrivals(folder, key, time, request_id, limit, seconds, rows_per_key=L.ROWS_PER_KEY):
     """A batch handler with the request limits of `replay_limits`, for streams with very busy keys.
 
