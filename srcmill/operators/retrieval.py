@@ -107,7 +107,7 @@ def _possible_terms(questions, postings, n):
     terms = each(questions, "terms", "_term", []).distinct().filter(F.length("_term") >= n)
     grams = F.transform(F.regexp_extract_all(F.col("_term"), F.lit(rf"(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
     needles = each(terms, F.array_distinct(grams), "gram", ["_term"])
-    lists = postings.join(needles.select("gram").distinct(), "gram", "left_semi")
+    lists = cut_lineage(postings.join(needles.select("gram").distinct(), "gram", "left_semi"))
     sizes = lists.groupBy("gram").agg(F.count("*").alias("_n"))
     # a term one of whose grams occurs nowhere occurs nowhere
     rarest = needles.join(sizes, "gram", "left").groupBy("_term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
@@ -118,20 +118,19 @@ def rank_keyword_candidates(chunks, questions, k, scope="repository_id", posting
     """The best k keyword candidates per question: (scope, question_id, id, final_score, rank).
 
     Names decide in a gram join which chunks are candidates, and their bonuses are known before any content is read.
-    The terms that a content may hold bound its bonus: all terms of the question, or with `postings` those whose rarest
-    gram the content has.  The k candidates of highest bound are scored first; then only those whose bound reaches
-    the k-th of these scores are read, so what is left unread can't be among the best k.
+    The terms that a content may hold, those whose rarest gram it has, bound its bonus.  `postings` are the grams of all
+    contents, kept from before; without them the candidates' contents are cut into grams here, once each.  The k
+    candidates of highest bound are scored first; then only those whose bound reaches the k-th of these scores are
+    read, so what is left unread can't be among the best k.
     """
-    found = keyword_candidates(chunks, questions, scope).withColumns(
-        {"score": F.lit(V.KEYWORD_SCORE), "vector_rank": F.lit(None).cast("int")}
-    )
-    named = _named(found, chunks, questions)
-    open_terms = F.size("terms")
-    if postings is not None:
-        named = named.join(_possible_terms(questions, postings, n), "id", "left")
-        short = F.size(F.filter("terms", lambda w: F.length(w) < n))
-        none = F.array().cast("array<string>")
-        open_terms = F.size(F.array_intersect("terms", F.coalesce("possible", none))) + short
+    found = cut_lineage(keyword_candidates(chunks, questions, scope))
+    named = _named(found.withColumns({"score": F.lit(V.KEYWORD_SCORE), "vector_rank": F.lit(None).cast("int")}), chunks, questions)
+    if postings is None:
+        postings = content_postings(chunks.join(found.select("id").distinct(), "id", "left_semi"), n)
+    short = F.size(F.filter("terms", lambda w: F.length(w) < n))
+    none = F.array().cast("array<string>")
+    open_terms = F.size(F.array_intersect("terms", F.coalesce("possible", none))) + short
+    named = named.join(_possible_terms(questions, postings, n), "id", "left")
     bounded = cut_lineage(named.withColumn("_bound", with_content(F.col("_name"), open_terms)).drop("possible", "score"))
     ahead = first_per_group(bounded, "question_id", F.desc("_bound"), F.col("id"), n=k, rank="_turn")
     first = cut_lineage(_scored(ahead, chunks, scope))

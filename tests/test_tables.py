@@ -62,20 +62,45 @@ def test_pack_context_against_loop(spark):
 
 
 @pytest.mark.parametrize("scoped", [False, True])
-def test_vectors_in_several_query_blocks(spark, scoped):
+@pytest.mark.parametrize("rows, max_pivots, query_block", [(4096, 512, 4096), (20, 512, 7), (20, 3, 1000)])
+def test_vectors_around_pivots(spark, scoped, rows, max_pivots, query_block):
+    """One and many partitions, tiles of large ones, blocks of queries, against all pairs."""
     rng = np.random.default_rng(7)
-    vectors = rng.normal(size=(400, 8))
+    vectors = rng.normal(size=(400, 8)) * rng.uniform(0.1, 3, size=(400, 1))  # any length
     vectors[50:90] = vectors[50]  # a group of copies: ties go by id
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     queries = vectors[::9]
-    v = spark.createDataFrame([(i, i % 3, [float(x) for x in r]) for i, r in enumerate(vectors)], "id long, s int, embedding array<double>")
-    q = spark.createDataFrame([(f"q{i}", i % 3, [float(x) for x in r]) for i, r in enumerate(queries)],
+    v = spark.createDataFrame([(i, i % 3, [float(x) for x in r]) for i, r in enumerate(vectors)] + [(900, 1, None)], "id long, s int, embedding array<double>")
+    q = spark.createDataFrame([(f"q{i}", i % 3, [float(x) for x in r]) for i, r in enumerate(queries)] + [("none", 1, None), ("far", 7, [1.0] * 8)],
                               "query_id string, s int, embedding array<double>")
-    out = VE.vector_search_many(v.repartition(5), q, 6, scope="s" if scoped else None, block_bytes=1000).collect()
+    asked = q if scoped else q.filter("query_id <> 'far'")
+    out = VE.vector_search_many(v.repartition(5), asked, 6, "id", "query_id", "s" if scoped else None, rows, max_pivots, query_block).collect()
+    assert {r.query_id for r in out} == {f"q{i}" for i in range(len(queries))}
     for i, query in enumerate(queries):
         scored = [(-round(float(query @ r), 12), j) for j, r in enumerate(vectors) if not scoped or j % 3 == i % 3]
         want = [j for _, j in sorted(scored)[:6]]
         assert [r.id for r in sorted((r for r in out if r.query_id == f"q{i}"), key=lambda r: r["rank"])] == want
+    assert VE.vector_search_many(v, q.limit(0), 6).count() == 0 and VE.vector_search_many(v.limit(0), asked, 6).count() == 0
+
+
+def test_partitions_bound_their_vectors(spark):
+    """Every vector lies in the nearest pivot's partition, within its radius; clusters keep most partitions out of reach."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16)) * 5
+    points = np.concatenate([c + rng.normal(size=(60, 16)) * 0.1 for c in centres])
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(points)], "id long, embedding array<double>")
+    members, parts = VE.partitioned(v, rows=30)
+    parts = {r._pivot: (np.array(r.embedding), r._radius, r._n) for r in parts.collect()}
+    rows = members.collect()
+    assert sorted(r._id for r in rows) == list(range(len(points))) and len(parts) > 8
+    for r in rows:
+        own = np.linalg.norm(points[r._id] - parts[r._pivot][0])
+        assert own <= parts[r._pivot][1] + 1e-9 and own <= min(np.linalg.norm(points[r._id] - c) for c, _, _ in parts.values()) + 1e-9
+    query = points[7]
+    bounds = {p: float(query @ c) + np.linalg.norm(query) * radius for p, (c, radius, _) in parts.items()}
+    kth = sorted((float(query @ x) for x in points), reverse=True)[4]
+    assert sum(b >= kth for b in bounds.values()) < len(parts) / 2
+    got = VE.vector_search_many(v, spark.createDataFrame([(0, [float(x) for x in query])], "query_id int, embedding array<double>"), 5, rows=30)
+    assert [r.id for r in got.orderBy("rank").collect()] == sorted(range(len(points)), key=lambda j: (-round(float(query @ points[j]), 12), j))[:5]
 
 
 def test_single_vector_search_equals_batch(spark):
