@@ -225,6 +225,35 @@ def notebook_findings(t):
     )
 
 
+CHECKED = {
+    # number of a document modulo 7 -> language, text of the file (D: the document as JSON text), warning
+    0: ("json", '{"text":D}', None), 1: ("json", '{"text":D', V.UNSOUND_JSON), 2: ("notebook", '{"nbformat":3,"cells":[{"cell_type":"raw","source":D}]}', V.NOT_A_NOTEBOOK),
+    3: ("notebook", '{"nbformat":4,"metadata":{"language_info":{"name":"python"}},"cells":[{"cell_type":"raw","source":D},D]}', V.BAD_CELL.replace("{}", "2")),
+    4: ("notebook", '{"nbformat":4,"metadata":{"kernelspec":{"language":"r"}},"cells":[{"cell_type":"unknown","source":D}]}', V.BAD_CELL_STRUCTURE.replace("{}", "1")),
+    5: ("notebook", '{"nbformat":4,"metadata":{"language_info":[]},"cells":[{"cell_type":"raw","source":D}]}', V.BAD_KERNEL),
+    6: ("notebook", '{"nbformat":4,"metadata":{"language_info":{"name":"Python"}},"cells":[{"cell_type":"markdown","source":[D]},{"cell_type":"code","source":"%%time"}]}',
+        f"Cell 2: {V.UNSCANNED_CELL}"),
+}
+
+
+@query(
+    "documents_checked",
+    f"""SELECT doc_id, doc_id % 7 IN (0, 6) AS valid, CASE doc_id % 7 {" ".join(f"WHEN {i} THEN '{w}'" for i, (_, _, w) in CHECKED.items() if w)} ELSE '' END AS warnings,
+      CASE doc_id % 7 WHEN 6 THEN 2 ELSE 0 END AS cells, CASE WHEN doc_id % 7 = 6 THEN greatest(len({SQL_LINES}), 1) + 4 END::INT AS last_start
+    FROM documents""",
+)
+def documents_checked(t):
+    """Sound and broken JSON files and notebooks made of the documents, with what their reader says."""
+    kind = F.col("doc_id") % len(CHECKED)
+    quoted = F.to_json(F.array("text"))
+    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    pick = lambda place, of: F.coalesce(*[F.when(kind == i, of(F.lit(row[place]))) for i, row in CHECKED.items()])
+    files = t("documents").select("doc_id", pick(0, lambda c: c).alias("language"), pick(1, lambda c: F.replace(c, F.lit("D"), quoted)).alias("text"))
+    return D.read_documents(files, ["doc_id"]).select(
+        "doc_id", "valid", F.array_join("warnings", "; ").alias("warnings"), F.size("cells").alias("cells"), F.get("cells", F.lit(1))["start_line"].alias("last_start")
+    )
+
+
 def python_sources(t):
     """One Python file per document: a function per line, with as many parameters as words (modulo 12)."""
 
