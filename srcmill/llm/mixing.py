@@ -6,7 +6,7 @@ those first in the order once more until the source's target is met.  DataFrame
 
 from pyspark.sql import Window, functions as F
 
-from .tables import TOKEN
+from .tables import TOKEN, stored
 
 #: Hexadecimal digits of the order key that form a bucket: 4,096 buckets a source.
 BUCKET_DIGITS = 3
@@ -121,7 +121,10 @@ def draw(rows, share=1.5, epochs=2.0, weights=(3, 1, 2)):
     Hot sources: sums are pre-aggregated over 4,096 buckets of the order; only the bucket in which the target is
     reached is ordered row by row.
     """
-    sources, edge = schedule(rows.select("source", "size", "order_key"), share, epochs, weights)
+    return _drawn(rows, *schedule(rows.select("source", "size", "order_key"), share, epochs, weights))
+
+
+def _drawn(rows, sources, edge):
     sources = sources.select(F.col("source").alias("s"), "source_size", "target", "whole", "edge", "turned")
     edge = edge.select(F.col("source").alias("e"), "edge_key")
     once_more = (F.substring("order_key", 1, BUCKET_DIGITS) < F.col("edge")) | F.col("edge_key").isNotNull()
@@ -135,11 +138,16 @@ def draw(rows, share=1.5, epochs=2.0, weights=(3, 1, 2)):
 
 
 def mixed(docs, seed="mix", share=1.5, epochs=2.0, weights=(3, 1, 2)):
-    """The documents, each as many times as the mix takes it, with the columns of `docs`."""
+    """The documents, each as many times as the mix takes it, with the columns of `docs`.
+
+    The mix is decided on sizes and keys, written once; the texts meet its two small tables in one pass.
+    """
+    narrow = stored(narrow_rows(docs, seed).select("source", "size", "order_key"), "mix-sizes")
+    sources, edge = schedule(narrow, share, epochs, weights)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(row, "source", words().alias("size"), order_key(seed).alias("order_key"))
+    rows = docs.select(row, "source", order_key(seed).alias("order_key"))
     return (
-        draw(rows, share, epochs, weights)
+        _drawn(rows, stored(sources, "mix-sources"), stored(edge, "mix-edge"))
         .select("row", F.explode(F.array_repeat(F.lit(1), F.col("repeats").cast("int"))))
         .select("row.*")
     )
