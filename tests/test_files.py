@@ -100,27 +100,63 @@ def test_archives(spark, tmp_path):
     }
     for name, data in files.items():
         (tmp_path / f"{name}.zip").write_bytes(data)
-    zips = archives.read_archives(spark, str(tmp_path))
-    verdicts = {r.archive: r.verdict for r in archives.judge_manifests(archives.archive_manifest(zips), max_bytes=1000).collect()}
-    assert verdicts == {
-        "good": "accepted", "climbing": "unsafe entry", "linked": "unsafe entry", "double": "duplicate path", "hidden": "duplicate path", "large": "too large"
+    (tmp_path / "torn.zip").write_bytes(make_zip(("a.py", "x" * 500))[:-30])
+    (tmp_path / "not.zip").write_bytes(b"plain text")
+    bad = bytearray(make_zip(("a.py", "y" * 500), ("b.py", "fine")))
+    bad[40] ^= 0xFF  # inside the first member
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "bad.zip").write_bytes(bytes(bad))
+    verdicts, contents = archives.ingest_archives(spark, str(tmp_path), max_bytes=1000)
+    assert {r.archive: r.verdict for r in verdicts.collect()} == {
+        "good": "accepted", "climbing": "unsafe entry", "linked": "unsafe entry", "double": "duplicate path", "hidden": "duplicate path", "large": "too large",
+        "torn": archives.UNREADABLE, "not": archives.UNREADABLE, "bad": "accepted",
     }
-    rows = archives.ingest_archives(zips).filter("repository_id = 'good'").orderBy("path").collect()
-    assert [(r.path, bytes(r.content)) for r in rows] == [("sample.py", b"x = 1\n"), ("web/a.ts", b"export const a = 1\n")]
-    with pytest.raises(Exception, match="expands beyond"):
-        archives.expand_archives(zips, max_bytes=3).collect()
+    rows = {(r.repository_id, r.path): (r.content and bytes(r.content), r.problem) for r in contents.collect()}
+    assert rows == {
+        ("good", "sample.py"): (b"x = 1\n", None), ("good", "web/a.ts"): (b"export const a = 1\n", None),
+        ("bad", "a.py"): (None, archives.DAMAGED), ("bad", "b.py"): (b"fine", None),
+    }
+    assert archives.list_archives(spark, str(tmp_path / "below")).count() == 1
+
+
+def test_members_by_range(spark, tmp_path):
+    """One archive is read by many tasks; a member that unpacks to more than it declares is a row with a problem."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(50):
+            z.writestr(zipfile.ZipInfo(f"f{i}.py"), f"{i}" * 3000, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+    (tmp_path / "a.zip").write_bytes(out.getvalue())
+    members = archives.archive_members(archives.list_archives(spark, str(tmp_path)))
+    name = F.col("member")
+    lying = members.withColumns({"size": F.when(name == "f3.py", 10).otherwise(F.col("size")), "method": F.when(name == "f4.py", 12).otherwise(F.col("method"))})
+    rows = archives.read_members(lying, task_bytes=10_000).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.path: r.problem for r in rows if r.problem} == {"f3.py": archives.OVERSIZED, "f4.py": archives.UNSUPPORTED}
+    assert all(bytes(r.content) == (r.path[1:-3] * 3000).encode() for r in rows if not r.problem) and len(rows) == 50
+    assert len({r.task for r in rows}) > 8
+    assert archives.read_members(members.limit(0)).count() == 0
 
 
 def test_read_tree(spark, tmp_path):
-    for path, data in {"r1/src/a b.py": b"x\n", "r1/build/b.py": b"y", "r1/out.bin": b"1", "r2/c+d.js": b"\x00"}.items():
+    files = {
+        "r1/src/a b.py": b"x\n", "r1/build/b.py": b"y", "r1/build/deep/c.py": b"y", "r1/out.bin": b"1", "r2/c+d.js": b"\x00", "r2/big.py": b"#" * (1 << 20),
+        "r2/bigger.py": b"#" * ((1 << 20) + 1), "r2/a/é%20.py": b"",
+    }
+    for path, data in files.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
-    rows = tree.read_source_tree(spark, str(tmp_path))
-    assert {(r.repository_id, r.path) for r in rows.collect()} == {
-        ("r1", "src/a b.py"), ("r1", "build/b.py"), ("r1", "out.bin"), ("r2", "c+d.js")
+    (tmp_path / "stray.py").write_bytes(b"")
+    (tmp_path / "r2" / "loop").symlink_to(tmp_path / "r2")
+    rows, excluded = tree.source_tree(spark, str(tmp_path))
+    assert {(r.path, r.language) for r in tree.select_files(rows).collect()} == {("src/a b.py", "python"), ("big.py", "python"), ("a/é%20.py", "python")}
+    assert all(bytes(r.content) == files[f"{r.repository_id}/{r.path}"] for r in rows.collect())
+    assert {(r.path, r.reason) for r in excluded.collect()} == {
+        ("build/", "pruned folder"), ("out.bin", "unsupported type"), ("c+d.js", "binary content"), ("bigger.py", "too large")
     }
-    assert [(r.path, r.language) for r in tree.select_files(rows).collect()] == [("src/a b.py", "python")]
-    assert {r.path for r in tree.excluded_files(rows).collect()} == {"build/b.py", "out.bin", "c+d.js"}
+    gone = spark.createDataFrame([("r1", "nowhere.py", 3)], "repository_id string, path string, size long")
+    assert [r.reason for r in tree.excluded_files(tree.with_content(gone, str(tmp_path))).collect()] == ["unreadable"]
+    climbing = spark.createDataFrame([("r1", "../x.py", bytearray(b""))], "repository_id string, path string, content binary")
+    with pytest.raises(Exception, match="not below"):
+        tree.write_source_tree(climbing, str(tmp_path)).collect()
 
 
 def test_export_refuses_instead_of_truncating(spark, tmp_path):
