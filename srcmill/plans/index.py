@@ -16,7 +16,8 @@ from ..sources import store
 from ..sources import tree as T
 
 PIPELINE_VERSION = "srcmill-1"
-OUTLINE = f"error string, cell_complexity double, parsed_symbols {J.SYMBOLS}, parsed_imports array<struct<module:string,line:int>>"
+IMPORTS = "array<struct<module:string,line:int>>"
+OUTLINE = f"error string, parsed_symbols {J.SYMBOLS}, parsed_imports {IMPORTS}, cell_outlines array<struct<number:int,shift:int,symbols:{J.SYMBOLS},imports:{IMPORTS}>>"
 SCRIPTS = ("javascript", "typescript")
 # parsed elsewhere than in the registry, or cut by lines only
 LINE_LANGUAGES = ("java", "go", "cpp")
@@ -27,24 +28,17 @@ def parse_python(text):
     return dict(error=found["error"], parsed_symbols=found["symbols"], parsed_imports=found["imports"])
 
 
-def _mean_complexity(symbols):
-    positive = [s["complexity"] for s in symbols if s["complexity"] > 0]
-    return round(sum(positive) / len(positive), 2) if positive else 0.0
-
-
-def _cell_outlines(cells):
-    """Symbols and imports of the supported cells of a notebook, moved to the lines of its view."""
-    out = dict(error=None, parsed_symbols=[], parsed_imports=[], cell_complexity=0.0)
-    for cell in cells:
-        if cell["supported"]:
-            found, shift = pyfacts.outline(pyfacts.facts_or_error(cell["source"])), cell["start_line"] - 1
-            for s in found["symbols"]:
-                s.update(start_line=s["start_line"] + shift, end_line=s["end_line"] + shift,
-                         signature=f"Cell {cell['number']} · {s['signature']}")
-            out["cell_complexity"] += _mean_complexity(found["symbols"])
-            out["parsed_symbols"] += found["symbols"]
-            out["parsed_imports"] += [dict(i, line=i["line"] + shift) for i in found["imports"]]
-    return out
+def _moved(cells):
+    """Symbols and imports of a notebook's outlined cells in the lines of its view, and the sum of the cells' mean complexity."""
+    symbols = lambda c: F.transform(c["symbols"], lambda s: s.withField("start_line", s["start_line"] + c["shift"])
+        .withField("end_line", s["end_line"] + c["shift"]).withField("signature", F.concat(F.lit("Cell "), c["number"].cast("string"), F.lit(" · "), s["signature"])))
+    imports = lambda c: F.transform(c["imports"], lambda i: i.withField("line", i["line"] + c["shift"]))
+    measured = lambda c: F.filter(F.transform(c["symbols"], lambda s: s["complexity"]), lambda x: x > 0)
+    mean = lambda c: X.bind(measured(c), lambda m: F.when(F.size(m) > 0, F.bround(F.aggregate(m, F.lit(0.0), lambda n, x: n + x) / F.size(m), 2)).otherwise(0.0))
+    return (
+        F.flatten(F.transform(cells, symbols)), F.flatten(F.transform(cells, imports)),
+        F.aggregate(F.transform(cells, mean), F.lit(0.0), lambda n, x: n + x),
+    )
 
 
 # language -> text -> dict with the OUTLINE fields; further languages can be registered by the caller
@@ -62,7 +56,10 @@ def with_parsed(files, keep, parsers=None, limits=None):
     read = D.read_documents(files, columns, limits=limits)
 
     def parse(text, language, cells):
-        return parsers[language](text) if language in parsers else _cell_outlines(cells) if cells is not None else {}
+        if language in parsers:
+            return parsers[language](text)
+        supported = [c for c in cells or () if c["supported"]]
+        return {} if cells is None else {"cell_outlines": [dict(number=c["number"], shift=c["start_line"] - 1, **pyfacts.outline(pyfacts.facts_or_error(c["source"]))) for c in supported]}
 
     outlined = append_columns(read, [*columns, "valid", "warnings", "view", "sections"], ["text", "language", "cells"], OUTLINE, parse)
     of_section = lambda s: F.struct(
@@ -70,10 +67,11 @@ def with_parsed(files, keep, parsers=None, limits=None):
         F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("docstring"), F.lit(0.0).alias("complexity"),
     )
     is_json = F.col("language") == "json"
+    symbols, imports, complexity = _moved(F.col("cell_outlines"))
     return outlined.select(
-        *keep, F.coalesce("error", F.when(~F.col("valid"), F.array_join("warnings", "; "))).alias("error"), "view", "cell_complexity",
-        F.when(is_json & F.col("valid").isNotNull(), F.transform("sections", of_section).cast(J.SYMBOLS)).otherwise(F.col("parsed_symbols")).alias("parsed_symbols"),
-        "parsed_imports", "sections",
+        *keep, F.coalesce("error", F.when(~F.col("valid"), F.array_join("warnings", "; "))).alias("error"), "view", complexity.alias("cell_complexity"),
+        F.when(is_json & F.col("valid").isNotNull(), F.transform("sections", of_section).cast(J.SYMBOLS)).otherwise(F.coalesce("parsed_symbols", symbols)).alias("parsed_symbols"),
+        F.coalesce("parsed_imports", imports).alias("parsed_imports"), "sections",
     )
 
 

@@ -1,5 +1,7 @@
 import io
+import random
 import stat
+import string
 import zipfile
 
 import pytest
@@ -50,30 +52,40 @@ def test_lines(spark):
     assert column(spark, LINE_TEXTS, X.count_lines) == [len(t.splitlines()) for t in LINE_TEXTS]
 
 
-NAMES = ["a", "-dash", ".dot-first", "under_score", "v1.2.3", "many--dashes-", "z" * 100]
-HOST = "https://github.com"
-# by what is wrong with them
-REFUSED = {
-    "scheme": [f"{scheme}://github.com/team/tool" for scheme in ("http", "ssh", "git", "ftp")] + ["github.com/team/tool", "git@github.com:team/tool"],
-    "host": [f"https://{host}/team/tool" for host in ("127.0.0.1", "internal", "github.com.attacker.test", "bitbucket.org", "git\thub.com")],
-    "login": [f"https://{login}@github.com/team/tool" for login in ("", "me", "me:pass", "github.com")],
-    "port": [f"https://github.com:{port}/team/tool" for port in ("", "80", "8443")],
-    "rest": [f"{HOST}/team/tool{rest}" for rest in ("?ref=main", "#top", "/blob/main/a.py", "//", "/.", " x", ";x", "+x", "$(x)", "\n", "é")],
-    "parts": [f"{HOST}/{path}" for path in ("team", "/team/tool", "team//tool", "team/..", "team/.git", "team/" + "x" * 101)],
-    "encoded": [f"{HOST}/team/{name}" for name in ("%2e", "x%2Fy", "x%5Cy", "x%00", "%fe", "%252e")],
-    "gitlab": [f"https://gitlab.com/{path}" for path in ("-a/tool", "a/-tool", "a./tool", "a/tool.atom", "a/tool/-/issues")],
-}
-
-
-def test_repository_urls(spark):
-    for name in NAMES:
-        want = f"{HOST}/some-team/{name}"
-        forms = [want, f"{want}/", f"{want}.git", f"{want}.git/", f" https://GitHub.com:443/Some-Team/{name} "]
-        assert column(spark, forms, P.normalize_repository_url) == [want] * 5
-    for reason, urls in REFUSED.items():
-        assert column(spark, urls, P.normalize_repository_url) == [None] * len(urls), reason
-    encoded = [f"{HOST}/some-team/%2Dtool%5F1.git", "https://gitlab.com/Group/Part.Two/the_tool/"]
-    assert column(spark, encoded, P.normalize_repository_url) == [f"{HOST}/some-team/-tool_1", "https://gitlab.com/Group/Part.Two/the_tool"]
+def random_names(letters, lengths, n=6):
+    r = random.Random(len(letters))
+    return ["".join(r.choice(letters) for _ in range(r.choice(lengths))) for _ in range(n)]
+
+
+PART = string.ascii_lowercase + string.digits
+
+
+def test_repository_urls_in_every_form(spark):
+    """Scheme and host in any case, port 443, blanks around, a closing slash and '.git' make no difference."""
+    for owner, name in zip(random_names(PART, [1, 5, 30]), random_names(PART + "_.-", [8, 20], 6)):
+        name = f"{name}x"  # ends in neither '.git' nor a dot
+        want = f"https://github.com/{owner}/{name}"
+        forms = [f"{start}/{owner.upper()}/{name}{end}" for start in ("https://github.com", "HTTPS://GITHUB.com:443") for end in ("", "/", ".git", ".git/", "?", "#")]
+        assert column(spark, [*forms, f"  {want} "], P.normalize_repository_url) == [want] * 13
+        kept = f"https://gitlab.com/{owner}/Sub/{name.title()}"
+        assert column(spark, [kept, f"{kept}/"], P.normalize_repository_url) == [kept] * 2
+
+
+def test_repository_urls_by_rule(spark):
+    """Each rule just inside and just outside."""
+    url = "https://{host}/{owner}/{name}".format
+    good = dict(host="github.com", owner="abc", name="tool")
+    inside = [dict(name="n" * 100), dict(host="gitlab.com", name="n" * 101), dict(owner="_a"), dict(name=".x"), dict(name="a%2Eb"), dict(host="gitlab.com", owner="a/b/c")]
+    outside = [
+        dict(name="n" * 101), dict(owner="-a"), dict(owner=".a"), dict(host="gitlab.com", owner="-a"), dict(host="gitlab.com", owner="a."), dict(host="gitlab.com", name="a.atom"),
+        dict(name="."), dict(name="%2E%2E"), dict(name=".git"), dict(name="a%2Fb"), dict(owner="a/b"), dict(owner=""), dict(name="a?q=1"), dict(name="a#f"), dict(name="a//"),
+        dict(host="github.com:444"), dict(host="github.com:"), dict(host="x@github.com"), dict(host="github.org"), dict(host="a.github.com"), dict(name="a\tb"),
+    ]
+    outside += [dict(name=f"a{c}b") for c in string.printable + "é" if c not in string.ascii_letters + string.digits + "_.-/?#%"]
+    assert None not in column(spark, [url(**good | change) for change in inside], P.normalize_repository_url)
+    assert column(spark, [url(**good | change) for change in outside], P.normalize_repository_url) == [None] * len(outside)
+    rest = ["abc/tool", "http://github.com/abc/tool", "https://github.com", "", None, "https://github.com/abc/" + " " * 4096 + "tool"]
+    assert column(spark, rest, P.normalize_repository_url) == [None] * len(rest)
 
 
 def test_sound_json(spark):
