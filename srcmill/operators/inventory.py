@@ -1,5 +1,6 @@
 """File and repository statistics, import dependents, folder tree."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -89,10 +90,21 @@ def explorer_counts(files):
     )
 
 
-def dashboard_totals(repositories):
-    """Totals over the finished repositories."""
-    return repositories.filter("status = 'READY'").agg(
-        F.count("*").alias("repositories"), F.sum("total_files").alias("files"), F.sum("total_loc").alias("loc")
+def dashboard_totals(repositories, issues=None):
+    """Totals over the finished repositories; with their findings, also how many there are."""
+    ready = repositories.filter("status = 'READY'")
+    out = ready.agg(F.count("*").alias("repositories"), F.sum("total_files").alias("files"), F.sum("total_loc").alias("loc"))
+    if issues is None:
+        return out
+    found = issues.groupBy("repository_id").agg(F.count("*").alias("_n")).join(ready.select("repository_id"), "repository_id", "left_semi")
+    return out.join(found.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("issues")), how="cross")  # one row each
+
+
+def repository_view(files):
+    """What a repository's summary page lists of its files, most important first, with their counts."""
+    place = F.row_number().over(W.partitionBy("repository_id").orderBy(F.desc("importance_score"), "path"))
+    return files.select(
+        "repository_id", "path", "language", "importance_level", "importance_score", "num_classes", "num_functions", "loc", "summary", place.alias("place")
     )
 
 
