@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .tables import WORD_BYTES, free_name, stored, text_bytes
+from .tables import WORD_BYTES, free_name, stored, text_bytes, trimmed
 
 #: Words of a block; a document is never cut, so a block holds one document at least.
 BLOCK_WORDS = 1_000_000
@@ -65,7 +65,7 @@ def build_index(docs, keep=True):
             yield pa.RecordBatch.from_pylist([_block(base + number, kept)], schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), text_bytes().alias("text"))
-    index = rows.mapInArrow(run, INDEX)
+    index = rows.mapInArrow(trimmed(run), INDEX)
     return stored(index, "positions") if keep else index
 
 
@@ -156,7 +156,7 @@ def search(index, items, length=10, least=1, slop=2):
                     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
                     yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("item_id", pa.string()), ("spans", pa.list_(span))]))
 
-        found.append(stored(index.mapInArrow(run, "block long, place int, doc_id long, tie long, item_id string, spans array<struct<start:int,end:int>>"), "matches"))
+        found.append(stored(index.mapInArrow(trimmed(run), "block long, place int, doc_id long, tie long, item_id string, spans array<struct<start:int,end:int>>"), "matches"))
         query.destroy()
     out = found[0]
     for more in found[1:]:
