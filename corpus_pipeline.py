@@ -10,18 +10,26 @@ from srcmill.llm.tables import stored
 from srcmill.session import work_path
 
 
+def rows_a_batch(spark, n):
+    """Rows that go to Python at a time: few where they are whole documents, so that buffers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the classifier, learned from the labels of these documents, doesn't reject."""
+    rows_a_batch(spark, 500)
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark, docs, sf_dir):
     """One document, that of the smallest id, of each group linked by SimHash (3-word shingles, 3 bits of 64)."""
+    rows_a_batch(spark, 4000)
     return simhash.first_of_each(docs)
 
 
 def drop_benchmark_leaks(spark, docs, sf_dir):
     """Documents without a 10-word window of a benchmark item."""
+    rows_a_batch(spark, 500)
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -32,6 +40,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def write_tokens(spark, docs, sf_dir):
     """The token files, written below the shared folder; what is returned is read back from them."""
+    rows_a_batch(spark, 500)
     path = work_path(spark, "corpus-tokens")
     token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read(spark, path)
