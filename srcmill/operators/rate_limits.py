@@ -1,9 +1,10 @@
 """Sliding-window request limits over a history of requests.
 
 A request is accepted while fewer than `limit` accepted requests lie inside the window; rejected requests are
-not logged.  Each decision depends on the ones before it, so requests are replayed in time order: tasks stream the
-sorted rows of their keys and remember at most `limit` times.  When one key is so busy that it would fill a task,
-the history is cut into time slices and only the last `limit` accepted times per key are handed to the next slice.
+not logged.  Each decision depends on the ones before it, so requests are replayed in time order: tasks stream sorted
+rows and remember at most `limit` times.  After a gap as long as the window nothing is remembered, so a key's history
+is cut there and its runs are dealt to tasks of their own.  When a run is so busy that it would fill a task, the history
+is cut into time slices, too, and only the last `limit` accepted times per key are handed to the next slice.
 """
 
 from collections import deque
@@ -40,7 +41,7 @@ def _replay(limit, micros, columns):
         key, log = None, None
         for batch in batches:
             waits = []
-            for k, t, carried in zip(batch["_key"], batch["_t"], batch["_carried"]):
+            for k, t, carried in zip(batch["_of"], batch["_t"], batch["_carried"]):
                 if log is None or k != key:
                     key, log = k, SlidingLog(limit, micros)
                 if carried:
@@ -55,6 +56,21 @@ def _replay(limit, micros, columns):
     return run
 
 
+def _with_runs(rows, micros):
+    """Add `_run`, which rises where a key has been silent for a whole window; rows of a run depend on each other alone.
+
+    Gaps inside a time cell of a window's length are shorter than it, so they are looked for between the cells: a row
+    per key and cell is left of the history, pre-aggregated on the map side.
+    """
+    cell = F.floor(F.col("_t") / micros)
+    cells = rows.groupBy("_key", cell.alias("_cell")).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    order = W.partitionBy("_key").orderBy("_cell")
+    silent = F.coalesce((F.col("_first") - F.lag("_last").over(order) >= micros).cast("long"), F.lit(0))
+    runs = cells.withColumn("_run", silent).select(F.col("_key").alias("_of_key"), F.col("_cell").alias("_of_cell"), F.sum("_run").over(order).alias("_run"))
+    same = F.col("_key").eqNullSafe(F.col("_of_key")) & (cell == F.col("_of_cell"))
+    return rows.join(runs, same).drop("_of_key", "_of_cell")
+
+
 def _slices(requests, micros, rows_per_key):
     """Upper time bounds of the slices, so that no key has more than about `rows_per_key` rows in one of them.
 
@@ -96,8 +112,10 @@ def replay(staged, limit, seconds, rows_per_key=ROWS_PER_KEY, carry=None):
         part = staged if start is None else staged.filter(F.col("_t") >= start)
         part = part if end is None else part.filter(F.col("_t") < end)
         part = part if carry is None else carry.unionByName(part)
+        of = F.concat(F.col("_run").cast("string"), F.coalesce(F.concat(F.lit("|"), "_key"), F.lit("")))
+        keyed = _with_runs(part, micros).select(of.alias("_of"), *columns)
         judged = (
-            part.repartition("_key").sortWithinPartitions("_key", F.desc("_carried"), "_t", "_id")
+            keyed.repartition("_of").sortWithinPartitions("_of", F.desc("_carried"), "_t", "_id")
             .mapInPandas(_replay(limit, micros, columns), schema)
         )
         if len(bounds) > 1:

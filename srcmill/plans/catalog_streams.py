@@ -6,7 +6,7 @@ from ..session import work_path
 from ..sources import store
 from ..streaming import jobs as J
 from ..streaming import processors as S
-from ..streaming.runner import catch_up, read_table_stream, run_batches
+from ..streaming.runner import catch_up, read_table_stream, run_batches, write_by_time
 from .catalog_accounts import SQL_LIMITER, STATUS
 from .registry import SQL, stream_query
 
@@ -60,16 +60,37 @@ def import_requests(spark, sf_dir):
     FROM u GROUP BY repository_id""",
 )
 def stream_progress(spark, sf_dir):
+    folder = catch_up(J.progress(repository_updates(read_table_stream(spark, f"{sf_dir}/events.parquet"))), label="progress")
+    return J.current_progress(spark.read.parquet(f"{folder}/out"))
+
+
+def repository_updates(events):
     kind, value = F.col("event_type"), F.col("value")
-    updates = read_table_stream(spark, f"{sf_dir}/events.parquet").select(
+    return events.select(
         F.col("user_id").alias("repository_id"), "ts",
         F.when((kind == "purchase") & (value > 70), "READY").when((kind == "error") & (value > 90), "FAILED")
         .when(kind == "click", "PARSING").otherwise("INDEXING").alias("status"),
     )
-    folder = catch_up(J.progress(updates), mode="update", label="progress")
+
+
+def by_time(spark, sf_dir, slices=4):
+    """The events as a stream of several batches, in order of time."""
+    folder = write_by_time(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", work_path(spark, "by-time"), slices)
+    return read_table_stream(spark, folder, files_per_trigger=2)
+
+
+@stream_query("stream_progress_batches", SQL["stream_progress"])
+def stream_progress_batches(spark, sf_dir):
+    folder = catch_up(J.progress(repository_updates(by_time(spark, sf_dir))), label="progress")
     return J.current_progress(spark.read.parquet(f"{folder}/out"))
 
 
+@stream_query("stream_limit_by_time", SQL_LIMITER)
+def stream_limit_by_time(spark, sf_dir):
+    folder = catch_up(S.limit_requests(by_time(spark, sf_dir), "user_id", "ts", "event_id", 2, 86400), label="limits")
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @stream_query(
     "stream_replies",
     """SELECT conv_id * 100 + turn AS reply_id, CASE WHEN conv_id % 5 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
@@ -101,13 +122,32 @@ def stream_replies(spark, sf_dir):
     WHERE kind NOT IN ('purchase', 'error') AND epoch_us(seen) // 1000 + 900000 <= (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM events)""",
 )
 def stream_stalled(spark, sf_dir):
+    folder = catch_up(S.watch_stalled(job_updates(read_table_stream(spark, f"{sf_dir}/events.parquet")), 900), label="stalled")
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def job_updates(events):
     kind = F.col("event_type")
-    jobs = read_table_stream(spark, f"{sf_dir}/events.parquet").select(
+    return events.select(
         F.col("user_id").alias("job_id"), "ts",
         F.when(kind == "purchase", "READY").when(kind == "error", "FAILED").when(kind == "view", "RUNNING")
         .otherwise("PENDING").alias("status"),
     )
-    folder = catch_up(S.watch_stalled(jobs, 900), label="stalled")
+
+
+@stream_query(
+    "stream_stalled_batches",
+    """WITH e AS (SELECT user_id, ts, event_type AS kind, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later,
+      floor((epoch_us(ts) - epoch_us(min(ts) OVER ())) * 4 / (epoch_us(max(ts) OVER ()) - epoch_us(min(ts) OVER ()) + 1)) AS slice FROM events),
+    b AS (SELECT slice, epoch_us(max(ts)) // 1000 - 60000 AS mark FROM e GROUP BY slice),
+    s AS (SELECT *, floor((epoch_us(later) - epoch_us((SELECT min(ts) FROM e))) * 4 / (epoch_us((SELECT max(ts) FROM e)) - epoch_us((SELECT min(ts) FROM e)) + 1)) AS next FROM e)
+    SELECT user_id AS job_id, CASE kind WHEN 'view' THEN 'RUNNING' ELSE 'PENDING' END AS status, epoch_us(ts) // 1000 AS silent_since FROM s JOIN b USING (slice)
+    WHERE kind NOT IN ('purchase', 'error') AND (later IS NULL OR next > slice)
+      AND epoch_us(ts) // 1000 + 900000 <= (SELECT max(mark) FROM b WHERE later IS NULL OR b.slice < next - 1)""",
+)
+def stream_stalled_batches(spark, sf_dir):
+    """Several batches: a job is reported by a batch that brings nothing of it, once the one before has proved its silence."""
+    folder = catch_up(S.watch_stalled(job_updates(by_time(spark, sf_dir)), 900), label="stalled")
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 

@@ -1,4 +1,4 @@
-"""Streams without custom state: progress feed, arriving snapshots, shared generation."""
+"""Streams handled batch by batch, and the progress feed: arriving snapshots, shared generation."""
 
 from pyspark.sql import functions as F
 
@@ -7,32 +7,26 @@ from ..operators import rate_limits as L
 from ..plans.refresh import changed_rows, commit_changes, refresh_index
 from ..session import cut_lineage
 from ..sources import changes, store
+from .processors import feed_progress
 
 TERMINAL = ("READY", "FAILED")
 
 
-def progress(updates, delay="1 hour"):
-    """Latest status per repository; the first terminal status ends a repository's feed.
+def progress(updates, patience=86_400, delay="1 hour"):
+    """Status changes per repository; the first terminal status ends a repository's feed.
 
-    updates: (repository_id, status, ts).  Run in update mode and read back with `current_progress`.
+    updates: (repository_id, status, ts).  Read back with `current_progress`.
     """
-    ended = F.col("status").isin(*TERMINAL)
-    at = F.col("ts")
-    return updates.withColumn("ts", at.cast("timestamp")).withWatermark("ts", delay).groupBy("repository_id").agg(
-        F.min_by(F.col("status"), F.when(ended, at)).alias("_ended"),
-        F.max_by(F.col("status"), at).alias("_latest"),
-        F.max(at).alias("updated_at"),
-    ).select(
-        "repository_id", F.coalesce("_ended", "_latest").alias("status"), F.col("_ended").isNotNull().alias("terminal"),
-        "updated_at",
-    )
+    return feed_progress(updates, patience, TERMINAL, delay)
 
 
 def current_progress(written):
-    """The newest row per repository of the batches written in update mode."""
-    return written.groupBy("repository_id").agg(
-        F.max_by(F.struct("status", "terminal"), "batch").alias("_p")
-    ).select("repository_id", "_p.status", "_p.terminal")
+    """Per repository the first terminal status, else the newest, of the batches written."""
+    row = F.struct("status", "terminal")
+    ended = F.min_by(row, F.when(F.col("terminal"), F.col("updated_at")))
+    return written.groupBy("repository_id").agg(F.coalesce(ended, F.max_by(row, F.struct("updated_at", "batch"))).alias("_p")).select(
+        "repository_id", "_p.status", "_p.terminal"
+    )
 
 
 def index_arrivals(folder, **options):

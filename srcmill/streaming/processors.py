@@ -1,7 +1,9 @@
-"""Keyed stateful jobs: request limits, reply assembly, import admissions, stalled-job watch.
+"""Keyed stateful jobs: request limits, reply assembly, import admissions, stalled-job watch, progress feed.
 
-State per key is small and bounded: at most `limit` times, one reply, at most ten imports, one job.  Rows of a key
-inside one batch are put in order first; a batch is bounded by the files it takes in.
+State per key is small and bounded: at most `limit` times, one reply, at most ten imports, one job.  It ends, too: a
+reply, job or feed is forgotten when event time has passed its end by the patience of the job, a key's accepted times
+after a time to live, if one is given; imports are kept, as an account's slots are.  Rows of a key inside one batch are put
+in order first; a batch is bounded by the files it takes in.
 """
 
 import pandas as pd
@@ -23,11 +25,11 @@ def _in_order(frames, columns):
 
 
 class RequestLimit(StatefulProcessor):
-    def __init__(self, limit, seconds):
-        self.limit, self.micros = limit, seconds * 1_000_000
+    def __init__(self, limit, seconds, ttl=None):
+        self.limit, self.micros, self.ttl = limit, seconds * 1_000_000, ttl
 
     def init(self, handle):
-        self.times = handle.getListState("times", _state(t=LongType))
+        self.times = handle.getListState("times", _state(t=LongType), ttlDurationMs=self.ttl and self.ttl * 1000)
 
     def handleInputRows(self, key, rows, timerValues):
         log = SlidingLog(self.limit, self.micros, [t for (t,) in self.times.get()] if self.times.exists() else ())
@@ -41,8 +43,12 @@ class RequestLimit(StatefulProcessor):
         pass
 
 
-def limit_requests(requests, key, time, request_id, limit, seconds):
-    """Streaming form of `replay_limits`: one verdict per request."""
+def limit_requests(requests, key, time, request_id, limit, seconds, ttl=None):
+    """Streaming form of `replay_limits`: one verdict per request.
+
+    With `ttl`, a key is forgotten after so many seconds without an accepted request (more than the window: requests may
+    be handled late).  That takes the clock, so it is for streams that run on; one that only catches up never ends.
+    """
     kinds = dict(requests.dtypes)
     staged = requests.select(
         F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"),
@@ -50,12 +56,22 @@ def limit_requests(requests, key, time, request_id, limit, seconds):
     )
     schema = f"key {kinds[key]}, request_id {kinds[request_id]}, accepted boolean, retry_after bigint"
     return staged.groupBy("key").transformWithStateInPandas(
-        RequestLimit(limit, seconds), schema, "Append", "None"
+        RequestLimit(limit, seconds, ttl), schema, "Append", "ProcessingTime" if ttl else "None"
     ).select(F.col("key").alias(key), F.col("request_id").alias(request_id), "accepted", "retry_after")
 
 
+def _one_timer(handle, at):
+    """Put the key's only timer at a time in milliseconds."""
+    for timer in handle.listTimers():
+        handle.deleteTimer(timer)
+    handle.registerTimer(at)
+
+
 class ReplyAssembly(StatefulProcessor):
-    """Tokens of a reply until its end marker; without one the reply fails after `patience` seconds."""
+    """Tokens of a reply until its end marker; without one the reply fails after `patience` seconds.
+
+    That a reply is closed, so that late tokens are ignored, is remembered for `patience` seconds more.
+    """
 
     def __init__(self, patience):
         self.patience = patience * 1000
@@ -83,19 +99,20 @@ class ReplyAssembly(StatefulProcessor):
         if ended:
             text = "".join(token for _, token in sorted(held))
             self.closed.update((latest,))
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
+            _one_timer(self.handle, latest + self.patience)
             yield self._emit(key, "COMPLETED" if text.strip() else "FAILED", text if text.strip() else None)
         else:
             if held:
                 self.tokens.put(held)
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(latest + self.patience)
+            _one_timer(self.handle, latest + self.patience)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.closed.exists():
-            self.closed.update((0,))
+        if self.closed.exists():
+            self.closed.clear()
+        else:
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            self.closed.update((now,))
+            self.handle.registerTimer(now + self.patience)
             yield self._emit(key, "FAILED", None)  # an incomplete answer is never saved
 
     def close(self):
@@ -148,7 +165,7 @@ def admit_imports(requests, limit):
 
 
 class StalledWatch(StatefulProcessor):
-    """One open job per key; silence for `patience` seconds of event time reports it as stalled."""
+    """One job per key; silence for `patience` seconds of event time reports an open one as stalled and forgets any."""
 
     def __init__(self, patience, done):
         self.patience, self.done = patience * 1000, done
@@ -165,15 +182,14 @@ class StalledWatch(StatefulProcessor):
                 if now >= at:
                     at, status = now, s
         self.last.update((at, status))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if status not in self.done:
-            self.handle.registerTimer(at + self.patience)
+        _one_timer(self.handle, at + self.patience)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         at, status = self.last.get()
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "silent_since": [at]})
+        self.last.clear()
+        if status not in self.done:
+            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "silent_since": [at]})
 
     def close(self):
         pass
@@ -185,3 +201,46 @@ def watch_stalled(jobs, patience, done=("READY", "FAILED", "COMPLETED", "STALE")
     return event_time(jobs, "ts", delay).groupBy("job_id").transformWithStateInPandas(
         StalledWatch(patience, done), f"job_id {kind}, status string, silent_since bigint", "Append", "EventTime"
     )
+
+
+class ProgressFeed(StatefulProcessor):
+    """The status of a repository as its updates arrive; the first terminal status ends the feed.
+
+    A feed is forgotten after `patience` seconds of event time without an update.
+    """
+
+    def __init__(self, patience, terminal):
+        self.patience, self.terminal = patience * 1000, terminal
+
+    def init(self, handle):
+        self.handle = handle
+        self.feed = handle.getValueState("feed", _state(at=LongType, status=StringType, seen=LongType))
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.feed.get() if self.feed.exists() else None
+        at, status, seen = before or (-1, None, -1)
+        for frame in rows:
+            for ts, s in zip(frame["ts"], frame["status"]):
+                now, ended = ts.value // 1_000, status in self.terminal
+                seen = max(seen, now)
+                if (s in self.terminal and (not ended or now < at)) or (s not in self.terminal and not ended and now >= at):
+                    at, status = now, s
+        self.feed.update((at, status, seen))
+        _one_timer(self.handle, seen // 1000 + self.patience)
+        if before is None or (at, status) != before[:2]:
+            yield pd.DataFrame({"repository_id": [key[0]], "status": [status], "terminal": [status in self.terminal], "updated_at": [pd.Timestamp(at, unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.feed.clear()
+        return iter(())
+
+    def close(self):
+        pass
+
+
+def feed_progress(updates, patience, terminal, delay="1 hour"):
+    """updates: (repository_id, status, ts) -> a row per batch in which a repository's status has changed."""
+    kind = dict(updates.dtypes)["repository_id"]
+    return event_time(updates, "ts", delay).groupBy("repository_id").transformWithStateInPandas(
+        ProgressFeed(patience, terminal), f"repository_id {kind}, status string, terminal boolean, updated_at timestamp", "Append", "EventTime"
+    )

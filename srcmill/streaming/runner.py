@@ -22,10 +22,22 @@ def use_state_store(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def catch_up(stream, mode="append", label="stream", folder=None):
+def write_by_time(df, column, folder, slices, files=2):
+    """Write a table in time order, `files` files a slice, so that a file stream takes in a slice after the other."""
+    first, last = df.agg(F.min(column).cast("timestamp"), F.max(column).cast("timestamp")).first()
+    at = F.unix_micros(F.col(column).cast("timestamp"))
+    start, end = (F.unix_micros(F.lit(t)) for t in (first, last))
+    number = F.floor((at - start) * slices / (end - start + 1))
+    for n in range(slices):
+        df.filter(number == n).repartition(files).write.mode("append").parquet(folder)
+    return folder
+
+
+def catch_up(stream, mode="append", label="stream", folder=None, progress=None):
     """Process everything that has arrived; returns the folder of the output table.
 
-    Every batch writes its own partition, so a batch that runs again after a failure replaces its own rows.
+    Every batch writes its own partition, so a batch that runs again after a failure replaces its own rows.  A list
+    given as `progress` receives the number of state rows after each batch.
     """
     spark = stream.sparkSession
     use_state_store(spark)
@@ -34,10 +46,13 @@ def catch_up(stream, mode="append", label="stream", folder=None):
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    (
+    run = (
         stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+        .option("checkpointLocation", f"{folder}/state").start()
     )
+    run.awaitTermination()
+    if progress is not None:
+        progress += [sum(operator.numRowsTotal for operator in p.stateOperators) for p in run.recentProgress]
     return folder
 
 
