@@ -12,7 +12,7 @@ from ..operators import inventory as N
 from ..operators import js_outline as J
 from ..operators import prompts
 from ..sources import tree
-from . import index, scan
+from . import index, plugins, scan
 from .catalog_accounts import SQL_FILES, block_chunks, line_symbols
 from .catalog_tables import corpus_files
 from .registry import SQL_LINES, query, sql_in, sql_list
@@ -128,6 +128,57 @@ def plugged_parser(t):
     return tables["files"].select("repository_id", "path", "num_classes", "num_functions", "complexity_score")
 
 
+def strict_paragraphs(text):
+    """The parser above, which fails for texts of one line."""
+    if "\n" not in text:
+        raise ValueError("one line")
+    return parse_paragraphs(text)
+
+
+@query(
+    "sql_parser",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents)
+    SELECT doc_id AS file_id, 'section' || i AS name, i::INT AS start_line, least(i + 9, n)::INT AS end_line, (length(line) % 7)::DOUBLE AS complexity, NULL AS error FROM l WHERE n > 1 AND i % 10 = 1
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'ValueError: one line' FROM l WHERE n = 1""",
+)
+def sql_parser(t):
+    """A parser called from SQL; a text that it fails for is a row with the error."""
+    plugins.register_parser(t.spark, "parse_paragraphs", strict_paragraphs)
+    t("documents").createOrReplaceTempView("sql_parser_documents")
+    return t.spark.sql(
+        "SELECT file_id, name, start_line, end_line, complexity, error FROM parse_paragraphs(TABLE(SELECT doc_id AS file_id, text FROM sql_parser_documents))"
+    )
+
+
+def twin_watch():
+    """An analyzer that remembers the last file: it reports one that has as many lines as the one before it."""
+    last = []
+
+    def look(path, text):
+        lines = text.count("\n")
+        if last and last[0][1] == lines:
+            yield "TWIN", "LOW", f"as many lines as {last[0][0]}", lines + 1
+        last[:] = [(path, lines)]
+
+    return look
+
+
+@query(
+    "sql_analyzer",
+    """WITH f AS (SELECT source AS repository_id, 'doc' || doc_id AS path, length(text) - length(replace(text, chr(10), '')) AS n FROM documents),
+    w AS (SELECT *, lag(n) OVER o AS before, lag(path) OVER o AS previous FROM f WINDOW o AS (PARTITION BY repository_id ORDER BY path))
+    SELECT repository_id, path, 'TWIN' AS issue_type, 'as many lines as ' || previous AS message, (n + 1)::INT AS line FROM w WHERE before = n""",
+)
+def sql_analyzer(t):
+    """An analyzer called from SQL, over the files of every repository in the order of their paths."""
+    plugins.register_analyzer(t.spark, "twins", twin_watch)
+    t("documents").createOrReplaceTempView("sql_analyzer_documents")
+    return t.spark.sql(
+        """SELECT repository_id, path, issue_type, message, line
+        FROM twins(TABLE(SELECT source AS repository_id, 'doc' || doc_id AS path, text FROM sql_analyzer_documents))"""
+    )
+
+
 @query(
     "script_import_forms",
     f"""SELECT doc_id, CASE WHEN i % 5 = 3 THEN './q' ELSE './m' END || i AS module, i::INT AS line
