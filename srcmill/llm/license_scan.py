@@ -65,9 +65,13 @@ def matches(text="text", templates=TEMPLATES, threshold=0.8):
     rows = prepared(templates, threshold)
     literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,least:int,most:int,grams:array<string>>>")
     lowered = ascii_lower(F.col(text))
-    has_signal = F.lit(False)
-    for word in signal_words(rows):
-        has_signal = has_signal | lowered.contains(word)
+    signals = signal_words(rows)
+
+    def has_signal(part):
+        held = F.lit(False)
+        for word in signals:
+            held = held | part.contains(word)
+        return held
 
     def bind(value, function):
         return F.element_at(F.transform(F.array(value), function), 1)
@@ -86,11 +90,13 @@ def matches(text="text", templates=TEMPLATES, threshold=0.8):
         return bind(grams, lambda g: bind(F.array_min(fits(g)), lambda m: F.struct(number.alias("part"), m["licence"].alias("licence"), (-m["minus"]).alias("score"))))
 
     parts = F.array_distinct(F.concat(F.array(lowered), F.split(lowered, r"\n[ \t]*\n"), F.split(lowered, r"\n")))
+    # only a part that holds a signal word itself is cut into words
+    worth = F.filter(F.transform(parts, lambda part, number: F.when(has_signal(part), F.struct(part.alias("part"), number.alias("number")))), lambda p: p.isNotNull())
     found = F.filter(
-        F.transform(parts, lambda part, number: best(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), number)),
+        F.transform(worth, lambda p: best(F.regexp_extract_all(p["part"], F.lit(WORD), F.lit(0)), p["number"])),
         lambda m: m["licence"].isNotNull(),
     )
-    return F.when(has_signal, found).otherwise(F.array().cast("array<struct<part:int,licence:string,score:double>>"))
+    return F.when(has_signal(lowered), found).otherwise(F.array().cast("array<struct<part:int,licence:string,score:double>>"))
 
 
 def scan(docs, templates=TEMPLATES, threshold=0.8, text="text", name="licences"):
