@@ -199,14 +199,15 @@ def fit(docs, labels, rows_a_class=10_000, features=4096, least_surprise=10.0, c
     of `chance` of the n-grams held can be expected to be uneven by chance (see `telling`).  How loud others are doesn't
     matter, so rarer kinds of toxicity are learned beside common ones; labels that say nothing about the text are not
     learned by heart.  Copies of
-    a text are learned from once.  Without labels of both classes, or such n-grams, the model is the share of toxic
+    a text are learned from once, as toxic if any of them is.  Without labels of both classes, or such n-grams, the model is the share of toxic
     labels.
     """
     rows, totals = training_rows(docs, labels, rows_a_class)
     prior = float(np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5)))
     if rows is None:
         return Model(prior, [], [])
-    rows = stored(rows.dropDuplicates(["text"]), "toxic-training")  # within the bound of the sample
+    # within the bound of the sample
+    rows = stored(rows.groupBy("text").agg(F.max(F.struct("toxic", "weight")).alias("label")).select("text", "label.*"), "toxic-training")
     spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     two = spread.select("text", "toxic")
     best = telling(two, least_surprise, chance, features, smoothing)

@@ -116,7 +116,7 @@ def judge(pages, mined, given=GIVEN_RULES, url="url"):
     made = ("host", "path", "rule", "verdict", "mined_rule", "confidence")
     row = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c not in made)).alias("row")
     rows = pages.select(row, host(url).alias("host"), path(url).alias("path"), tokens(url).alias("tokens"))
-    rows = rows.withColumn("key", F.concat_ws(" ", "tokens")).withColumn("given", given_rule(F.col("host"), F.col("path"), given))
+    rows = rows.withColumn("key", F.to_json("tokens")).withColumn("given", given_rule(F.col("host"), F.col("path"), given))
     best = matched(rows.select("key", "tokens").distinct(), mined).select(F.col("key").alias("set"), "rule_id", "confidence")
     joined = rows.join(best, F.col("key") == F.col("set"), "left")
     return joined.select(

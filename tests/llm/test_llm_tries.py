@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from srcmill.llm import bpe_stream, queries, spelling, turn_trie
+from srcmill.llm import bpe_stream, queries, spelling, toxicity, turn_trie, url_rules
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{name}.json") for name in ("word_bpe_49k", "byte_bpe_50k"))
@@ -25,6 +25,26 @@ def clash(df, *names):
     return df
 
 
+# earlier operators
+
+
+def test_token_sets_are_told_apart(spark):
+    """Urls whose tokens run together alike keep verdicts of their own."""
+    mined = spark.createDataFrame([(0, ["a", "path=b"], 0.9, 10)], "rule_id long, tokens array<string>, confidence double, support long")
+    pages = spark.createDataFrame([(1, "x://h/1"), (2, "x://h/2")], "page_id long, url string")
+    sets = spark.createDataFrame([('["a","path=b"]', ["a", "path=b"]), ('["a path=b"]', ["a path=b"])], "key string, tokens array<string>")
+    assert [r["key"] for r in url_rules.matched(sets, mined).collect()] == ['["a","path=b"]']
+    assert url_rules.judge(pages, mined).count() == 2
+
+
+def test_copies_with_different_labels(spark):
+    """The labels of copies are decided by the text, not by the order of rows."""
+    rows = [(i, f"kind words {i // 4} again" if i % 3 else f"vile slur {i // 4} spat") for i in range(240)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0 or i % 7 == 0)) for i in range(240)], "doc_id long, toxic int")
+    models = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 5)]
+    assert models[0].grams == models[1].grams and abs(models[0].bias - models[1].bias) < 1e-6
+
+
 # spelling variants
 
 
