@@ -1,5 +1,6 @@
 """Ownership scopes, quota and admission ledgers, legacy seeding, deletion, job states."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -129,6 +130,32 @@ def queue_depth(admissions, total_limit=V.QUEUE_TOTAL, own_limit=V.QUEUE_PER_OWN
     )
 
 
+def queue_over_time(reservations, total_limit=V.QUEUE_TOTAL, own_limit=V.QUEUE_PER_OWNER, shard_seconds=3600):
+    """Open reservations, overall and of its owner, at the moment before each one starts: the queue of every request.
+
+    reservations: (repository_id, owner_id, started_at, ended_at), ended_at null while open; they start in the order of
+    (started_at, repository_id), and one that ends at a moment has left before others start.  A sweep over starts and
+    ends: time is cut into shards, whose sums are pre-aggregated and carried from shard to shard (a row per shard);
+    rows are only sorted inside a shard.  `full` says that a limit was reached, so the request had to wait.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    who = ["repository_id", "owner_id"]
+    lasts = F.coalesce(F.col("ended_at") > F.col("started_at"), F.lit(True))  # one that ends as it starts is never open
+    starts = reservations.select(*who, at("started_at").alias("_t"), F.lit(1).alias("_kind"), lasts.cast("int").alias("_delta"))
+    ends = reservations.filter("ended_at > started_at").select(*who, at("ended_at").alias("_t"), F.lit(0).alias("_kind"), F.lit(-1).alias("_delta"))
+    events = starts.unionByName(ends).withColumn("_shard", F.floor(F.col("_t") / (shard_seconds * 1_000_000)))
+
+    def before(rows, keys, name):
+        carried = W.partitionBy(*keys).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
+        sums = rows.groupBy(*keys, "_shard").agg(F.sum("_delta").alias("_sum")).withColumn("_carried", F.coalesce(F.sum("_sum").over(carried), F.lit(0))).drop("_sum")
+        inside = W.partitionBy(*keys, "_shard").orderBy("_t", "_kind", "repository_id").rowsBetween(W.unboundedPreceding, -1)
+        counted = rows.join(sums, [*keys, "_shard"])
+        return counted.withColumn(name, F.col("_carried") + F.coalesce(F.sum("_delta").over(inside), F.lit(0))).drop("_carried")
+
+    judged = before(before(events, [], "all_pending"), ["owner_id"], "own_pending").filter("_kind = 1")
+    return judged.select(*who, "all_pending", "own_pending", ((F.col("all_pending") >= total_limit) | (F.col("own_pending") >= own_limit)).alias("full"))
+
+
 def cached_imports(requests, admissions, repositories):
     """Newest usable import of the same owner, source and revision for every request."""
     usable = (

@@ -58,6 +58,25 @@ def queue_depth(t):
     return A.queue_depth(admissions(t), total_limit=10_000_000)
 
 
+@query(
+    "queue_over_time",
+    """WITH r AS (SELECT o_orderkey AS id, o_custkey AS owner, o_orderdate::TIMESTAMP AS a, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate::TIMESTAMP + to_days((o_orderkey % 90)::INT) END AS b FROM orders),
+    e AS (SELECT id, owner, a AS t, 1 AS kind, (b IS NULL OR b > a)::INT AS delta FROM r UNION ALL SELECT id, owner, b, 0, -1 FROM r WHERE b > a),
+    s AS (SELECT *, coalesce(sum(delta) OVER (ORDER BY t, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS all_pending,
+      coalesce(sum(delta) OVER (PARTITION BY owner ORDER BY t, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS own_pending FROM e)
+    SELECT id AS repository_id, owner AS owner_id, all_pending, own_pending, all_pending >= 400 OR own_pending >= 2 AS "full" FROM s WHERE kind = 1""",
+)
+def queue_over_time(t):
+    """Orders as reservations that last up to three months; a tenth is never closed."""
+    start = F.col("o_orderdate").cast("timestamp")
+    days = F.make_dt_interval((F.col("o_orderkey") % 90).cast("int"))
+    reservations = t("orders").select(
+        F.col("o_orderkey").alias("repository_id"), F.col("o_custkey").alias("owner_id"), start.alias("started_at"),
+        F.when(F.col("o_orderkey") % 10 != 0, start + days).alias("ended_at"),
+    )
+    return A.queue_over_time(reservations, total_limit=400)
+
+
 def import_repositories(t):
     """Orders as repositories; the price decides how an import ended."""
     price = F.col("o_totalprice")
