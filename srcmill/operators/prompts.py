@@ -4,6 +4,7 @@ Per-repository lists that grow with the repository (folder tree, component lists
 key.  They stay tables: a text of a whole repository has no bound.
 """
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -27,6 +28,18 @@ def gather(rows, key, order, line, limit, separator="\n", name="text"):
     )
 
 
+def first_chars(rows, key, separator, chars, name):
+    """The first characters of a key's contents, joined in the order of their chunks.
+
+    Lengths are added up first, so that only chunks that reach into these characters are collected, however many there are.
+    """
+    before = W.partitionBy(key).orderBy("chunk_index", "content").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("content") + len(separator)).over(before), F.lit(0))
+    kept = rows.select(key, "chunk_index", "content").withColumn("_start", start).filter(F.col("_start") < chars)
+    ordered = F.sort_array(F.collect_list(F.struct("chunk_index", X.clip(F.col("content"), chars).alias("content"))))
+    return kept.groupBy(key).agg(X.clip(F.array_join(F.transform(ordered, lambda c: c["content"]), separator), chars).alias(name))
+
+
 def symbol_line(kind, name, parent):
     return F.concat(
         F.lit("- "), kind, F.lit(": "), name,
@@ -153,7 +166,7 @@ def api_doc_input(files, symbols, limit=25):
     )
 
 
-def symbol_test_input(requests, files, symbols, chunks):
+def symbol_test_input(requests, files, symbols, chunks, max_chars=V.SYMBOL_CODE_CHARS):
     """Code and context for testing one symbol; an unknown or ambiguous name gives an error row.
 
     requests: (request_id, file_id, symbol_name[, symbol_line]).
@@ -174,15 +187,7 @@ def symbol_test_input(requests, files, symbols, chunks):
         & (F.col("c.start_line") >= F.col("t.start_line")) & (F.col("c.end_line") <= F.col("t.end_line"))
     )
     own = chosen.alias("t").join(chunks.alias("c"), inside).select("t.request_id", "c.chunk_index", "c.content")
-    code = own.groupBy("request_id").agg(
-        X.clip(
-            F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]),
-                "\n",
-            ),
-            12000,
-        ).alias("function_code")
-    )
+    code = first_chars(own, "request_id", "\n", max_chars, "function_code")
     first_five = first_per_group(
         chunks.select("file_id", "chunk_index", "symbol_name", "content"), "file_id", "chunk_index", n=5
     )
@@ -213,8 +218,8 @@ def framework(language):
     return F.coalesce(F.try_element_at(names, language), F.lit(V.OTHER_FRAMEWORK))
 
 
-def file_test_input(files, symbols, chunks):
-    """Symbols in line order and the first 3,000 characters of a file's chunks.  A file is bounded to 1 MiB."""
+def file_test_input(files, symbols, chunks, max_chars=V.FILE_CODE_CHARS):
+    """Symbols in line order and the first characters of a file's chunks.  A file is bounded to 1 MiB."""
     line = F.concat(
         F.lit("- "), F.col("type"), F.lit(": "), F.col("name"),
         F.when(F.coalesce("signature", F.lit("")) != "", F.concat(F.lit("("), F.col("signature"), F.lit(")"))).otherwise(""),
@@ -226,15 +231,7 @@ def file_test_input(files, symbols, chunks):
         ).alias("symbol_list"),
         F.count("*").alias("symbols_count"),
     )
-    code = chunks.groupBy("file_id").agg(
-        X.clip(
-            F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]),
-                "\n\n",
-            ),
-            3000,
-        ).alias("code")
-    )
+    code = first_chars(chunks, "file_id", "\n\n", max_chars, "code")
     return (
         files.select(F.col("id").alias("file_id"), "path", "language", framework(F.col("language")).alias("framework"))
         .join(outline, "file_id", "left")
