@@ -8,14 +8,17 @@ from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions.rows import each
+from ..operators import accounts as A
 from ..operators import inventory as N
 from ..operators import js_outline as J
-from ..operators import prompts
+from ..operators import prompts, views
+from ..operators import retrieval as R
 from ..sources import tree
 from . import index, plugins, scan
-from .catalog_accounts import SQL_FILES, block_chunks, line_symbols
+from .catalog_accounts import SQL_ADMISSIONS, SQL_FILES, SQL_REPOSITORIES, admissions, block_chunks, import_repositories, line_symbols
+from .catalog_search import ranked_documents
 from .catalog_tables import corpus_files
-from .registry import SQL_LINES, query, sql_in, sql_list
+from .registry import SQL, SQL_LINES, query, sql_in, sql_list
 
 HIGH, LOW, MEDIUM, CRITICAL = "HIGH", "LOW", "MEDIUM", "CRITICAL"
 
@@ -270,3 +273,42 @@ def generated_answers(t):
     """Every distinct user turn goes through a plugged-in generator once."""
     asked = t("conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
     return prompts.generate(asked, first_words).select("conv_id", "turn", "answer")
+
+
+@query(
+    "restart_recovery",
+    f"""SELECT r.id AS repository_id, CASE r.status WHEN 'PARSING' THEN 'FAILED' ELSE r.status END AS status, CASE r.status WHEN 'PARSING' THEN '{V.INTERRUPTED_IMPORT}' END AS error_message,
+      CASE a.status WHEN 'RESERVED' THEN 'FAILED' ELSE a.status END AS admission FROM ({SQL_REPOSITORIES}) r JOIN ({SQL_ADMISSIONS}) a ON a.repository_id = r.id""",
+)
+def restart_recovery(t):
+    """What a restart makes of imports that were under way and of their reservations."""
+    repositories = A.recover_repositories(import_repositories(t).withColumn("error_message", F.lit(None).cast("string")))
+    closed = A.fail_reservations(admissions(t)).select("repository_id", F.col("status").alias("admission"))
+    return repositories.select(F.col("id").alias("repository_id"), "status", "error_message").join(closed, "repository_id")
+
+
+@query(
+    "repository_summary_prompt",
+    f"""SELECT repository_id, 'repo ' || repository_id AS name, total_files, total_loc, line AS language_line, important_files
+    FROM (SELECT repository_id, count(*) AS total_files, sum(loc)::BIGINT AS total_loc FROM ({SQL_FILES}) GROUP BY ALL)
+    JOIN ({SQL["language_lines"]}) USING (repository_id) JOIN ({SQL["repository_prompt"]}) USING (repository_id)""",
+)
+def repository_summary_prompt(t):
+    files = corpus_files(t).withColumn("importance_level", F.coalesce("importance_level", F.lit(LOW)))
+    totals = N.repository_totals(files).join(N.language_maps(N.language_histogram(files)), "repository_id")
+    named = totals.select(F.col("repository_id").alias("id"), F.concat(F.lit("repo "), "repository_id").alias("name"), "total_files", "total_loc", "languages")
+    return prompts.repository_summary_input(named, files)
+
+
+@query(
+    "answer_contexts",
+    f"""SELECT source, CASE WHEN length(source) % 2 = 0 THEN '## Repository Overview' || chr(10) || 'About ' || source || chr(10) || chr(10) ELSE '' END || context AS context,
+      least(n_sources, 6)::INT AS n_shown FROM ({SQL["context_text"]})""",
+)
+def answer_contexts(t):
+    """Contexts with the overview of their repository, where there is one, and the sources listed under the answer."""
+    packed = R.pack_context(ranked_documents(t), "source", "position", F.lit(V.RESERVED_TOKENS), width=512)
+    summary = F.when(F.length("source") % 2 == 0, F.concat(F.lit("About "), "source"))
+    return R.context_text(packed, "source", "position").select(
+        "source", R.with_repository_overview(F.col("context"), summary).alias("context"), F.size(views.shown_sources(F.col("sources"))).alias("n_shown")
+    )
