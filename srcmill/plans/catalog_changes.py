@@ -105,9 +105,10 @@ def findings_replaced(t):
     "stored_vector_search",
     f"""WITH {SQL_IN_FORCE},
     v AS MATERIALIZED (SELECT path, a, {sql_unit("'File: ' || path || chr(10) || 'Symbol:  (file_chunk)' || chr(10) || chr(10) || content")} AS v FROM c),
-    q AS MATERIALIZED (SELECT item_id, {sql_unit("text")} AS v FROM benchmark),
-    s AS (SELECT item_id, path, a, round(list_dot_product(v.v, q.v) / sqrt(list_dot_product(v.v, v.v)) / sqrt(list_dot_product(q.v, q.v)), 6) AS cos FROM v, q)
-    SELECT item_id AS question_id, rank() OVER (PARTITION BY item_id ORDER BY cos DESC, path, a)::INT AS rank, path, a::INT AS start_line, round(cos, 4) AS score
+    u AS MATERIALIZED (SELECT path, a, list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE) AS u FROM v),
+    q AS MATERIALIZED (SELECT item_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS q FROM (SELECT item_id, {sql_unit("text")} AS v FROM benchmark)),
+    s AS (SELECT item_id, path, a, round(list_dot_product(u, q), 12) AS cos FROM u, q)
+    SELECT item_id AS question_id, row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, path, a)::INT AS rank, path, a::INT AS start_line, round(cos, 4) AS score
     FROM s QUALIFY rank <= 5""",
 )
 def stored_vector_search(t):
