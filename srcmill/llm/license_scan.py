@@ -6,7 +6,6 @@ DataFrame functions only; nothing is shuffled.
 import json
 import math
 import re
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -56,41 +55,6 @@ def signal_words(rows):
     return chosen
 
 
-def signals(rows, long=5):
-    """Sets of words and bigrams; every text within the threshold holds all of one set.
-
-    A match holds one of any len - least + 1 bigrams of its template.  For each template bigrams are picked through their
-    words: long words first, each standing for all bigrams that it is in, then single bigrams by both their words.  A
-    short template's match holds every word that fewer than `least` of the bigrams do without, so it asks for all those.
-    """
-    sets, chosen = [], []
-    for row in rows:
-        grams = [g.split() for g in row["grams"]]
-        needed = sorted({w for g in grams for w in g if sum(w not in other for other in grams) < row["least"]}, key=lambda w: (-len(w), w))
-        if needed:
-            sets.append(needed)
-            continue
-        wanted = len(grams) - row["least"] + 1
-        picked = [g for g in grams if any(w in g for w in chosen)]
-        for word in sorted({w for g in grams for w in g if len(w) >= long}, key=lambda w: (-len(w), w)):
-            if len(picked) >= wanted:
-                break
-            if any(word in g and g not in picked for g in grams):
-                chosen.append(word)
-                picked += [g for g in grams if word in g and g not in picked]
-        rest = sorted((g for g in grams if g not in picked), key=lambda g: (-len(g[0]) - len(g[1]), g))
-        sets += [[*g, " ".join(g)] for g in rest[: max(0, wanted - len(picked))]]
-    return sets + [[w] for w in chosen]
-
-
-def _holds(text, signal):
-    """Whether a lower-cased text holds a word, or the two words of a bigram with nothing between that is part of a word."""
-    if " " not in signal:
-        return text.contains(signal)
-    gap, (a, b) = WORD.replace("[^", "["), map(re.escape, signal.split())
-    return text.rlike(f"{a}{gap}{b}")
-
-
 def matches(text="text", templates=TEMPLATES, threshold=0.8):
     """Column array<struct<part, licence, score>>: the parts of a text that are a licence, with their best template.
 

@@ -74,7 +74,6 @@ def test_licence_signals():
             fits = any(2 * len(grams & set(p["grams"])) / (len(grams) + len(p["grams"])) >= 0.8 for p in prepared)
             lowered = " ".join(words).lower()
             assert not fits or any(w in lowered for w in signals), name
-            assert not fits or any(all(w in lowered or w in grams for w in words) for words in license_scan.signals(prepared)), name
 
 
 # urls
