@@ -123,16 +123,19 @@ def substring_pairs(needles, needle, texts, text, on, grams=(1, 2, 3, 4)):
     contains each of the needle's grams (four characters, or the whole of a shorter needle), so both sides meet in
     an equi-join on one gram and only real candidates are compared.  The gram that the fewest texts contain is
     taken: with a shared one, such as a common folder name, every needle would meet every text.
+
+    A text opens into far more rows than its size tells, so the opened texts are never sent to all tasks: grams that no
+    needle has are dropped first, where the needles' side alone can be sent, and the rest meet in a sort-merge join.
     """
     longest = max(grams)
     pieces = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in grams]))
-    opened = each(texts, pieces, "_gram", texts.columns)
-    frequency = opened.groupBy(*on, "_gram").agg(F.count("*").alias("_texts"))
     wanted = needles.filter(F.length(needle) >= min(grams))
     own = F.when(F.length(needle) < longest, F.array(F.col(needle))).otherwise(_grams(F.col(needle), longest))
+    asked = each(wanted.select(*on, needle).distinct(), own, "_gram", [*on, needle])
+    opened = each(texts, pieces, "_gram", texts.columns).join(asked.select(*on, "_gram").distinct(), [*on, "_gram"], "left_semi")
+    frequency = opened.groupBy(*on, "_gram").agg(F.count("*").alias("_texts"))
     rarest = (
-        each(wanted.select(*on, needle).distinct(), own, "_gram", [*on, needle])
-        .join(frequency, [*on, "_gram"], "left")
+        asked.join(frequency, [*on, "_gram"], "left")
         .groupBy(*on, needle)
         .agg(
             F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), F.col("_gram"))).alias("_gram"),
@@ -142,7 +145,7 @@ def substring_pairs(needles, needle, texts, text, on, grams=(1, 2, 3, 4)):
         .drop("_texts")
     )
     return (
-        opened.join(wanted.join(rarest, [*on, needle]), [*on, "_gram"])
+        opened.hint("merge").join(wanted.join(rarest, [*on, needle]), [*on, "_gram"])
         .filter((F.length(needle) < longest) | F.col(text).contains(F.col(needle)))
         .drop("_gram")
     )

@@ -138,7 +138,7 @@ def file_rows(parsed, dependents="complete"):
     else:
         imports = slim.select("repository_id", F.explode("imports").alias("i")).select("repository_id", "i.module")
         hits = N.import_dependents(imports, slim.select("repository_id", "path"))
-        counted = slim.join(hits, ["repository_id", "path"])
+        counted = slim.hint("merge").join(hits, ["repository_id", "path"])  # files compress well: their size on disk says little
     scored = N.with_importance(counted)
     return scored.select(
         "id", "repository_id", "path", "language", "extension", "size", "loc", "hash", "num_classes", "num_functions",

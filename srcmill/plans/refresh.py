@@ -46,7 +46,7 @@ def refresh_index(tables, tree, version_changed=False, partial=False, order=None
         files=_swap(tables["files"], replaced.withColumnRenamed("file_id", "id"), "id", fresh["files"]),
         symbols=_swap(tables["symbols"], replaced, "file_id", fresh["symbols"]),
         code_chunks=_swap(tables["code_chunks"], replaced, "file_id", fresh["code_chunks"]),
-        vectors=tables["vectors"].join(gone_chunks, "id", "left_anti").unionByName(fresh["vectors"]),
+        vectors=_swap(tables["vectors"], gone_chunks, "id", fresh["vectors"]),
     )
     if "analysis_issues" in tables:
         out["analysis_issues"] = D.without_repositories(tables["analysis_issues"], changed)
@@ -105,4 +105,5 @@ def _change_counts(diff):
 
 
 def _swap(stored, replaced, key, fresh):
-    return stored.join(replaced.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
+    """Stored rows without the replaced ones, and the fresh ones; ids compress well on disk, so they are never sent to all tasks."""
+    return stored.join(replaced.select(key).hint("merge"), key, "left_anti").select(*fresh.columns).unionByName(fresh)

@@ -315,6 +315,17 @@ def test_import_dependents_against_loop(spark, mode):
     assert got == brute_dependents(imports, paths, mode == "as_scanned")
 
 
+def test_opened_paths_are_not_sent_to_all_tasks(spark, tmp_path):
+    """A small file opens into many grams; only the join with the needles' grams may be by broadcast."""
+    rows = [("r", f"core/util{i}.py", f"util{i}") for i in range(50)]
+    spark.createDataFrame(rows, "repository_id string, path string, needle string").write.parquet(f"{tmp_path}/rows")
+    files = spark.read.parquet(f"{tmp_path}/rows")
+    pairs = N.substring_pairs(files.select("repository_id", "needle"), "needle", files.select("repository_id", "path"), "path", ["repository_id"])
+    plan = pairs._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "SortMergeJoin" in next(line for line in plan if "Join" in line)
+    assert pairs.count() == 50 + 4 * 10  # util1 is also part of util10 to util19, and so on
+
+
 def test_cached_vectors_compute_once(spark):
     seen = []
 
