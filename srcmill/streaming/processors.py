@@ -7,6 +7,7 @@ in order first; a batch is bounded by the files it takes in.
 """
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -20,8 +21,9 @@ def _state(**fields):
     return StructType([StructField(name, kind()) for name, kind in fields.items()])
 
 
-def _in_order(frames, columns):
-    return pd.concat(list(frames), ignore_index=True).sort_values(columns, kind="stable", ignore_index=True)
+def _in_order(rows, *columns):
+    """The rows of a key sorted by columns, nulls last."""
+    return sorted(rows, key=lambda r: [(r[c] is None, r[c] if r[c] is not None else 0) for c in columns])
 
 
 class RequestLimit(StatefulProcessor):
@@ -32,12 +34,13 @@ class RequestLimit(StatefulProcessor):
         self.times = handle.getListState("times", _state(t=LongType), ttlDurationMs=self.ttl and self.ttl * 1000)
 
     def handleInputRows(self, key, rows, timerValues):
-        log = SlidingLog(self.limit, self.micros, [t for (t,) in self.times.get()] if self.times.exists() else ())
-        frame = _in_order(rows, ["t", "request_id"])
-        frame["retry_after"] = [log.offer(t) for t in frame["t"]]
-        self.times.put([(int(t),) for t in log.times])
-        frame["accepted"] = frame["retry_after"] == 0
-        yield frame[["key", "request_id", "accepted", "retry_after"]]
+        before = [t for (t,) in self.times.get()]
+        log = SlidingLog(self.limit, self.micros, before)
+        for row in _in_order(rows, "t", "request_id"):
+            wait = log.offer(row.t)
+            yield Row(key=row.key, request_id=row.request_id, accepted=wait == 0, retry_after=wait)
+        if list(log.times) != before:
+            self.times.put([(t,) for t in log.times])
 
     def close(self):
         pass
@@ -55,7 +58,7 @@ def limit_requests(requests, key, time, request_id, limit, seconds, ttl=None):
         F.col(request_id).alias("request_id"),
     )
     schema = f"key {kinds[key]}, request_id {kinds[request_id]}, accepted boolean, retry_after bigint"
-    return staged.groupBy("key").transformWithStateInPandas(
+    return staged.groupBy("key").transformWithState(
         RequestLimit(limit, seconds, ttl), schema, "Append", "ProcessingTime" if ttl else "None"
     ).select(F.col("key").alias(key), F.col("request_id").alias(request_id), "accepted", "retry_after")
 
@@ -137,18 +140,16 @@ class Admissions(StatefulProcessor):
         self.slots = handle.getListState("slots", _state(source_key=StringType, revision=StringType))
 
     def handleInputRows(self, key, rows, timerValues):
-        held = {tuple(s) for s in self.slots.get()} if self.slots.exists() else set()
-        frame = _in_order(rows, ["created_at", "repository_id"])
-        outcomes = []
-        for pair_key, revision, failed in zip(frame["source_key"], frame["revision"], frame["failed"]):
-            pair = (pair_key, revision)
-            outcomes.append("reused" if pair in held else "admitted" if len(held) < self.limit else "refused")
-            if outcomes[-1] == "admitted" and not failed:
-                held.add(pair)
-        if held:
-            self.slots.put(sorted(held))
-        frame["outcome"] = outcomes
-        yield frame[["owner_id", "repository_id", "outcome"]]
+        held = [tuple(s) for s in self.slots.get()]
+        before = len(held)
+        for row in _in_order(rows, "at", "repository_id"):
+            pair = (row.source_key, row.revision)
+            outcome = "reused" if pair in held else "admitted" if len(held) < self.limit else "refused"
+            if outcome == "admitted" and not row.failed:
+                held.append(pair)
+            yield Row(owner_id=row.owner_id, repository_id=row.repository_id, outcome=outcome)
+        if len(held) > before:
+            self.slots.put(held)
 
     def close(self):
         pass
@@ -161,7 +162,12 @@ def admit_imports(requests, limit):
     """
     kinds = dict(requests.dtypes)
     schema = f"owner_id {kinds['owner_id']}, repository_id {kinds['repository_id']}, outcome string"
-    return requests.groupBy("owner_id").transformWithStateInPandas(Admissions(limit), schema, "Append", "None")
+    at = F.col("created_at")
+    staged = requests.select(
+        "owner_id", "repository_id", "source_key", "revision", "failed",
+        (F.unix_micros(at.cast("timestamp")) if kinds["created_at"].startswith("timestamp") else at).alias("at"),
+    )
+    return staged.groupBy("owner_id").transformWithState(Admissions(limit), schema, "Append", "None")
 
 
 class StalledWatch(StatefulProcessor):
