@@ -21,9 +21,9 @@ def _state(**fields):
     return StructType([StructField(name, kind()) for name, kind in fields.items()])
 
 
-def _in_order(rows, *columns):
-    """The rows of a key sorted by columns, nulls last."""
-    return sorted(rows, key=lambda r: [(r[c] is None, r[c] if r[c] is not None else 0) for c in columns])
+def _in_order(key, rows, *columns):
+    """The rows of a key sorted by columns, nulls last; those without a key are unrelated and stay as they come."""
+    return rows if key[0] is None else sorted(rows, key=lambda r: [(r[c] is None, r[c] if r[c] is not None else 0) for c in columns])
 
 
 class RequestLimit(StatefulProcessor):
@@ -36,7 +36,7 @@ class RequestLimit(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         before = [t for (t,) in self.times.get()]
         log = SlidingLog(self.limit, self.micros, before)
-        for row in _in_order(rows, "t", "request_id"):
+        for row in _in_order(key, rows, "t", "request_id"):
             wait = log.offer(row.t)
             yield Row(key=row.key, request_id=row.request_id, accepted=wait == 0, retry_after=wait)
         if list(log.times) != before:
@@ -142,7 +142,7 @@ class Admissions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         held = [tuple(s) for s in self.slots.get()]
         before = len(held)
-        for row in _in_order(rows, "at", "repository_id"):
+        for row in _in_order(key, rows, "at", "repository_id"):
             pair = (row.source_key, row.revision)
             outcome = "reused" if pair in held else "admitted" if len(held) < self.limit else "refused"
             if outcome == "admitted" and not row.failed:
