@@ -1,5 +1,6 @@
 """Incremental refresh: only added and updated files are parsed again."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,11 +14,22 @@ from .index import PIPELINE_VERSION, index_tree
 
 def latest_files(tree, order=None):
     """One row per repository and path: the last by `order`, a column of the tree; ties go to the larger hash."""
-    hashed = tree.withColumn("_hash", F.sha2("content", 256))
-    last = F.struct(*([order] if order else []), "_hash")
-    newest = hashed.groupBy("repository_id", "path").agg(F.max(last)["_hash"].alias("_hash"))
-    # rows that are equal in content are one
-    return hashed.join(newest, ["repository_id", "path", "_hash"], "left_semi").dropDuplicates(["repository_id", "path"]).drop("_hash")
+    return _last(tree.withColumn("_hash", F.sha2("content", 256)), order).drop("_hash")
+
+
+def _last(hashed, order):
+    """The last row of each path.  Rows are shuffled once, by repository and path, and stay there for later joins by both."""
+    newest_first = W.partitionBy("repository_id", "path").orderBy(*([F.desc(order)] if order else []), F.desc("_hash"))
+    placed = hashed.filter("repository_id is not null and path is not null").withColumn("_later", F.lag(F.lit(True)).over(newest_first))
+    return placed.filter("_later is null and _hash is not null").drop("_later")
+
+
+def latest_hashes(tree, order=None):
+    """(repository_id, path, hash, kept: worth indexing) of the latest files; contents are read, but not shuffled."""
+    narrow = tree.select(
+        "repository_id", "path", *([F.col(order).alias("_order")] if order else []), F.sha2("content", 256).alias("_hash"), T.worth_indexing().alias("kept")
+    )
+    return _last(narrow, "_order" if order else None).select("repository_id", "path", F.col("_hash").alias("hash"), "kept")
 
 
 def refresh_index(tables, tree, version_changed=False, partial=False, order=None, **index_options):
@@ -29,16 +41,13 @@ def refresh_index(tables, tree, version_changed=False, partial=False, order=None
     tables: the stored `files`, `symbols`, `code_chunks`, `vectors`, and optionally `analysis_issues` and
     `repository_jobs`, of the repositories that occur in `tree`.
     """
-    tree = latest_files(tree, order)
-    kept_tree = T.select_files(tree)
-    hashes = kept_tree.select("repository_id", "path", F.sha2("content", 256).alias("hash"))
-    diff = D.snapshot_diff(tables["files"], hashes, version_changed=version_changed)
+    diff = D.snapshot_diff(tables["files"], latest_hashes(tree, order).filter("kept"), version_changed=version_changed)
     if partial:
         diff = diff.filter("change <> 'deleted'")
     diff = cut_lineage(diff)
     changed = diff.filter("change <> 'unchanged'")
     again = diff.filter("change in ('added', 'updated')").select("repository_id", "path")
-    fresh = index_tree(tree.join(again, ["repository_id", "path"], "left_semi"), dependents="none", **index_options)
+    fresh = index_tree(latest_files(tree, order).join(again, ["repository_id", "path"], "left_semi"), dependents="none", **index_options)
     # file ids derive from repository and path, so they name the rows to replace in every table
     replaced = changed.select(T.file_id().alias("file_id"), "repository_id")
     gone_chunks = tables["code_chunks"].join(replaced.select("file_id"), "file_id", "left_semi").select("id")
@@ -72,18 +81,18 @@ def changed_rows(files, tree, gone=None, version_changed=False, order=None, **in
     favour of which an arrival of the same path is ignored.  Paths that neither names stay as they are.
     """
     keys = ["repository_id", "path"]
-    tree = latest_files(tree, order)
     if gone is None:
         gone = tree.select(*keys).limit(0)
-    tree = tree.join(gone, keys, "left_anti")
-    named = tree.select(*keys).unionByName(gone.select(*keys)).distinct()
+    gone = gone.select(*keys)
+    latest = latest_hashes(tree, order)
+    named = latest.select(*keys).unionByName(gone).distinct()
     before = files.select(*keys, "hash").join(named, keys, "left_semi")
-    now = T.select_files(tree).select(*keys, F.sha2("content", 256).alias("hash"))
+    now = latest.filter("kept").join(gone, keys, "left_anti")
     diff = cut_lineage(D.snapshot_diff(before, now, version_changed=version_changed))
     again = diff.filter("change in ('added', 'updated')").select(*keys)
     return dict(
         replaced=diff.filter("change in ('updated', 'deleted')").select(T.file_id().alias("key")),
-        tables=index_tree(tree.join(again, keys, "left_semi"), dependents="none", **index_options),
+        tables=index_tree(latest_files(tree, order).join(again, keys, "left_semi"), dependents="none", **index_options),
         counts=_change_counts(diff),
     )
 

@@ -156,13 +156,17 @@ def write_source_tree(files, root):
     return written.groupBy("repository_id").agg(F.count("*").alias("files"))
 
 
+def worth_indexing():
+    """Whether a file is indexed, by the columns `path`, `size` and `content`."""
+    path = F.col("path")
+    return ~P.in_pruned_folder(path) & P.should_process(path) & (F.col("size") <= P.size_limit(path)) & ~P.is_binary(F.col("content"))
+
+
 def select_files(tree):
     """The files worth indexing, with their language; `tree` holds FILE_COLUMNS."""
     path = F.col("path")
     return (
-        tree.filter(~P.in_pruned_folder(path) & P.should_process(path))
-        .filter(F.col("size") <= P.size_limit(path))
-        .filter(~P.is_binary(F.col("content")))
+        tree.filter(worth_indexing())
         .withColumn("language", P.language_of(path))
         .withColumn("extension", P.extension(path))
     )

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from srcmill.operators import prompts as P
@@ -129,6 +130,31 @@ def test_a_path_twice_in_a_batch(spark):
     assert refresh.latest_files(files.drop("arrived")).count() == 2
 
 
+def test_contents_are_shuffled_once(spark):
+    rows = [("r", f"f{i % 40}.py", f"x = {i}\n".encode(), 8, i) for i in range(80)]
+    files = spark.createDataFrame(rows, "repository_id string, path string, content binary, size bigint, arrived int")
+    latest = refresh.latest_files(files, "arrived")
+    again = latest.select("repository_id", "path").filter("path <> 'f0.py'")
+    plan = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    both = latest.join(again.hint("merge"), ["repository_id", "path"], "left_semi")
+    assert len(plan(latest)) == 1 and len(plan(refresh.latest_hashes(files, "arrived"))) == 1
+    assert len(plan(both)) == 2  # one of them without contents
+    assert {r.path: r.arrived for r in both.collect()} == {f"f{i}.py": 40 + i for i in range(1, 40)}
+
+
+def test_rows_become_python_values_in_slices(spark):
+    """Wide rows: what a worker holds as Python values at a time is bounded, and all rows come out."""
+    from srcmill.operators import arrow_map
+
+    batch = pa.RecordBatch.from_pydict({"id": range(100), "text": ["x" * 100_000] * 100})
+    parts = list(arrow_map._slices(batch, ["text"]))
+    assert len(parts) == 50 and sum(p.num_rows for p in parts) == 100
+    assert len(list(arrow_map._slices(batch.slice(0, 0), ["text"]))) == 0
+    df = spark.range(1000, numPartitions=1).withColumn("text", F.repeat(F.lit("ab"), 5000))
+    out = arrow_map.append_columns(df, ["id"], ["text"], "n int", lambda text: dict(n=len(text)))
+    assert out.agg(F.count("*"), F.sum("n"), F.countDistinct("id")).first() == (1000, 10_000_000, 1000)
+
+
 def test_arrivals_update_the_index(spark, tmp_path):
     batches = [
         [("r", "a.py", b"def f(): return 1\n", 18), ("s", "s.py", b"y = 1\n", 6)],
