@@ -14,6 +14,8 @@ from .tables import WORD, ascii_lower
 
 #: Templates travel as a literal of the plan; more than this are refused.
 MAX_TEMPLATE_CHARS = 1 << 20
+#: What lies between two words.
+NO_WORD = WORD.replace("[^", "[")
 
 
 def _bigrams(text):
@@ -38,23 +40,30 @@ def prepared(templates, threshold):
 
 
 def signal_words(rows):
-    """Words of which every text within the threshold holds one.
+    """Words of which every text within the threshold holds one, with the bigrams in which it does: {word: [bigram]}.
 
     A match shares at least `least` bigrams of the template, so of any len - least + 1 of them one is in the text.
-    For each template words are added until those bigrams hold one of them; long words first, as they are rare.
+    Those of long words are taken, as they are rare; of words already taken first, so that there are few.
     """
-    chosen = []
+    chosen = {}
     for row in rows:
         wanted = len(row["grams"]) - row["least"] + 1
-        held = lambda words: sum(any(w in g.split() for w in words) for g in row["grams"])
-        for word in sorted({w for g in row["grams"] for w in g.split()}, key=lambda w: (w not in chosen, -len(w), w)):
-            if held(chosen) >= wanted:
-                break
-            if held([*chosen, word]) > held(chosen):
-                chosen.append(word)
+        longer = {g: max(g.split(), key=len) for g in row["grams"]}
+        for gram in sorted(longer, key=lambda g: (-len(longer[g]) - (longer[g] in chosen), -len(g), g))[:wanted]:
+            if gram not in chosen.setdefault(longer[gram], []):
+                chosen[longer[gram]].append(gram)
     return chosen
 
 
+def signalled(lowered, rows):
+    """Column: whether a lower-cased text holds one of the signal bigrams; a plain look for a word spares the pattern."""
+    found = F.lit(False)
+    for word, grams in signal_words(rows).items():
+        pairs = "|".join(NO_WORD.join(map(re.escape, g.split())) for g in grams)
+        found = found | (lowered.contains(word) & lowered.rlike(pairs))
+    return found
+
+
 def matches(text="text", templates=TEMPLATES, threshold=0.8):
     """Column array<struct<part, licence, score>>: the parts of a text that are a licence, with their best template.
 
@@ -65,9 +74,6 @@ def matches(text="text", templates=TEMPLATES, threshold=0.8):
     rows = prepared(templates, threshold)
     literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,least:int,most:int,grams:array<string>>>")
     lowered = ascii_lower(F.col(text))
-    has_signal = F.lit(False)
-    for word in signal_words(rows):
-        has_signal = has_signal | lowered.contains(word)
 
     def bind(value, function):
         return F.element_at(F.transform(F.array(value), function), 1)
@@ -90,7 +96,7 @@ def matches(text="text", templates=TEMPLATES, threshold=0.8):
         F.transform(parts, lambda part, number: best(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), number)),
         lambda m: m["licence"].isNotNull(),
     )
-    return F.when(has_signal, found).otherwise(F.array().cast("array<struct<part:int,licence:string,score:double>>"))
+    return F.when(signalled(lowered, rows), found).otherwise(F.array().cast("array<struct<part:int,licence:string,score:double>>"))
 
 
 def scan(docs, templates=TEMPLATES, threshold=0.8, text="text", name="licences"):

@@ -76,6 +76,24 @@ def test_licence_signals():
             assert not fits or any(w in lowered for w in signals), name
 
 
+def test_licence_signal_bigrams(spark):
+    """Texts within the threshold hold a signal bigram; a single word of a licence is no signal."""
+    r = random.Random(6)
+    prepared = license_scan.prepared(license_scan.TEMPLATES, 0.8)
+    rows = [("by and under", False), ("license, source; general: by\nreleased", False), ("According to it, published \n by cc", True), ("", False), (None, None)]
+    for text in license_scan.TEMPLATES.values():
+        for _ in range(40):
+            words = text.lower().split()
+            for _ in range(r.randrange(1, 1 + max(1, len(words) // 6))):
+                words[r.randrange(len(words))] = "zzz"
+            grams = set(license_scan._bigrams(" ".join(words)))
+            if any(2 * len(grams & set(p["grams"])) / (len(grams) + len(p["grams"])) >= 0.8 for p in prepared):
+                rows.append((" \n".join(words), True))
+    assert len(rows) > 200
+    df = spark.createDataFrame(rows, "text string, wanted boolean")
+    assert df.filter(~license_scan.signalled(F.col("text"), prepared).eqNullSafe(F.col("wanted"))).collect() == []
+
+
 # urls
 
 
