@@ -380,3 +380,14 @@ def test_scores_separate_suggestions(spark):
     assert summary(("HIGH_COMPLEXITY", "HIGH")).health_score > 79
     s = summary(("HIGH_COMPLEXITY", "HIGH"), ("UNSAFE_EVAL", "CRITICAL"))
     assert s.health_score <= 49 and s.findings == 5
+
+
+def test_children_are_listed_once():
+    """Children are those of ast, but for contexts and operators; heads are what ast prints of bare parameters."""
+    source = SAFE + "async def f(a, /, b, *c, d=1, **e):\n    return [x for x in b if not x or -x < d]\n\nclass K(dict):\n    def g(): pass\n    h = lambda *i: i\n"
+    for node in ast.walk(ast.parse(source)):
+        below = [x for x in ast.iter_child_nodes(node) if not isinstance(x, pyfacts.MARKS)]
+        assert pyfacts._children(node) == below
+        assert not any(list(ast.iter_child_nodes(x)) for x in ast.iter_child_nodes(node) if isinstance(x, pyfacts.MARKS))
+    heads = {c["name"]: c["signature"] for c in pyfacts.source_facts(source)["callables"]}
+    assert heads["f"] == "async def f(b, *c, **e)" and heads["g"] == "def g()" and heads["K"] == "class K"
