@@ -5,6 +5,7 @@ doc_ids (int64), `<part>.idx` for each document and the end the number of ids be
 (uint64), and `manifest` the parts.  All numbers are little-endian; ids are uint16 where the vocabulary allows it.
 """
 
+import functools
 import json
 import re
 import unicodedata
@@ -18,6 +19,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Window, functions as F
 
+from .tables import trimmed
+
 MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
 #: doc_id of a document whose id is null.
 NO_ID = -(2**63)
@@ -43,21 +46,31 @@ _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 1
 LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+@functools.lru_cache(1)
+def _library(path):
+    """The tokenizer of a file, and whether its pieces are those of PIECES; a worker reads it once, not once a task."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    spec = json.loads(library.to_str())
+    steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = [s.get("pattern", {}).get("Regex") for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    kinds = [s["type"] for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return library, steps == NORMAL and splits[:1] == [SPLIT] and kinds == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
+
+
 class Encoder:
-    """Encodes texts with the tokenizers library; the ids of a piece are remembered where pieces are independent."""
+    """Encodes texts with the tokenizers library; where pieces are independent, their ids are remembered.
 
-    def __init__(self, path, end_id):
-        from tokenizers import Tokenizer
+    No piece holds white space, so the ids of whatever stands between white space are remembered, too, and a text is cut
+    there: only what is new is cut into pieces.
+    """
 
-        self.library = Tokenizer.from_file(path)
+    def __init__(self, path, end_id):
+        self.library, self.by_piece = _library(path)
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.known = {}
-        spec = json.loads(self.library.to_str())
-        steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
-        splits = [s.get("pattern", {}).get("Regex") for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        kinds = [s["type"] for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_piece = steps == NORMAL and splits[:1] == [SPLIT] and kinds == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
 
     def _plain(self, texts):
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,26 +78,26 @@ class Encoder:
     def _pieces(self, pieces):
         """Ids of pieces, by the library's model alone: a piece needs no more normalising and splitting."""
         tokenize, code = self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
-        return [array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(LETTERS))]).tobytes() for p in pieces]
+        # printable ASCII letters stand for themselves
+        return [array(code, [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS))]).tobytes() for p in pieces]
+
+    def _cut(self, text):
+        """The ids of a text that holds none of OTHER."""
+        words = text.lower().split()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = {w: PIECES.findall(w) for w in set(words).difference(self.known)}
+        pieces = [*{p for cut in new.values() for p in cut if p not in self.known}]
+        self.known.update(zip(pieces, self._pieces(pieces)))
+        self.known.update({w: b"".join(map(self.known.__getitem__, cut)) for w, cut in new.items() if len(cut) > 1})
+        return b"".join(map(self.known.__getitem__, words))
 
     def encode(self, texts):
         """The ids of each text, with the end id, as bytes."""
-        out, cut = [None] * len(texts), {}
-        for i, text in enumerate(texts):
-            if self.by_piece and not OTHER.search(text):
-                cut[i] = PIECES.findall(text.lower())
-        whole = [i for i in range(len(texts)) if i not in cut]
+        out = [None if not self.by_piece or OTHER.search(text) else self._cut(text) for text in texts]
+        whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
             out[i] = ids
-        for i, pieces in cut.items():
-            try:
-                out[i] = b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-                self.known.update(zip(new, self._pieces(new)))
-                out[i] = b"".join(map(self.known.__getitem__, pieces))
         return [ids + self.end for ids in out]
 
 
@@ -138,7 +151,7 @@ def write(docs, path, tokenizer, end_id, doc_id="doc_id", text="text"):
             {"part": pa.array([part], pa.int32()), "name": [name], "width": pa.array([encoder.kind.itemsize], pa.int32()), "n_docs": [n], "n_ids": [int(lengths.sum())]}
         )
 
-    ordered.select("doc_id", "text").mapInArrow(write_part, MANIFEST).write.parquet(f"{path}/parts")
+    ordered.select("doc_id", "text").mapInArrow(trimmed(write_part), MANIFEST).write.parquet(f"{path}/parts")
     parts = spark.read.schema(MANIFEST).parquet(f"{path}/parts")
     # one row per part: prefix sums over the parts need no spreading
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

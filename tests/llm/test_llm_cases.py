@@ -318,6 +318,25 @@ def test_pieces():
         assert np.frombuffer(got, encoder.kind).tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_encoder_is_read_once():
+    """Tasks of a worker share the tokenizer; what stands between white space is remembered, within the bound."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first, second = token_files.Encoder(path, 2), token_files.Encoder(path, 7)
+    assert first.library is second.library and first.known is not second.known
+    text = "don't (stop) the-end, don't"
+    assert first.encode([text])[0][:-2] == second.encode([text])[0][:-2]
+    assert {"don't", "(stop)", "the-end,", "stop"} <= set(first.known)
+
+
+def test_ids_forgotten(monkeypatch):
+    """Ids stay right where what is remembered outgrows its bound."""
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    texts = [prose(i, 20).replace("a ", "a, ") for i in range(30)]
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(got, encoder.kind).tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, 2]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), max_size=40))
 def test_any_text(text):
