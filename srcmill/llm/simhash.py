@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import free_name, stored, text_bytes
+from .tables import free_name, stored, text_bytes, trimmed
 
 BITS = 64
 #: Shingles hashed at once, to bound memory.
@@ -49,6 +49,7 @@ def fingerprint(text="text", shingle=3, seed=42):
     """Column: the fingerprint as a long; a null text has no words, and a text without words has fingerprint 0."""
 
     @F.pandas_udf("long")
+    @trimmed
     def computed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.frombuffer(b"".join([simhash(t, shingle, seed) for t in texts]), ">i8").astype("i8"))
@@ -67,7 +68,7 @@ def bit_counts(prints):
                 total += (bits.T @ bits).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"cell": np.arange(BITS * BITS), "n": total.ravel()})
 
-    rows = prints.select("fp").mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = prints.select("fp").mapInArrow(trimmed(partial), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     matrix = np.zeros(BITS * BITS, np.int64)
     for r in rows:
         matrix[r["cell"]] = r["n"]
@@ -110,7 +111,7 @@ def value_shares(prints, groups, n):
                 total[k] += np.bincount(bits[:, cut] @ (1 << np.arange(len(cut))), minlength=1 << COUNTED)
         yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size), "n": total.ravel()})
 
-    rows = prints.select("fp").mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = prints.select("fp").mapInArrow(trimmed(partial), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(flat) << COUNTED, np.float64)
     for r in rows:
         counts[r["cell"]] = r["n"]
@@ -187,7 +188,7 @@ def probes(prints, groups, shares, n, radius, probe_cost=1.0):
                             near = (values[some][:, None] ^ flips[p][k][None, :]).ravel()
                             yield rows(p, near, np.repeat(fps[some], len(flips[p][k])), False)
 
-    return prints.select("fp").mapInArrow(run, "part byte, value long, fp long, own boolean")
+    return prints.select("fp").mapInArrow(trimmed(run), "part byte, value long, fp long, own boolean")
 
 
 def joined_nodes(a, b, radius):
@@ -258,7 +259,7 @@ def links(prints, radius=3, parts=2):
             if us:
                 yield pa.RecordBatch.from_pydict({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
 
-    return alone.unionByName(across).mapInArrow(compare, "u long, v long")
+    return alone.unionByName(across).mapInArrow(trimmed(compare), "u long, v long")
 
 
 def classes(rows, radius=3, parts=2):

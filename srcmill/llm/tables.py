@@ -1,5 +1,6 @@
 """Small helpers shared by the operators: work tables, word patterns, ASCII lower case."""
 
+import functools
 import string
 
 import pyarrow as pa
@@ -40,8 +41,9 @@ def free_name(df, name):
 
 
 def trimmed(function):
-    """A function for mapInArrow that gives freed memory back at its end: a Python worker outlives its tasks."""
+    """A function for mapInArrow, mapInPandas or a UDF over batches that gives freed memory back at its end: a Python worker outlives its tasks."""
 
+    @functools.wraps(function)
     def run(batches):
         import ctypes
         import gc

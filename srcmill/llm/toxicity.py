@@ -16,7 +16,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from .tables import WORD_BYTES, free_name, stored
+from .tables import WORD_BYTES, free_name, stored, trimmed
 
 LENGTHS = (3, 4, 5)
 BUCKET_BITS = 20
@@ -128,7 +128,7 @@ def _count_grams(buckets):
 
 def counted_texts(rows, count, label):
     """Texts by label with each n-gram (or bucket), by one of the counts above: (gram, p, q)."""
-    counts = rows.mapInPandas(count, "gram long, toxic_texts long, clean_texts long").groupBy("gram").agg(F.sum("toxic_texts").alias("p"), F.sum("clean_texts").alias("q"))
+    counts = rows.mapInPandas(trimmed(count), "gram long, toxic_texts long, clean_texts long").groupBy("gram").agg(F.sum("toxic_texts").alias("p"), F.sum("clean_texts").alias("q"))
     return stored(counts, label)
 
 
@@ -221,7 +221,7 @@ def fit(docs, labels, rows_a_class=10_000, features=4096, least_surprise=10.0, c
             frame["terms"] = [np.intersect1d(found_grams(normal(t), wanted), known).astype(str) for t in frame.pop("text")]
             yield frame
 
-    terms = stored(spread.select("text", "toxic", "weight").mapInPandas(present, "toxic int, weight double, terms array<string>"), "toxic-terms")
+    terms = stored(spread.select("text", "toxic", "weight").mapInPandas(trimmed(present), "toxic int, weight double, terms array<string>"), "toxic-terms")
     vectors = CountVectorizerModel.from_vocabulary([str(g) for g in chosen], "terms", "present")
     vectors.setBinary(True)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense([r["ratio"] for r in best]), inputCol="present", outputCol="features")
@@ -235,6 +235,7 @@ def score(model, text="text"):
     """Column: probability that the text is toxic, to six digits; an empty or null text gets the model's bias alone."""
 
     @F.pandas_udf("double")
+    @trimmed
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         wanted = mask_of(model.grams)
         order = np.argsort(np.array(model.grams, np.int64))

@@ -5,14 +5,18 @@ import math
 import random
 import re
 import zlib
+from collections.abc import Iterator
+from typing import get_type_hints
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from srcmill.llm import components, decontaminate, license_scan, main_text, mixing, repeats, simhash, token_files, topk, toxicity, url_rules
+from srcmill.llm.tables import trimmed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -364,6 +368,15 @@ def test_token_round_trip(spark, odd, none, tmp_path, name):
 # toxicity
 
 
+def test_trimmed_functions():
+    """A function that gives memory back keeps the type hints by which Spark knows a UDF over batches."""
+
+    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from batches
+
+    assert get_type_hints(trimmed(plain)) == get_type_hints(plain) and list(trimmed(plain)([1, 2])) == [1, 2]
+
+
 def test_toxicity(spark, odd, none):
     r = random.Random(9)
     rows, labels = [], []
