@@ -60,11 +60,7 @@ def _library(path):
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library; where pieces are independent, their ids are remembered.
-
-    No piece holds white space, so the ids of whatever stands between white space are remembered, too, and a text is cut
-    there: only what is new is cut into pieces.
-    """
+    """Encodes texts with the tokenizers library; the ids of a piece are remembered where pieces are independent."""
 
     def __init__(self, path, end_id):
         self.library, self.by_piece = _library(path)
@@ -83,14 +79,15 @@ class Encoder:
 
     def _cut(self, text):
         """The ids of a text that holds none of OTHER."""
-        words = text.lower().split()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {w: PIECES.findall(w) for w in set(words).difference(self.known)}
-        pieces = [*{p for cut in new.values() for p in cut if p not in self.known}]
-        self.known.update(zip(pieces, self._pieces(pieces)))
-        self.known.update({w: b"".join(map(self.known.__getitem__, cut)) for w, cut in new.items() if len(cut) > 1})
-        return b"".join(map(self.known.__getitem__, words))
+        pieces = PIECES.findall(text.lower())
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            new = [*set(pieces).difference(self.known)]
+            self.known.update(zip(new, self._pieces(new)))
+            return b"".join(map(self.known.__getitem__, pieces))
 
     def encode(self, texts):
         """The ids of each text, with the end id, as bytes."""

@@ -323,13 +323,13 @@ def test_pieces():
 
 
 def test_encoder_is_read_once():
-    """Tasks of a worker share the tokenizer; what stands between white space is remembered, within the bound."""
+    """Tasks of a worker share the tokenizer, not what they remember."""
     path = public_tokenizers.path("word_bpe_49k.json")
     first, second = token_files.Encoder(path, 2), token_files.Encoder(path, 7)
     assert first.library is second.library and first.known is not second.known
     text = "don't (stop) the-end, don't"
     assert first.encode([text])[0][:-2] == second.encode([text])[0][:-2]
-    assert {"don't", "(stop)", "the-end,", "stop"} <= set(first.known)
+    assert {"don", "'t", "stop", "the"} <= set(first.known)
 
 
 def test_ids_forgotten(monkeypatch):
