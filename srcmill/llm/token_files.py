@@ -15,6 +15,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Window, functions as F
@@ -26,6 +27,8 @@ MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
 NO_ID = -(2**63)
 #: Pieces whose ids a task remembers before it starts anew.
 REMEMBERED = 300_000
+#: Bytes of text whose pieces are numbered at once.
+SLICE = 4 << 20
 
 # How the tokenizer files with word ends normalise and split a text; below, the same for texts of
 # Latin letters, so that ids can be remembered by piece.
@@ -41,11 +44,47 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|
 #: Control and space characters on which libraries differ, and whatever lies beyond the Latin letters.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]|<\|")
 
+#: Kinds of the characters of a text without OTHER, by code point.
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+KINDS = np.array([_SPACE if chr(c).isspace() else {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(chr(c))[0], _MARK) for c in range(0x180)], np.uint8)
+
 #: A byte as the letter that stands for it in byte-level vocabularies: itself if it is printable, else one from 256 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def cut(texts):
+    """What PIECES finds in lower-case texts without OTHER: all pieces, and for each text and the end the pieces before it.
+
+    Neighbours of one kind are one piece, a digit is one by itself; an apostrophe that starts a piece takes s, t, m, d,
+    re, ve or ll along.
+    """
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = KINDS[data]
+    wide = np.flatnonzero(data >= 0x80)[::2]  # without OTHER a character has two bytes at most
+    kind[wide] = kind[wide + 1] = KINDS[(data[wide] & 0x1F).astype(int) << 6 | data[wide + 1] & 0x3F]
+    first = kind == _DIGIT
+    first[1:] |= kind[1:] != kind[:-1]
+    first[wide + 1] = False
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    mark = np.flatnonzero((data == ord("'")) & first)
+    room = offsets[np.searchsorted(offsets, mark, "right")] - mark
+    a, b = (np.where(room > n, data[np.minimum(mark + n, len(data) - 1)], 0) for n in (1, 2))
+    one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+    two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+    first[mark[one | two] + 1] = False
+    after = np.concatenate((mark[one] + 2, mark[two] + 3))
+    first[after[after < len(data)]] = True
+    kept = kind != _SPACE
+    first &= kept
+    starts = np.append(np.flatnonzero(first[kept]), np.count_nonzero(kept))
+    pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data[kept]))
+    return pieces, np.searchsorted(np.flatnonzero(first), offsets)
+
+
 @functools.lru_cache(1)
 def _library(path):
     """The tokenizer of a file, and whether its pieces are those of PIECES; a worker reads it once, not once a task."""
@@ -60,7 +99,10 @@ def _library(path):
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library; the ids of a piece are remembered where pieces are independent."""
+    """Encodes texts with the tokenizers library; the ids of a piece are remembered where pieces are independent.
+
+    There the pieces of a slice of texts are numbered, each different one is looked up once, and ids are gathered by number.
+    """
 
     def __init__(self, path, end_id):
         self.library, self.by_piece = _library(path)
@@ -77,24 +119,37 @@ class Encoder:
         # printable ASCII letters stand for themselves
         return [array(code, [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS))]).tobytes() for p in pieces]
 
-    def _cut(self, text):
-        """The ids of a text that holds none of OTHER."""
-        pieces = PIECES.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = [*set(pieces).difference(self.known)]
-            self.known.update(zip(new, self._pieces(new)))
-            return b"".join(map(self.known.__getitem__, pieces))
+    def _known(self, pieces):
+        """The ids of each of different pieces."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [p for p in pieces if p not in self.known]
+        self.known.update(zip(new, self._pieces(new)))
+        return list(map(self.known.__getitem__, pieces))
+
+    def _slice(self, texts):
+        """The ids of each of some texts that hold none of OTHER."""
+        pieces, borders = cut(pc.utf8_lower(texts))
+        numbered = pieces.dictionary_encode()
+        ids = pa.array(self._known(numbered.dictionary.to_pylist()), pa.large_binary()).take(numbered.indices)
+        _, starts, data = ids.buffers()
+        edges = np.frombuffer(starts, np.int64)[borders].tolist()
+        data = memoryview(data or b"")
+        return [data[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
     def encode(self, texts):
-        """The ids of each text, with the end id, as bytes."""
-        out = [None if not self.by_piece or OTHER.search(text) else self._cut(text) for text in texts]
-        whole = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
+        """The ids of each text (a list or an Arrow array), with the end id, as bytes."""
+        texts = pa.array(texts, pa.large_utf8()) if isinstance(texts, list) else texts.cast(pa.large_utf8())
+        other = pc.match_substring_regex(texts, OTHER.pattern).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
+        out = [None] * len(texts)
+        whole, rest = np.flatnonzero(other), np.flatnonzero(~other)
+        for i, ids in zip(whole.tolist(), self._plain(texts.take(pa.array(whole)).to_pylist())):
             out[i] = ids
+        # as many texts at once as fill a slice
+        ends = np.cumsum(pc.binary_length(texts).to_numpy()[rest])
+        for rows in np.split(rest, np.flatnonzero(np.diff(ends // SLICE)) + 1):
+            for i, ids in zip(rows.tolist(), self._slice(texts.take(pa.array(rows)))):
+                out[i] = ids
         return [ids + self.end for ids in out]
 
 
@@ -129,9 +184,9 @@ def write(docs, path, tokenizer, end_id, doc_id="doc_id", text="text"):
         lengths, n = [], 0
         with store.open_output_stream(f"{top}/ids/{name}.bin") as ids, store.open_output_stream(f"{top}/ids/{name}.docs") as names:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    piece = batch.slice(at, 256)
-                    made = encoder.encode(piece.column("text").to_pylist())
+                for at in range(0, batch.num_rows, 2048):
+                    piece = batch.slice(at, 2048)
+                    made = encoder.encode(piece.column("text"))
                     for x in made:
                         ids.write(x)
                     lengths.append(np.array([len(x) // encoder.kind.itemsize for x in made], "<i8"))

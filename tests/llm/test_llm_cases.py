@@ -11,6 +11,7 @@ from typing import get_type_hints
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -322,6 +323,22 @@ def test_pieces():
         assert np.frombuffer(got, encoder.kind).tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_pieces_are_cut_in_slices(monkeypatch):
+    """Texts are cut into pieces at once, as the pattern cuts them one by one, and each different piece is looked up once."""
+    r = random.Random(6)
+    pool = [c for c in map(chr, range(1, 0x250)) if not token_files.OTHER.search(c)] + [*" stmdrevl 12.,-"] * 20 + ["'s", "'re", "'ll", "the"] * 20
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(30))).lower() for _ in range(3000)] + ["", "'", "'l", "l", "'", "s", " '", "é", "''re", "5'd's ²³'ve"]
+    texts = [t for t in texts if not token_files.OTHER.search(t)]
+    for some in (texts, texts[::-1], [], [""], ["", " "]):
+        pieces, borders = token_files.cut(pa.array(["x'", *some], pa.large_utf8()).slice(1))
+        pieces = pieces.to_pylist()
+        assert [pieces[a:b] for a, b in zip(borders, borders[1:])] == [token_files.PIECES.findall(t) for t in some]
+    encoder, asked = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2), []
+    monkeypatch.setattr(encoder, "_known", lambda pieces: asked.extend(pieces) or [p.encode() for p in pieces])
+    assert encoder.encode(["to be, or", "not to be,"]) == [b"tobe,or\2\0", b"nottobe,\2\0"]
+    assert sorted(asked) == [",", "be", "not", "or", "to"]
+
+
 def test_encoder_is_read_once():
     """Tasks of a worker share the tokenizer, not what they remember."""
     path = public_tokenizers.path("word_bpe_49k.json")
