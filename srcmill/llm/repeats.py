@@ -3,7 +3,7 @@
 A suffix array here holds the suffixes that start at anchors: places whose 32-byte gram has the smallest hash of some
 69 grams in a row.  Every string of 100 bytes contains an anchor that depends on the string alone, so equal strings
 meet at equal anchors.  Entries are sorted by the gram and then by the context around it, both as 64-bit hashes, and
-only the first entry of each context is kept.  Documents come in batches of ascending doc_id.  A batch's array is
+only the first entry of each context is kept, already where texts are read: what isn't the first there is a repeat.  Documents come in batches of ascending doc_id.  A batch's array is
 merge-scanned against the levels of earlier batches; levels of equal size are merged.
 
 An anchor whose whole context occurs earlier lies in a repeat.  Where a gram occurs in several contexts, the bytes
@@ -14,16 +14,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 
-from .tables import stored, text_bytes
+from .tables import stored, text_bytes, trimmed, trimmed_group
 
 GRAM = 32
 #: Bytes of text for each part of the key space (a task of a merge scan) and of the documents (a task of a pass).
-KEY_BYTES, DOC_BYTES = 32 << 20, 16 << 20
+KEY_BYTES, DOC_BYTES = 16 << 20, 16 << 20
 #: Bytes of text whose anchors are packed at once.
 FLUSH = 16 << 20
+#: Edges of whole grams that are compared at once; a gram of more is compared alone.
+COMPARED = 100_000
 #: doc_id of a document whose id is null; it comes before all others.
 NO_ID = -(2**63)
 
@@ -90,6 +93,17 @@ def _by(number, *arrays):
         yield value, rows
 
 
+def _new(values):
+    """Where a sorted array's value isn't the one before."""
+    return np.concatenate(([True], values[1:] != values[:-1]))[: len(values)]
+
+
+def _first(doc, pos, new):
+    """Which entries stand at the place of the first of their run; `new` tells where a run begins."""
+    start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc == doc[start]) & (pos == pos[start])
+
+
 def _part(docs, parts):
     return (docs ^ (docs >> 15)) % parts
 
@@ -119,7 +133,10 @@ class Repeats:
         ).select("doc_id", F.expr("cast(xxhash64(text) & 2147483647 as int)").alias("tie"), "text")
 
     def entries(self, docs):
-        """The anchors of documents, packed by part of the key space."""
+        """The anchors of documents, packed by part of the key space.
+
+        Those whose context occurs earlier in the same packing are repeats: they are dealt over all parts, `old` null.
+        """
         match, buckets, side = self.match, self.buckets, self.match - GRAM
 
         def run(batches):
@@ -130,9 +147,16 @@ class Repeats:
                 docs, ties = np.array([d for d, *_ in held], np.int64), np.array([t for _, t, *_ in held], np.int32)
                 owner = np.repeat(np.arange(len(held)), lengths)
                 pos, key, ctx = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
-                rows = []
-                for bucket, at in _by((key >> np.uint64(24)) % np.uint64(buckets)):
-                    at = at[np.argsort(key[at], kind="stable")]
+                order = np.lexsort((pos, docs[owner], ctx, key))
+                owner, pos, key, ctx = owner[order], pos[order], key[order], ctx[order]
+                first = _first(docs[owner], pos, _new(key) | _new(ctx))
+                rows, again = [], np.flatnonzero(~first)
+                for k, at in enumerate(np.array_split(again, min(8, len(again))) if len(again) else []):
+                    bucket = (int(docs[0]) + k * max(1, buckets // 8)) % buckets
+                    rows.append({"bucket": bucket, "old": None, **_packed(docs, ties, owner[at], pos=pos[at], key=key[:0], ctx=ctx[:0])})
+                kept = np.flatnonzero(first)
+                for bucket, at in _by((key[kept] >> np.uint64(24)) % np.uint64(buckets)):
+                    at = kept[at]
                     rows.append({"bucket": bucket, "old": False, **_packed(docs, ties, owner[at], pos=pos[at], key=key[at], ctx=ctx[at])})
                 return _arrow(rows, ENTRIES)
 
@@ -150,7 +174,7 @@ class Repeats:
             if held:
                 yield from packed().to_batches()
 
-        return self.named(docs).mapInArrow(run, ENTRIES)
+        return self.named(docs).mapInArrow(trimmed(run), ENTRIES)
 
     def add(self, docs, keep=True):
         """Merge-scan a batch, whose doc_ids are above those of earlier batches, against the levels.
@@ -164,34 +188,41 @@ class Repeats:
             rows = rows.unionByName(level)
 
         def scan(table):
+            bucket = table.column("bucket")[0].as_py()
+            again = _unpacked(table.filter(pc.is_null(table.column("old"))), pos=np.int32)
+            table = table.filter(pc.is_valid(table.column("old")))
             a = _unpacked(table, pos=np.int32, key=np.uint64, ctx=np.uint64)
             sizes = [len(table.column("owner")[i].as_buffer()) // 4 for i in range(table.num_rows)]
             old = np.repeat(np.array(table.column("old").to_pylist(), bool), sizes)
             order = np.lexsort((a["pos"], a["doc"], a["ctx"], a["key"]))
             a, old = {k: v[order] for k, v in a.items()}, old[order]
             doc, pos, key, ctx = a["doc"], a["pos"], a["key"], a["ctx"]
-            new_key = np.concatenate(([True], key[1:] != key[:-1]))
-            new_ctx = new_key | np.concatenate(([True], ctx[1:] != ctx[:-1]))
-            start = np.maximum.accumulate(np.where(new_ctx, np.arange(len(key)), 0))
-            first = (doc == doc[start]) & (pos == pos[start])
+            new_key = _new(key)
+            new_ctx = new_key | _new(ctx)
+            first = _first(doc, pos, new_ctx)
             group = np.cumsum(new_key) - 1
             contexts, fresh = np.bincount(group, new_ctx), np.bincount(group, first & ~old)
             edge = first & (contexts[group] > 1) & (fresh[group] > 0)
-            bucket = table.column("bucket")[0].as_py()
+            some = ~first & ~old
+            again = {k: np.concatenate((v, a[k][some])) for k, v in again.items()}
             out = []
-            for kind, chosen in ((False, ~first & ~old), (True, edge)):
-                some = np.flatnonzero(chosen)
-                for part, at in _by(_part(doc[some], parts)):
-                    at = some[at]
-                    out.append({"level": False, "part": part, "edge": kind, "bucket": bucket, **_packed(
-                        doc, a["tie"], at, start=pos[at] - np.int32(0 if kind else side), stop=pos[at] + np.int32(match), key=key[at] if kind else key[:0],
-                    )})
+            for part, at in _by(_part(again["doc"], parts)):
+                start = again["pos"][at]
+                out.append({"level": False, "part": part, "edge": False, "bucket": bucket, **_packed(
+                    again["doc"], again["tie"], at, start=start - np.int32(side), stop=start + np.int32(match), key=key[:0],
+                )})
+            some = np.flatnonzero(edge)
+            for part, at in _by(_part(doc[some], parts)):
+                at = some[at]
+                out.append({"level": False, "part": part, "edge": True, "bucket": bucket, **_packed(
+                    doc, a["tie"], at, start=pos[at], stop=pos[at] + np.int32(match), key=key[at],
+                )})
             at = np.flatnonzero(first & ~old)
             if keep and len(at):
                 out.append({"level": True, "bucket": bucket, "old": True, **_packed(doc, a["tie"], at, pos=pos[at], key=key[at], ctx=ctx[at])})
             return _arrow(out, FOUND)
 
-        found = stored(rows.groupBy("bucket").applyInArrow(scan, FOUND), "merge-scan")
+        found = stored(rows.groupBy("bucket").applyInArrow(trimmed_group(scan), FOUND), "merge-scan")
         flags = found.filter("not level").select("part", "docs", "ties", "owner", "start", "stop", "key", "edge")
         self.flags.append(flags)
         if keep:
@@ -209,14 +240,14 @@ class Repeats:
             at = np.lexsort((a["pos"], a["doc"], a["ctx"], a["key"]))
             return _arrow([{"bucket": table.column("bucket")[0].as_py(), "old": True, **_packed(a["doc"], a["tie"], at, pos=a["pos"][at], key=a["key"][at], ctx=a["ctx"][at])}], ENTRIES)
 
-        return rows.groupBy("bucket").applyInArrow(merge, ENTRIES)
+        return rows.groupBy("bucket").applyInArrow(trimmed_group(merge), ENTRIES)
 
     def removed(self, docs):
         """The documents of all batches with the bytes that repeats cover: columns of RESULT, a row per row of docs."""
         flags = self.flags[0]
         for more in self.flags[1:]:
             flags = flags.unionByName(more)
-        parts, buckets, match, side = self.parts, self.buckets, self.match, self.match - GRAM
+        parts, cells, match, side = self.parts, 2 * self.buckets, self.match, self.match - GRAM
         texts = self.named(docs).withColumn("part", F.expr(f"cast(pmod(doc_id ^ shiftright(doc_id, 15), {parts}) as int)"))
 
         def contexts(texts, flags):
@@ -228,25 +259,51 @@ class Repeats:
             doc, tie, pos, key = e["doc"][order], e["tie"][order], e["start"][order], e["key"][order]
             again = np.concatenate(([False], (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (pos[1:] == pos[:-1]))) if len(doc) else np.empty(0, bool)
             doc, tie, pos, key = doc[~again], tie[~again], pos[~again], key[~again]
-            left, right = np.zeros(len(pos), np.uint8), np.zeros(len(pos), np.uint8)
-            context = np.zeros((len(pos), match + side), np.uint8)
-            last, text = None, None
-            for i, (d, t, p) in enumerate(zip(doc.tolist(), tie.tolist(), pos.tolist())):
-                if (d, t) != last:
-                    last, text = (d, t), np.frombuffer(known[d, t].as_buffer(), np.uint8)
-                begin, end = max(0, p - side), min(len(text), p + match)
-                left[i], right[i] = p - begin, end - p - GRAM
-                context[i, side - (p - begin) : side + end - p] = text[begin:end]
-            rows = []
-            for bucket, at in _by((key >> np.uint64(24)) % np.uint64(buckets)):
-                rows.append({"bucket": bucket, **_packed(doc, tie, at, pos=pos[at], key=key[at], left=left[at], right=right[at], context=context[at])})
-            return _arrow(rows, EDGES)
+            tables = [_arrow([], EDGES)]
+            for cell, at in _by((key >> np.uint64(24)) % np.uint64(cells)):
+                left, right = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
+                context = np.zeros((len(at), match + side), np.uint8)
+                last, text = None, None
+                for i, (d, t, p) in enumerate(zip(doc[at].tolist(), tie[at].tolist(), pos[at].tolist())):
+                    if (d, t) != last:
+                        last, text = (d, t), np.frombuffer(known[d, t].as_buffer(), np.uint8)
+                    begin, end = max(0, p - side), min(len(text), p + match)
+                    left[i], right[i] = p - begin, end - p - GRAM
+                    context[i, side - (p - begin) : side + end - p] = text[begin:end]
+                tables.append(_arrow([{"bucket": cell, **_packed(doc, tie, at, pos=pos[at], key=key[at], left=left, right=right, context=context)}], EDGES))
+            return pa.concat_tables(tables)
 
         def resolve(table):
-            e = _unpacked(table, pos=np.int32, key=np.uint64, left=np.uint8, right=np.uint8, context=np.uint8)
-            context = e.pop("context").reshape(len(e["key"]), -1)
+            e = _unpacked(table, pos=np.int32, key=np.uint64, left=np.uint8, right=np.uint8)
+            around = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, match + side) for x in table.column("context")]
+            row = np.repeat(np.arange(len(around)), [len(x) for x in around])
+            within = np.concatenate([np.arange(len(x)) for x in around])
             order = np.lexsort((e["pos"], e["doc"], e["key"]))
-            e, context = {k: v[order] for k, v in e.items()}, context[order]
+            e = {k: v[order] for k, v in e.items()}
+            row, within = row[order], within[order]
+            least, most = np.full(len(order), match), np.full(len(order), -1)
+            # whole grams, at least COMPARED edges but for the last
+            grams = np.append(np.flatnonzero(_new(e["key"])), len(order)).tolist()
+            start = 0
+            for stop, beyond in zip(grams[1:], [*grams[2:], None]):
+                if beyond is None or beyond - start > COMPARED:
+                    context = np.empty((stop - start, match + side), np.uint8)
+                    for k, at in _by(row[start:stop]):
+                        context[at] = around[k][within[start:stop][at]]
+                    least[start:stop], most[start:stop] = compared({k: v[start:stop] for k, v in e.items()}, context)
+                    start = stop
+            some = np.flatnonzero(most >= 0)
+            doc, pos = e["doc"], e["pos"]
+            out = []
+            for part, at in _by(_part(doc[some], parts)):
+                at = some[at]
+                out.append({"part": part, "edge": False, **_packed(
+                    doc, e["tie"], at, start=(pos[at] - most[at]).astype(np.int32), stop=(pos[at] - least[at] + match).astype(np.int32), key=e["key"][:0],
+                )})
+            return _arrow(out, FLAGS)
+
+        def compared(e, context):
+            """Fewest and most bytes before its gram in an edge's windows that occur earlier; `most` is -1 if none does."""
             doc, pos, left, right = e["doc"], e["pos"], e["left"].astype(int), e["right"].astype(int)
             least, most = np.full(len(pos), match), np.full(len(pos), -1)
             power = np.uint64(pow(_P, match - 1, 2**64))
@@ -265,14 +322,7 @@ class Repeats:
                 first = rows[start]
                 again = rows[(doc[rows] != doc[first]) | (pos[rows] != pos[first])]
                 least[again], most[again] = np.minimum(least[again], before), np.maximum(most[again], before)
-            some = np.flatnonzero(most >= 0)
-            out = []
-            for part, at in _by(_part(doc[some], parts)):
-                at = some[at]
-                out.append({"part": part, "edge": False, **_packed(
-                    doc, e["tie"], at, start=(pos[at] - most[at]).astype(np.int32), stop=(pos[at] - least[at] + match).astype(np.int32), key=e["key"][:0],
-                )})
-            return _arrow(out, FLAGS)
+            return least, most
 
         def cut(texts, flags):
             f = _unpacked(flags, start=np.int32, stop=np.int32)
@@ -302,10 +352,10 @@ class Repeats:
             return _arrow(out, RESULT)
 
         grouped = texts.groupBy("part")
-        edges = grouped.cogroup(flags.filter("edge").groupBy("part")).applyInArrow(contexts, EDGES)
-        resolved = edges.groupBy("bucket").applyInArrow(resolve, FLAGS)
+        edges = grouped.cogroup(flags.filter("edge").groupBy("part")).applyInArrow(trimmed_group(contexts), EDGES)
+        resolved = edges.groupBy("bucket").applyInArrow(trimmed_group(resolve), FLAGS)
         spans = flags.filter("not edge").unionByName(resolved)
-        return grouped.cogroup(spans.groupBy("part")).applyInArrow(cut, RESULT)
+        return grouped.cogroup(spans.groupBy("part")).applyInArrow(trimmed_group(cut), RESULT)
 
 
 def repeats(docs, match=100, batches=2):

@@ -40,20 +40,42 @@ def free_name(df, name):
     return name
 
 
+def give_back():
+    """Freed memory goes back to the system: a Python worker outlives its tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
+
+
 def trimmed(function):
-    """A function for mapInArrow, mapInPandas or a UDF over batches that gives freed memory back at its end: a Python worker outlives its tasks."""
+    """A function for mapInArrow, mapInPandas or a UDF over batches that gives freed memory back at its end."""
 
     @functools.wraps(function)
     def run(batches):
-        import ctypes
         import gc
 
         yield from function(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:
-            pass  # another C library
+        give_back()
 
     return run
+
+
+def trimmed_group(function):
+    """The same for a function of one table, or of two of a cogroup, for applyInArrow; at the end of each group."""
+
+    def one(table):
+        out = function(table)
+        give_back()
+        return out
+
+    def two(left, right):
+        out = function(left, right)
+        give_back()
+        return out
+
+    return one if function.__code__.co_argcount == 1 else two  # Spark counts the parameters

@@ -591,6 +591,27 @@ def test_repeats(spark, batches):
     assert sorted(got, key=key) == sorted(want, key=key) and any(x[2] for x in want)
 
 
+def test_copies_stay_out_of_the_shuffle(spark):
+    """Of the entries that are read together only the first of each context has a key; the others are known as repeats."""
+    text = prose(1, 300)
+    docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").coalesce(1)
+    rows = repeats.Repeats(spark, 1000).entries(docs).collect()
+    n = len(repeats.anchors(text.encode(), 100)[0])
+    assert sum(len(r["key"]) // 8 for r in rows) == n > 10
+    assert sum(len(r["pos"]) // 4 for r in rows if r["old"] is None) == 5 * n
+
+
+def test_edges_in_slices(spark, monkeypatch):
+    """Edges are compared a few grams at a time, with the same spans, also where a gram has more edges than a slice."""
+    monkeypatch.setattr(repeats, "COMPARED", 4)
+    shared = [prose(200 + i, 14)[:90] for i in range(6)]
+    rows = [(i, prose(i, 8)[: 30 + i] + shared[i % 6] + prose(i % 9, 8)[:60]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeats(docs).collect()]
+    want = [(d, *x) for (d, _), x in zip(rows, brute_repeats(rows, 100))]
+    assert sorted(got) == sorted(want) and any(x[2] for x in want)
+
+
 def test_level_merges(spark):
     """Levels of one size merge: after 1, 2, 3, 4 batches the family has 1, 1, 2, 1 levels."""
     family = repeats.Repeats(spark, 1000)
